@@ -24,24 +24,34 @@ def scan(text: Column, pattern: str, make: Callable[[Column, Column, Column], Co
     The text is cut into gaps and matches; running their lengths gives the
     offsets. Rows without a match pay for one regex pass only.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # gaps outnumber matches by one, so the last pair has no match
     pairs = F.zip_with(
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)),
-        matches,
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")),
     )
     walked = F.aggregate(
         pairs,
         F.struct(F.lit(0).alias("at"), _empty(ddl).alias("out")),
-        lambda acc, p: F.struct(
+        lambda acc, p: F.when(p["match"].isNull(), acc).otherwise(F.struct(
             (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
             F.concat(acc["out"], F.array(make(acc["at"] + F.length(p["gap"]), p["match"], p["gap"]).cast(ddl))).alias("out"),
-        ),
+        )),
         lambda acc: acc["out"],
     )
     return F.when(text.rlike(pattern), walked).otherwise(_empty(ddl))
 
 
+def unnest(df, array: Column | str, name: str, *keep, at: str | None = None):
+    """One row per non-null element, elements under ``name`` and, if asked for, their place under ``at``.
+
+    Unlike a plain explode this does not invite the optimizer to filter on the
+    array first, which would compute it twice.
+    """
+    rows = F.explode_outer(array).alias(name) if at is None else F.posexplode_outer(array).alias(at, name)
+    return df.select(*keep, rows).where(F.col(name).isNotNull())
+
+
 SPAN_DDL = "struct<start:int,end:int,kind:string>"
 
 
@@ -99,7 +109,7 @@ def resolve_by_priority(candidates: Column) -> Column:
             F.exists(acc, lambda a: (c["start"] < a["end"]) & (c["end"] > a["start"])), acc
         ).otherwise(F.concat(acc, F.array(span(c["start"], c["end"], c["kind"])))),
     )
-    return F.when(F.size(candidates) < 2, candidates).otherwise(F.array_sort(taken))
+    return F.array_sort(taken)
 
 
 ENTITY_DDL = "struct<start:int,end:int,kind:string,entity:string>"

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.spans import unnest
 from veilspan.functions.text import blank_words
 
 ALL_SOURCES = "__all__"
@@ -38,7 +39,7 @@ def search(requests: DataFrame, grants: DataFrame, pages: DataFrame) -> DataFram
     from veilspan.operators.dictionary import literal_matches
 
     scoped = allowed(requests, grants).where(F.col("scope").isNotNull())
-    terms = scoped.select("request_id", F.col("scope").alias("source_id"), F.explode(keywords(F.col("query"))).alias("term"))
+    terms = unnest(scoped, keywords(F.col("query")), "term", "request_id", F.col("scope").alias("source_id"))
     needles = terms.select("source_id", F.lower("term").alias("term")).distinct()
     texts = pages.select(F.struct("source_id", "slug").alias("page"), "source_id", F.col("chunk_text").alias("text"))
     found = literal_matches(texts, "page", needles, "term", ignore_case=True, scope=["source_id"]).select("page", "source_id", "term").distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
+from veilspan.functions.spans import unnest
 from veilspan.functions.text import gram_key, word_ngrams, words
 
 KEY = ["h1", "h2"]
@@ -22,8 +23,8 @@ def gram_rows(texts: DataFrame, keys: list[str], n: int = P.CARRY_N, token: str
     tokens = texts.select(*keys, words(F.col(text), token).alias("tokens"))
     hashed = F.transform(word_ngrams(F.col("tokens"), n), gram_key)
     if positions:
-        return tokens.select(*keys, hashed.alias("grams")).select(*keys, F.posexplode("grams").alias("i", "g")).select(*keys, "i", "g.h1", "g.h2")
-    return tokens.select(*keys, F.array_distinct(hashed).alias("grams")).select(*keys, F.explode("grams").alias("g")).select(*keys, "g.h1", "g.h2")
+        return unnest(tokens, hashed, "g", *keys, at="i").select(*keys, "i", "g.h1", "g.h2")
+    return unnest(tokens, F.array_distinct(hashed), "g", *keys).select(*keys, "g.h1", "g.h2")
 
 
 def gram_owners(corpus: DataFrame, n: int = P.CARRY_N, token: str = P.CARRY_TOKEN) -> DataFrame:

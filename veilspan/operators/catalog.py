@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veilspan.functions.spans import unnest
 from veilspan.functions.text import strip
 
 
@@ -122,6 +123,6 @@ def readiness(docs: DataFrame, include_unverified: bool = False) -> DataFrame:
 
 def kinds_ranked(docs: DataFrame) -> DataFrame:
     """Removed spans by kind, most frequent first."""
-    return docs.where(F.col("state") == "done").select(F.explode("spans.kind").alias("kind")).groupBy("kind").agg(
+    return unnest(docs.where(F.col("state") == "done"), "spans.kind", "kind").groupBy("kind").agg(
         F.count("*").alias("n")
     ).orderBy(F.desc("n"), "kind")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.spans import unnest
 from veilspan.operators.dictionary import literal_matches
 
 RUN = 8
@@ -39,13 +40,10 @@ def containing_pairs(texts: DataFrame, text_key: str, literals: DataFrame, liter
     pairs = found.select(text_key, "nid").distinct()
     if lengths:
         long = sized.where("m > 0")
-        inner = long.select("nid", F.explode(F.array_distinct(_by_length(lengths))).alias("r")).select("nid", F.col("r.h").alias("h"))
+        inner = unnest(long, F.array_distinct(_by_length(lengths)), "r", "nid").select("nid", F.col("r.h").alias("h"))
         offered = F.concat(*[_runs(F.col("pieces"), 1, 0, m) for m in lengths])
-        windows = (
-            texts.select(text_key, F.split(text, " ", -1).alias("pieces"))
-            .select(text_key, F.explode(F.array_distinct(offered)).alias("r"))
-            .select(text_key, F.col("r.h").alias("h"))
-        )
+        cut = texts.select(text_key, F.split(text, " ", -1).alias("pieces"))
+        windows = unnest(cut, F.array_distinct(offered), "r", text_key).select(text_key, F.col("r.h").alias("h"))
         wanted = windows.join(inner.select("h").distinct(), "h", "left_semi")
         seen = wanted.groupBy("h").agg(F.count("*").alias("texts"))
         # a literal with a run that no text holds cannot occur anywhere

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
-from veilspan.functions.spans import SPAN_DDL, merge_overlapping, regex_spans, resolve_by_priority, scan, span
+from veilspan.functions.spans import SPAN_DDL, merge_overlapping, regex_spans, resolve_by_priority, scan, span, unnest
 
 SIMPLE_KINDS = ("email", "url", "ssn", "phone", "date", "amount", "address", "a_number", "receipt", "org")
 
@@ -92,7 +92,7 @@ def marker_hits(text: Column, markers: list[str]) -> Column:
 def spans_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per identifier: ``key, start, end, kind, span_text``."""
     found = df.select(key, text, identifier_spans(F.col(text)).alias("spans"))
-    return found.select(key, text, F.explode("spans").alias("s")).select(
+    return unnest(found, "spans", "s", key, text).select(
         key, "s.start", "s.end", "s.kind", F.col(text).substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("span_text")
     )
 
@@ -140,4 +140,4 @@ def ensemble(df: DataFrame, key: str, names: list[str], text: str = "text", skip
     merged = hits.groupBy(key).agg(
         merge_overlapping(F.collect_set(F.struct("start", "end", "listed", "kind"))).alias("spans")
     )
-    return merged.select(key, F.inline("spans"))
+    return unnest(merged, "spans", "s", key).select(key, "s.*")

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.spans import unnest
+
 KEY_CHARS = 4
 GRAM_CHARS = 6
 
@@ -89,13 +91,13 @@ def literal_matches(
         lambda acc: acc["out"],
     )
     placed = cut.select(*mine, "pieces", walked.alias("starts"))
-    rows = placed.select(*mine, "pieces", F.posexplode("starts").alias("i", "at")).select(
-        *mine,
-        "at",
-        F.element_at("pieces", F.col("i") + 1).alias("piece"),
-        F.try_element_at("pieces", F.col("i") + 2).alias("next_piece"),
-        F.array_join(F.slice("pieces", F.col("i") + 1, F.lit(reach)), " ").alias("context"),
-    )
+    windows = F.transform("starts", lambda at, i: F.struct(
+        at.alias("at"),
+        F.element_at("pieces", i + 1).alias("piece"),
+        F.try_element_at("pieces", i + 2).alias("next_piece"),
+        F.array_join(F.slice("pieces", i + 1, F.lit(reach)), " ").alias("context"),
+    ))
+    rows = unnest(placed, windows, "r", *mine).select(*mine, "r.*")
     piece, after = _folded(F.col("piece"), ignore_case), _folded(F.col("next_piece"), ignore_case)
     none = F.from_json(F.lit("[]"), "array<struct<key:bigint,skip:int>>")
 
@@ -113,7 +115,7 @@ def literal_matches(
             lambda i: offer(F.xxhash64(F.lit(a), F.lit(-1), piece.substr(i, F.lit(a))), i - 1),
         )
         offers.append(F.when(F.length(piece) >= a, grams).otherwise(none))
-    offered = rows.select(*mine, "at", "piece", "context", F.explode(F.concat(*offers)).alias("o")).select(
+    offered = unnest(rows, F.concat(*offers), "o", *mine, "at", "piece", "context").select(
         *mine, "at", "piece", "context", "o.key", "o.skip"
     )
     met = offered.join(keyed, ["key", *scope])

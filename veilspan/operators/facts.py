@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
+from veilspan.functions.spans import unnest
 from veilspan.operators.dictionary import literal_matches
 
 CATEGORY_ORDER = tuple(P.CATEGORY_KIND)
@@ -86,7 +87,7 @@ def partial_forms(value: Column, kind: Column) -> Column:
 def partial_table(facts: DataFrame) -> DataFrame:
     """Each short form with its first claimant over the whole catalog: ``part, kind, entity``."""
     values = fact_values(facts)
-    parts = values.select("*", F.posexplode(partial_forms(F.col("value"), F.col("kind"))).alias("part_ord", "part"))
+    parts = unnest(values, partial_forms(F.col("value"), F.col("kind")), "part", "*", at="part_ord")
     first = F.min(F.struct("matter_ord", "rank", "ord", "part_ord", "kind", "value"))
     return parts.groupBy("part").agg(first.alias("f")).select("part", F.col("f.kind").alias("kind"), F.col("f.value").alias("entity"))
 
@@ -94,7 +95,7 @@ def partial_table(facts: DataFrame) -> DataFrame:
 def own_partial_table(facts: DataFrame) -> DataFrame:
     """Each matter's claims on short forms; they come before the catalog's."""
     own = own_fact_values(facts)
-    parts = own.select("*", F.posexplode(partial_forms(F.col("value"), F.col("own_kind"))).alias("part_ord", "part"))
+    parts = unnest(own, partial_forms(F.col("value"), F.col("own_kind")), "part", "*", at="part_ord")
     first = F.min(F.struct("own_rank", "own_ord", "part_ord", "own_kind", "value"))
     return parts.groupBy("matter_id", "part").agg(first.alias("f")).select(
         "matter_id", "part", F.col("f.own_kind").alias("own_kind"), F.col("f.value").alias("own_entity")
@@ -118,12 +119,14 @@ def partial_hits(texts: DataFrame, text_key: str, facts: DataFrame, text: str =
     )
     carried = [text_key, "matter_id"] if "matter_id" in texts.columns else [text_key]
     cut = texts.select(*carried, F.split(text, edge, -1).alias("runs")).select(*carried, "runs", walked.alias("starts"))
-    rows = cut.select(*carried, "runs", F.posexplode("starts").alias("i", "start")).select(
-        *carried,
-        "start",
-        F.element_at("runs", F.col("i") + 1).alias("lead"),
-        F.array_join(F.slice("runs", F.col("i") + 1, F.lit(reach + 1)), "").alias("context"),
-    )
+    words = F.transform("starts", lambda at, i: F.when(
+        F.element_at("runs", i + 1).rlike(P.WORD),
+        F.struct(
+            at.alias("start"), F.element_at("runs", i + 1).alias("lead"),
+            F.array_join(F.slice("runs", i + 1, F.lit(reach + 1)), "").alias("context"),
+        ),
+    ))
+    rows = unnest(cut, words, "r", *carried).select(*carried, "r.*")
     after = F.col("context").substr(F.length("part") + 1, F.lit(1))
     ends_in_word = F.col("part").rlike(rf"{P.WORD}$")
     met = rows.join(parts, "lead").where(

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.functions.amounts import FORMS, amount_value, mentions, variants
+from veilspan.functions.spans import unnest
 from veilspan.operators.dictionary import literal_matches
 from veilspan.operators.facts import category_rank
 
@@ -30,9 +31,7 @@ def first_amount_owners(facts: DataFrame) -> DataFrame:
     amounts = facts.where(F.col("category") == "amounts").withColumn("value_n", amount_value(F.col("value")))
     first = F.min(F.struct("matter_ord", "ord", "matter_id", "value"))
     unique = amounts.where(F.col("value_n").isNotNull()).groupBy("value_n").agg(first.alias("f"))
-    return unique.select(
-        "value_n", "f.matter_ord", "f.ord", F.col("f.matter_id").alias("owner"), F.explode(variants(F.col("f.value"))).alias("v")
-    ).select("value_n", "matter_ord", "ord", "owner", "v.form", "v.key")
+    return unnest(unique, variants(F.col("f.value")), "v", "value_n", "f.matter_ord", "f.ord", F.col("f.matter_id").alias("owner")).select("value_n", "matter_ord", "ord", "owner", "v.form", "v.key")
 
 
 def name_matches(drafts: DataFrame, facts: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def name_matches(drafts: DataFrame, facts: DataFrame) -> DataFrame:
 
 def amount_matches(drafts: DataFrame, facts: DataFrame) -> DataFrame:
     """Amounts that a written form in the draft stands for, before own amounts are subtracted."""
-    seen = drafts.select("draft_id", "text", F.explode(mentions(F.col("text"))).alias("m")).select(
+    seen = unnest(drafts, mentions(F.col("text")), "m", "draft_id", "text").select(
         "draft_id", "m.form", "m.key", "m.start", "m.end",
         F.col("text").substr(F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("evidence"),
     )

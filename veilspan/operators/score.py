@@ -156,7 +156,7 @@ def union_candidates(spans: DataFrame, keys: list[str]) -> DataFrame:
             for p in parts:
                 of[p].append(name)
     mapping = F.create_map(*[x for d, names in sorted(of.items()) for x in (F.lit(d), F.array(*[F.lit(c) for c in names]))])
-    return spans.select(*keys, F.explode(F.element_at(mapping, F.col("detector"))).alias("candidate"), "start", "end")
+    return S.unnest(spans, F.element_at(mapping, F.col("detector")), "candidate", *keys, "start", "end")
 
 
 def metric_row(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
+from veilspan.functions.spans import unnest
 from veilspan.functions.text import blank_words, paragraphs, strip
 from veilspan.operators.containment import contaminated
 from veilspan.operators.evalrows import dash_list
@@ -137,7 +138,7 @@ def holdout_texts(rows: DataFrame, key: str) -> DataFrame:
         F.array(F.col("draft"), F.col("current")),
         F.coalesce(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: m["content"]), F.from_json(F.lit("[]"), "array<string>")),
     )
-    return rows.select(key, F.posexplode(texts).alias("i", "text")).where(F.col("text").isNotNull()).select(
+    return unnest(rows, texts, "text", key, at="i").select(
         F.concat_ws("/", F.col(key).cast("string"), F.col("i").cast("string")).alias("holdout_id"), "text"
     )
 
@@ -158,7 +159,7 @@ def split_by_matter(rows: DataFrame, held_out: DataFrame) -> tuple[DataFrame, Da
 
 def training_paragraphs(docs: DataFrame, keys: list[str], separator: str = "\n\n", min_words: int = 12) -> DataFrame:
     """Trimmed paragraphs of at least ``min_words`` words."""
-    pieces = docs.select(*keys, F.posexplode(paragraphs(F.col("text"), separator)).alias("i", "paragraph"))
+    pieces = unnest(docs, paragraphs(F.col("text"), separator), "paragraph", *keys, at="i")
     return pieces.where(F.size(blank_words(F.col("paragraph"))) >= min_words)
 
 
@@ -171,7 +172,7 @@ def label_stats(labelled: DataFrame) -> DataFrame:
     stacked = totals.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("metric"), F.lit("").alias("kind"), F.col(c).cast("bigint").alias("n")) for c in ("rows", "dropped", "spans", "empty_rows")
     ])))
-    kinds = labelled.select(F.explode("spans.kind").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    kinds = unnest(labelled, "spans.kind", "kind").groupBy("kind").agg(F.count("*").alias("n"))
     listed = labelled.sparkSession.createDataFrame([(k,) for k in P.SPAN_KINDS], "kind string")
     by_kind = listed.join(kinds, "kind", "left").select(F.lit("kind").alias("metric"), "kind", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
     return stacked.unionByName(by_kind)

@@ -83,7 +83,7 @@ def sql_found(source: str, key: str, kind: str) -> str:
 
 
 def found(df, key, spans, text="text"):
-    return df.select(key, text, F.explode(spans).alias("s")).select(
+    return S.unnest(df, spans, "s", key, text).select(
         key, "s.start", "s.end", F.col(text).substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("span_text")
     )
 
@@ -137,13 +137,13 @@ def sql_resolved(source: str, key: str) -> str:
 
 @query("c15_priority_resolution", sql_resolved(LETTERS, "draft_id"))
 def c15(t):
-    return V.drafts(t).select("draft_id", F.explode(detect.identifier_spans(F.col("text"))).alias("s")).select("draft_id", "s.start", "s.end", "s.kind")
+    return S.unnest(V.drafts(t), detect.identifier_spans(F.col("text")), "s", "draft_id").select("draft_id", "s.start", "s.end", "s.kind")
 
 
 @query("c15_document_identifiers", f"""select kind, count(*) as spans, count(distinct doc_id) as docs, cast(sum("start") as bigint) as starts, cast(sum("end" - "start") as bigint) as chars
   from ({sql_resolved(DOCS, "doc_id")}) s group by kind""")
 def c15_docs(t):
-    hits = _docs(t).select("doc_id", F.explode(detect.identifier_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    hits = S.unnest(_docs(t), detect.identifier_spans(F.col("text")), "s", "doc_id").select("doc_id", "s.*")
     return hits.groupBy("kind").agg(
         F.count("*").alias("spans"), F.countDistinct("doc_id").alias("docs"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("chars")
     )
@@ -151,7 +151,7 @@ def c15_docs(t):
 
 @query("i01_candidate_union", f"""select kind, count(*) as candidates, count(distinct draft_id) as drafts from ({sql_candidates(LETTERS, "draft_id")}) c group by kind""")
 def i01(t):
-    hits = V.drafts(t).select("draft_id", F.explode(detect.candidate_spans(F.col("text"))).alias("s")).select("draft_id", "s.kind")
+    hits = S.unnest(V.drafts(t), detect.candidate_spans(F.col("text")), "s", "draft_id").select("draft_id", "s.kind")
     return hits.groupBy("kind").agg(F.count("*").alias("candidates"), F.countDistinct("draft_id").alias("drafts"))
 
 
@@ -161,7 +161,7 @@ _MARKS = ", ".join(f"'{m}'" for m in MARKERS)
 
 @query("c21_literal_markers", f"""select doc_id, marker from (select doc_id, unnest(list_filter([{_MARKS}], lambda m: contains(lower(text), m))) as marker from documents) s""")
 def c21(t):
-    return _docs(t).select("doc_id", F.explode(detect.marker_hits(F.col("text"), MARKERS)).alias("marker"))
+    return S.unnest(_docs(t), detect.marker_hits(F.col("text"), MARKERS), "marker", "doc_id")
 
 
 @query("i02_ordered_dedupe", """select conv_id, turn, list_aggregate(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), 'string_agg', ' ') as kept
@@ -178,8 +178,7 @@ def i02(t):
 def i04(t):
     kinds = F.array_sort(F.array_distinct(detect.identifier_spans(F.col("text"))["kind"]))
     want = F.array(F.lit("date"), F.lit("name"), F.lit("org"))
-    rows = V.drafts(t).select("draft_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
-    return rows.select(
+    return V.drafts(t).select("draft_id", kinds.alias("kinds")).select(
         "draft_id", F.array_join(F.array_intersect("kinds", want), ",").alias("both_sets"), F.array_join(F.array_except("kinds", want), ",").alias("extra"),
         F.array_join(F.array_except(want, "kinds"), ",").alias("absent"),
     )
@@ -205,14 +204,14 @@ def b06(t):
 def b07(t):
     scale = F.when(F.col("o_orderkey") % 3 == 0, 100000).when(F.col("o_orderkey") % 3 == 1, 1000).otherwise(777)
     raw = F.concat(F.lit("$"), (F.floor(F.col("o_totalprice") / 1000) * scale).cast("string"))
-    rows = t.orders.select(F.col("o_orderkey").alias("draft_id"), F.explode(A.variants(raw)).alias("v"))
+    rows = S.unnest(t.orders, A.variants(raw), "v", F.col("o_orderkey").alias("draft_id"))
     return rows.select("draft_id", "v.form", "v.key")
 
 
 @query("b08_paragraphs", """select doc_id, count(*) as paragraphs, cast(sum(length(p)) as bigint) as chars, max(length(p)) as longest
   from (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') as p from documents) s where p <> '' group by doc_id""")
 def b08(t):
-    p = _docs(t).select("doc_id", F.explode(X.paragraphs(F.col("text"), "\n")).alias("p"))
+    p = S.unnest(_docs(t), X.paragraphs(F.col("text"), "\n"), "p", "doc_id")
     return p.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("p")).alias("chars"), F.max(F.length("p")).alias("longest"))
 
 
@@ -241,7 +240,7 @@ def b22(t):
 def b27(t):
     from veilspan.operators.scrub import procedure_steps
 
-    return V.notes(t).select("matter_id", F.explode(procedure_steps(F.col("text"))).alias("step"))
+    return S.unnest(V.notes(t), procedure_steps(F.col("text")), "step", "matter_id")
 
 
 @query("b28_query_keywords", """select conv_id, turn, case when len(k) > 0 then array_to_string(k, ' ') else text end as keywords
@@ -258,7 +257,7 @@ def b28(t):
   select doc_id, needle, count(*) as hits, min(pos) as first_at, max(pos) as last_at, cast(sum(pos) as bigint) as at_sum from p group by doc_id, needle""")
 def c19(t):
     rows = _docs(t).select("doc_id", "text", F.explode(F.array(F.lit("the"), F.lit("er"), F.lit("ou"))).alias("span_text"))
-    placed = rows.select("doc_id", F.col("span_text").alias("needle"), F.explode(S.literal_spans(F.col("text"), F.col("span_text"), "x")).alias("s"))
+    placed = S.unnest(rows, S.literal_spans(F.col("text"), F.col("span_text"), "x"), "s", "doc_id", F.col("span_text").alias("needle"))
     return placed.groupBy("doc_id", "needle").agg(
         F.count("*").alias("hits"), F.min("s.start").alias("first_at"), F.max("s.start").alias("last_at"), F.sum("s.start").alias("at_sum")
     )

@@ -60,7 +60,7 @@ CANDIDATES = f"""select *, 0 as listed from ({FACT_HITS}) a union all select *,
 @query("c18_candidate_entities", f"""select draft_id, count(*) as candidates, count(distinct entity) as entities, cast(sum("start") as bigint) as starts,
     count(*) filter (kind = 'quasi_identifier') as quasi from ({CANDIDATES}) c group by draft_id""")
 def c18(t):
-    rows = _candidates(t).select("draft_id", F.inline("candidates"))
+    rows = S.unnest(_candidates(t), "candidates", "c", "draft_id").select("draft_id", "c.*")
     return rows.groupBy("draft_id").agg(
         F.count("*").alias("candidates"), F.countDistinct("entity").alias("entities"), F.sum("start").alias("starts"), F.count_if(F.col("kind") == "quasi_identifier").alias("quasi")
     )
@@ -100,18 +100,18 @@ def redact_ctes(prefix: str, source: str) -> str:
 
 @query("d01_leftmost_longest", sql_merge(CANDIDATES))
 def d01(t):
-    merged = _candidates(t).select("draft_id", F.explode(S.merge_leftmost_longest(F.col("candidates"))).alias("s"))
+    merged = S.unnest(_candidates(t), S.merge_leftmost_longest(F.col("candidates")), "s", "draft_id")
     return merged.select("draft_id", "s.start", "s.end", "s.kind", "s.entity")
 
 
 @query("d02_placeholders", f"""with {redact_ctes("x", CANDIDATES)} select draft_id, "start", "end", kind, replacement from x_p""")
 def d02(t):
-    return redact.redact(_candidates(t)).select("draft_id", F.inline("spans"))
+    return S.unnest(redact.redact(_candidates(t)), "spans", "s", "draft_id").select("draft_id", "s.*")
 
 
 @query("g05_entity_numbering", f"""with {redact_ctes("x", CANDIDATES)} select replacement, count(*) as spans, count(distinct draft_id) as drafts from x_p group by replacement""")
 def g05(t):
-    spans = redact.redact(_candidates(t)).select("draft_id", F.inline("spans"))
+    spans = S.unnest(redact.redact(_candidates(t)), "spans", "s", "draft_id").select("draft_id", "s.*")
     return spans.groupBy("replacement").agg(F.count("*").alias("spans"), F.countDistinct("draft_id").alias("drafts"))
 
 
@@ -166,7 +166,7 @@ def d06(t):
     select draft_id, arg_min(replacement, case when o = n then 0 else 1000000 end + "start") as placeholder from s where o = n or (kind = 'name' and (contains(o, n) or contains(n, o))) group by draft_id""")
 def e18(t):
     who = V.matters(t).select("matter_id", F.col("client").alias("beneficiary"))
-    spans = redact.redact(_candidates(t)).select("draft_id", "matter_id", "text", F.explode("spans").alias("s"))
+    spans = S.unnest(redact.redact(_candidates(t)), "spans", "s", "draft_id", "matter_id", "text")
     rows = spans.join(who, "matter_id").select(
         "draft_id", "s.kind", "s.start", "s.replacement", "beneficiary", F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("original")
     )
@@ -263,7 +263,7 @@ def d07(t):
 def d08(t):
     f = F.col("facts")
     tokens = scrub.proper_tokens(F.concat(f["names"], f["orgs"], f["distinctive"]))
-    return V.matters(t).select("matter_id", F.explode(tokens).alias("token"))
+    return S.unnest(V.matters(t), tokens, "token", "matter_id")
 
 
 @query("d14_article_cleanup", f"""select draft_id, regexp_replace(replace(text, 'file', 'the The  counterparty'), '(?i)\\bthe\\s+the\\s+counterparty\\b', 'the counterparty', 'g') as tidy from ({V.DRAFTS}) d""")
