@@ -17,10 +17,14 @@ def words(text: Column, pattern: str = P.CARRY_TOKEN) -> Column:
 
 def word_ngrams(tokens: Column, n: int = P.CARRY_N) -> Column:
     """Sliding n-grams in reading order; fewer than ``n`` tokens give none."""
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")),
-    ).otherwise(F.from_json(F.lit("[]"), "array<string>"))
+    none = F.from_json(F.lit("[]"), "array<string>")
+
+    def windows(held: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(held) - (n - 1))
+        return F.when(F.size(held) >= n, F.transform(starts, lambda i: F.array_join(F.slice(held, i, F.lit(n)), " "))).otherwise(none)
+
+    # the tokens are bound once as a lambda variable, not computed again for every window
+    return F.flatten(F.transform(F.array(tokens), windows))
 
 
 def gram_key(gram: Column) -> Column:

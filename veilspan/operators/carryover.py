@@ -21,10 +21,10 @@ KEY = ["h1", "h2"]
 def gram_rows(texts: DataFrame, keys: list[str], n: int = P.CARRY_N, token: str = P.CARRY_TOKEN, text: str = "text", positions: bool = False) -> DataFrame:
     """``keys, h1, h2`` per distinct gram of a text, or per occurrence with ``i`` when positions are asked for."""
     tokens = texts.select(*keys, words(F.col(text), token).alias("tokens"))
-    hashed = F.transform(word_ngrams(F.col("tokens"), n), gram_key)
+    grams = word_ngrams(F.col("tokens"), n)
     if positions:
-        return unnest(tokens, hashed, "g", *keys, at="i").select(*keys, "i", "g.h1", "g.h2")
-    return unnest(tokens, F.array_distinct(hashed), "g", *keys).select(*keys, "g.h1", "g.h2")
+        return unnest(tokens, F.transform(grams, gram_key), "g", *keys, at="i").select(*keys, "i", "g.h1", "g.h2")
+    return unnest(tokens, F.transform(F.array_distinct(grams), gram_key), "g", *keys).select(*keys, "g.h1", "g.h2")
 
 
 def gram_owners(corpus: DataFrame, n: int = P.CARRY_N, token: str = P.CARRY_TOKEN) -> DataFrame:

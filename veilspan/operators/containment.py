@@ -24,11 +24,9 @@ def _runs(pieces: Column, first: int, trim: int, m: int) -> Column:
         stop >= first,
         F.transform(
             F.sequence(F.lit(first), stop),
-            lambda i: F.struct(
-                F.xxhash64(F.lit(m), F.array_join(F.slice(pieces, i, F.lit(m)), " ")).alias("h"), F.lit(m).alias("m")
-            ),
+            lambda i: F.xxhash64(F.lit(m), F.array_join(F.slice(pieces, i, F.lit(m)), " ")),
         ),
-    ).otherwise(F.from_json(F.lit("[]"), "array<struct<h:bigint,m:int>>"))
+    ).otherwise(F.from_json(F.lit("[]"), "array<bigint>"))
 
 
 def containing_pairs(texts: DataFrame, text_key: str, literals: DataFrame, literal_key: str, value: str, text: str = "text") -> DataFrame:
@@ -40,10 +38,10 @@ def containing_pairs(texts: DataFrame, text_key: str, literals: DataFrame, liter
     pairs = found.select(text_key, "nid").distinct()
     if lengths:
         long = sized.where("m > 0")
-        inner = unnest(long, F.array_distinct(_by_length(lengths)), "r", "nid").select("nid", F.col("r.h").alias("h"))
+        inner = unnest(long, F.array_distinct(_by_length(lengths)), "h", "nid")
         offered = F.concat(*[_runs(F.col("pieces"), 1, 0, m) for m in lengths])
         cut = texts.select(text_key, F.split(text, " ", -1).alias("pieces"))
-        windows = unnest(cut, F.array_distinct(offered), "r", text_key).select(text_key, F.col("r.h").alias("h"))
+        windows = unnest(cut, F.array_distinct(offered), "h", text_key)
         wanted = windows.join(inner.select("h").distinct(), "h", "left_semi")
         seen = wanted.groupBy("h").agg(F.count("*").alias("texts"))
         # a literal with a run that no text holds cannot occur anywhere
@@ -66,7 +64,7 @@ def containing_pairs(texts: DataFrame, text_key: str, literals: DataFrame, liter
 
 
 def _by_length(lengths: list[int]) -> Column:
-    chosen = F.when(F.lit(False), F.from_json(F.lit("[]"), "array<struct<h:bigint,m:int>>"))
+    chosen = F.when(F.lit(False), F.from_json(F.lit("[]"), "array<bigint>"))
     for m in lengths:
         chosen = chosen.when(F.col("m") == m, _runs(F.col("pieces"), 2, 1, m))
     return chosen

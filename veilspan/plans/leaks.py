@@ -176,8 +176,8 @@ def e05_scoreboard(t):
     )
 
 
-@query("e05_left_out_phrases", f"""with {LEFT_OUT}, at as (select distinct g.doc_id as draft_id, g.i, h.owner from grams g join hits h on h.g = g.g and h.draft_id = g.doc_id),
-  f as (select *, case when lag(owner) over w = owner and i - lag(i) over w < 6 then 0 else 1 end as new from at window w as (partition by draft_id order by i)),
+@query("e05_left_out_phrases", f"""with {LEFT_OUT}, placed as (select distinct g.doc_id as draft_id, g.i, h.owner from grams g join hits h on h.g = g.g and h.draft_id = g.doc_id),
+  f as (select *, case when lag(owner) over w = owner and i - lag(i) over w < 6 then 0 else 1 end as new from placed window w as (partition by draft_id order by i)),
   k as (select *, sum(new) over (partition by draft_id order by i) as island from f)
   select draft_id, owner, cast(min(i) as int) as first, cast(max(i) + 5 as int) as last, count(*) as grams from k group by draft_id, owner, island""")
 def e05_phrases(t):
@@ -185,8 +185,8 @@ def e05_phrases(t):
 
 
 NOTE_GRAMS = f"""owners as (select g, min(matter_id) as owner from ({grams_sql(f"({V.NOTES})", "matter_id")}) n group by g having count(distinct matter_id) = 1),
-    at as (select d.draft_id, d.matter_id, d.i, o.owner from ({grams_sql(LETTERS, "draft_id, matter_id")}) d join owners o on o.g = d.g where o.owner <> d.matter_id),
-    f as (select *, case when lag(owner) over w = owner and i - lag(i) over w < 6 then 0 else 1 end as new from at window w as (partition by draft_id order by i)),
+    placed as (select d.draft_id, d.matter_id, d.i, o.owner from ({grams_sql(LETTERS, "draft_id, matter_id")}) d join owners o on o.g = d.g where o.owner <> d.matter_id),
+    f as (select *, case when lag(owner) over w = owner and i - lag(i) over w < 6 then 0 else 1 end as new from placed window w as (partition by draft_id order by i)),
     k as (select *, sum(new) over (partition by draft_id order by i) as island from f),
     phrases as (select draft_id, matter_id, owner, cast(min(i) as int) as first, cast(max(i) + 5 as int) as last, count(*) as grams from k group by draft_id, matter_id, owner, island)"""
 
@@ -246,11 +246,12 @@ def e08(t):
 
 
 @query("e08_conversation_contamination", f"""select distinct conv_id from (select conv_id, string_agg(text, ' ' order by turn) as t from conversations where role = 'user' group by conv_id) c
-  join (select {TRIM.format('text')} as b from documents where length({TRIM.format('text')}) >= 40) h on contains(c.t, b) or contains(b, {TRIM.format('c.t')})""")
+  join (select distinct {TRIM.format('text')} as b from conversations where turn = 0 and length({TRIM.format('text')}) >= 40) h on contains(c.t, b) or contains(b, {TRIM.format('c.t')})""")
 def e08_conversations(t):
     turns = t.conversations.where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
     rows = turns.select("conv_id", F.array_join(F.col("turns.text"), " ").alias("text"))
-    return containment.contaminated(rows, "conv_id", t.documents.select("doc_id", "text"), "doc_id", P.HOLDOUT_MIN_CHARS)
+    opening = t.conversations.where("turn = 0").select(F.col("conv_id").alias("holdout_id"), "text")
+    return containment.contaminated(rows, "conv_id", opening, "holdout_id", P.HOLDOUT_MIN_CHARS)
 
 
 # --- scrub, then check again ---------------------------------------------------------------
