@@ -138,17 +138,17 @@ def f27(t):
 # the answer key of a letter: its own matter's fact sheet
 IDENTS = f"""(select d.draft_id, f.value, f.category = 'distinctive' and contains(f.value, ' ') as quasi from ({V.DRAFTS}) d join ({V.FACTS}) f using (matter_id))"""
 FACT_SPANS = f"""(select h.draft_id, 'known' as cond, 'facts' as detector, h."start", h."end" from ({FACT_HITS}) h
-   union all select h.draft_id, 'unseen', 'facts', h."start", h."end" from ({FACT_HITS}) h join ({V.DRAFTS}) d using (draft_id) left join (select distinct matter_id, value from ({V.FACTS}) f) o on o.matter_id = d.matter_id and o.value = h.entity where o.value is null)"""
+   union all select h.draft_id, 'unseen', 'facts', h."start", h."end" from ({FACT_HITS}) h join ({V.DRAFTS}) d using (draft_id) left join (select matter_id, value, (select count(distinct matter_id) from ({V.FACTS}) g where g.value = f.value) as owners from ({V.FACTS}) f) o on o.matter_id = d.matter_id and o.value = h.entity where o.value is null or o.owners > 1)"""
 RULE_SPANS = f"""(select draft_id, c as cond, 'rules' as detector, "start", "end" from ({sql_resolved(LETTERS, "draft_id")}) s cross join (select unnest(['known', 'unseen']) as c) cc)"""
 SCORES = f"""spans as materialized (select * from {FACT_SPANS} f union all select * from {RULE_SPANS} r),
-  cand as materialized (select draft_id, cond, detector as candidate, "start", "end" from spans union all select draft_id, cond, 'rules+facts', "start", "end" from spans),
+  cand as materialized (select draft_id, cond, detector as candidate, "start", "end" from spans union select draft_id, cond, 'rules+facts', "start", "end" from spans),
   all_c as (select draft_id, cond, candidate from (select draft_id from ({V.DRAFTS}) d) a, (select unnest(['known', 'unseen']) as cond) b, (select unnest(['facts', 'rules', 'rules+facts']) as candidate) c),
   occ as materialized (select draft_id, quasi, cast(pos as int) as s, cast(pos + length(value) as int) as e, value from (select *, sum(length(piece) + length(value)) over (partition by draft_id, value order by i) - length(value) as pos from (
      select *, unnest(range(1, len(g))) as i, unnest(g[1:len(g) - 1]) as piece from (select distinct i.draft_id, i.value, i.quasi, string_split(d.text, i.value) as g from {IDENTS} i join {LETTERS} d using (draft_id)) a) b) c),
   ord as (select *, max("end") over w as reach from cand window w as (partition by draft_id, cond, candidate order by "start", "end" rows between unbounded preceding and 1 preceding)),
   isl as (select *, sum(case when reach is null or "start" > reach then 1 else 0 end) over (partition by draft_id, cond, candidate order by "start", "end" rows unbounded preceding) as k from ord),
   cov as materialized (select draft_id, cond, candidate, min("start") as s, max("end") as e from isl group by draft_id, cond, candidate, k),
-  hit as (select a.draft_id, a.cond, a.candidate, o.value, o.s, o.quasi, coalesce(sum(greatest(0, least(c.e, o.e) - greatest(c.s, o.s))), 0) >= 0.8 * (any_value(o.e) - o.s) as hit
+  hit as (select a.draft_id, a.cond, a.candidate, o.value, o.s, o.quasi, coalesce(sum(case when c.s is null then 0 else least(c.e, o.e) - greatest(c.s, o.s) end), 0) >= 0.8 * (any_value(o.e) - o.s) as hit
      from all_c a join occ o using (draft_id) left join cov c on c.draft_id = a.draft_id and c.cond = a.cond and c.candidate = a.candidate and c.s < o.e and c.e > o.s group by a.draft_id, a.cond, a.candidate, o.value, o.s, o.quasi),
   tok as (select draft_id, "start" as s, "end" as e from ({V.span_cte(LETTERS, "draft_id", "text", "[A-Za-z0-9_]+")}) t),
   free as materialized (select t.* from tok t where not exists (select 1 from occ o where o.draft_id = t.draft_id and o.s < t.e and o.e > t.s)),
@@ -167,9 +167,10 @@ def _scored(t):
     )
     hits = facts.fact_hits(letters.drop("matter_id"), "draft_id", dim)
     own = dim.select("matter_id", F.col("value").alias("entity"), F.lit(True).alias("mine")).distinct()
-    placed = hits.join(letters.select("draft_id", "matter_id"), "draft_id").join(own, ["matter_id", "entity"], "left")
+    owners = dim.groupBy(F.col("value").alias("entity")).agg((F.min("matter_id") != F.max("matter_id")).alias("shared"))
+    placed = hits.join(letters.select("draft_id", "matter_id"), "draft_id").join(own, ["matter_id", "entity"], "left").join(owners, "entity")
     found = placed.groupBy("draft_id").agg(
-        F.collect_list(F.struct("start", "end")).alias("known"), F.collect_list(F.when(F.col("mine").isNull(), F.struct("start", "end"))).alias("unseen")
+        F.collect_list(F.struct("start", "end")).alias("known"), F.collect_list(F.when(F.col("mine").isNull() | F.col("shared"), F.struct("start", "end"))).alias("unseen")
     )
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
     rules = F.transform(identifier_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -236,11 +237,11 @@ def h03(t):
 
 
 @query("f16_usage_percentiles", """with s as (select unnest(['input_tokens', 'output_tokens', 'latency_s']) as metric, unnest([l_extendedprice, l_quantity, l_tax + l_discount]) as v from lineitem)
-  select metric, round(avg(v), 6) as mean, round(quantile_cont(v, 0.5), 8) as p50, round(quantile_cont(v, 0.95), 8) as p95, round(case metric when 'input_tokens' then avg(v) * 2 / 1000 when 'output_tokens' then avg(v) * 10 / 1000 end, 6) as usd_per_1k_calls from s group by metric""")
+  select metric, round(avg(v), 6) as mean, round(quantile_cont(v, 0.5), 8) as p50, round(quantile_cont(v, 0.95), 8) as p95, round(case metric when 'input_tokens' then avg(v) * 2 / 1000 when 'output_tokens' then avg(v) * 10 / 1000 end, 4) as usd_per_1k_calls from s group by metric""")
 def f16(t):
     samples = t.lineitem.select(F.col("l_extendedprice").alias("input_tokens"), F.col("l_quantity").alias("output_tokens"), (F.col("l_tax") + F.col("l_discount")).alias("latency_s"))
     u = cost.usage_summary(samples, 2.0, 10.0)
-    return u.select("metric", F.round("mean", 6).alias("mean"), F.round("p50", 8).alias("p50"), F.round("p95", 8).alias("p95"), F.round("usd_per_1k_calls", 6).alias("usd_per_1k_calls"))
+    return u.select("metric", F.round("mean", 6).alias("mean"), F.round("p50", 8).alias("p50"), F.round("p95", 8).alias("p95"), F.round("usd_per_1k_calls", 4).alias("usd_per_1k_calls"))
 
 
 @query("f16_percentile_by_group", """select l_suppkey, round(quantile_cont(l_extendedprice, 0.5), 6) as p50, round(quantile_cont(l_extendedprice, 0.95), 6) as p95 from lineitem group by l_suppkey""")
