@@ -52,6 +52,20 @@ def unnest(df, array: Column | str, name: str, *keep, at: str | None = None):
     return df.select(*keep, rows).where(F.col(name).isNotNull())
 
 
+def computed(df, value: Column, name: str):
+    """Add a column that is computed once per row, whatever filters and projections follow.
+
+    A plain column that a later filter tests would be computed for the filter
+    and again for the output.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once and held as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 SPAN_DDL = "struct<start:int,end:int,kind:string>"
 
 

@@ -74,9 +74,9 @@ def attack_checks(pairs: DataFrame, grants: DataFrame, pages: DataFrame) -> Data
     cases = pairs.select(
         "pair_id", F.col("attacker"), F.inline(F.array(
             F.struct(F.lit("own_recall").alias("check"), F.col("attacker").alias("principal"), F.col("attacker_query").alias("query"), F.lit(None).cast("string").alias("asked_source")),
-            F.struct(F.lit("control"), F.col("target"), F.col("target_query"), F.lit(None).cast("string")),
-            F.struct(F.lit("foreign_search"), F.col("attacker"), F.col("target_query"), F.lit(None).cast("string")),
-            F.struct(F.lit("all_sources"), F.col("attacker"), F.col("target_query"), F.lit(ALL_SOURCES)),
+            F.struct(F.lit("control").alias("check"), F.col("target").alias("principal"), F.col("target_query").alias("query"), F.lit(None).cast("string").alias("asked_source")),
+            F.struct(F.lit("foreign_search").alias("check"), F.col("attacker").alias("principal"), F.col("target_query").alias("query"), F.lit(None).cast("string").alias("asked_source")),
+            F.struct(F.lit("all_sources").alias("check"), F.col("attacker").alias("principal"), F.col("target_query").alias("query"), F.lit(ALL_SOURCES).alias("asked_source")),
         )),
     ).withColumn("request_id", F.struct("pair_id", "check"))
     sources = grants.select(F.col("principal").alias("attacker"), F.col("source_id").alias("own_source"))

@@ -16,7 +16,7 @@ def numbers_only(counts_json: Column) -> Column:
     kept = F.filter(
         entries,
         lambda e: e["value"].rlike(number)
-        & counts_json.rlike(F.concat(F.lit(r'"\Q'), e["key"], F.lit(r'\E"\s*:\s*-?[0-9]'))),
+        & F.regexp_like(counts_json, F.concat(F.lit(r'"\Q'), e["key"], F.lit(r'\E"\s*:\s*-?[0-9]'))),
     )
     made = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"].try_cast("double"))))
     return F.coalesce(made, F.create_map().cast("map<string,double>"))

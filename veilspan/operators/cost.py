@@ -25,20 +25,24 @@ def generated_cases(matters: DataFrame, limit: int = CASE_LIMIT) -> DataFrame:
     row = F.struct(*head.columns)
     folded = head.agg(F.array_sort(F.collect_list(row)).alias("all"))  # at most limit + 1 rows
     per_current = folded.select("all", F.posexplode("all").alias("c_ord", "c")).where(F.col("c_ord") < limit)
+    client, no_one = F.col("c.client"), F.lit(None).cast("string")
+
+    def case(place, form: int, label: str, other, *draft):
+        return F.struct(
+            place.alias("o_ord"), F.lit(form).alias("form"), F.lit(label).alias("label"), other.alias("other"),
+            F.concat(*[F.lit(d) if isinstance(d, str) else d for d in draft]).alias("draft"),
+        )
+
     own = F.array(
-        F.struct(F.lit(-1).alias("o_ord"), F.lit(0).alias("form"), F.lit("clean").alias("label"), F.lit(None).cast("string").alias("other"),
-                 F.concat(F.lit("Draft letter for "), "c.client", F.lit(" covering "), "c.name", F.lit(" and "), "c.amount", F.lit(".")).alias("draft")),
-        F.struct(F.lit(-1), F.lit(1), F.lit("clean"), F.lit(None).cast("string"),
-                 F.concat(F.lit("Following up with "), "c.client", F.lit(" regarding "), "c.detail", F.lit("; no other clients mentioned."))),
+        case(F.lit(-1), 0, "clean", no_one, "Draft letter for ", client, " covering ", F.col("c.name"), " and ", F.col("c.amount"), "."),
+        case(F.lit(-1), 1, "clean", no_one, "Following up with ", client, " regarding ", F.col("c.detail"), "; no other clients mentioned."),
     )
-    client = F.col("c.client")
     leaking = F.flatten(F.transform(
         F.filter("all", lambda o: o["matter_id"] != F.col("c.matter_id")),
         lambda o, i: F.array(
-            F.struct(i.alias("o_ord"), F.lit(2).alias("form"), F.lit("leak").alias("label"), o["matter_id"].alias("other"),
-                     F.concat(F.lit("Draft for "), client, F.lit(" mentions "), o["name"], F.lit(" and the amount "), o["amount"], F.lit(" from an unrelated matter.")).alias("draft")),
-            F.struct(i, F.lit(3), F.lit("leak"), o["matter_id"], F.concat(F.lit("Draft for "), client, F.lit(" also describes: "), o["detail"], F.lit("."))),
-            F.struct(i, F.lit(4), F.lit("leak"), o["matter_id"], F.concat(F.lit("Note for "), client, F.lit("'s file references "), o["org"], F.lit(" in passing."))),
+            case(i, 2, "leak", o["matter_id"], "Draft for ", client, " mentions ", o["name"], " and the amount ", o["amount"], " from an unrelated matter."),
+            case(i, 3, "leak", o["matter_id"], "Draft for ", client, " also describes: ", o["detail"], "."),
+            case(i, 4, "leak", o["matter_id"], "Note for ", client, "'s file references ", o["org"], " in passing."),
         ),
     ))
     cases = per_current.select("c_ord", F.col("c.matter_id").alias("current"), F.inline(F.concat(own, leaking)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
 from veilspan.functions.amounts import amount_value, mentions, variants
+from veilspan.functions.spans import bind, computed
 from veilspan.functions.text import strip, word_ngrams, words
 
 BLOCK_DDL = "struct<matter_id:string,names:array<string>,orgs:array<string>,amounts:array<string>,text:string>"
@@ -14,22 +15,34 @@ FLAT_DDL = "id string, trick string, category string, current string, protected
 CHAT_DDL = "messages array<struct<role:string,content:string>>, meta struct<label:string>"
 
 
+_CUT = "\x01"
+
+
 def parse_block(text: Column, fallback_id: Column) -> Column:
-    """Matter prose as a struct; null when it does not follow the block form."""
-    body = strip(text)
+    """Matter prose as a struct; null when it does not follow the block form.
+
+    One regex pass: the groups are written out with a control character between
+    them and split again (that character counts as a blank in the prose).
+    """
+    body = strip(F.translate(text, _CUT, " "))
+    head, pattern = "(?s)", P.MATTER_BLOCK.removeprefix("(?s)")
+    groups = _CUT.join(f"${i}" for i in range(1, 8))
+
+    def built(prose: Column) -> Column:
+        return bind(F.split(F.regexp_replace(prose, f"{head}^.*?{pattern}.*$", groups), _CUT, -1), lambda g: _block(prose, g, fallback_id))
+
+    return bind(body, built)
 
-    def group(i: int) -> Column:
-        return F.regexp_extract(body, P.MATTER_BLOCK, i)
 
-    names = F.filter(F.array_distinct(F.array(strip(group(2)), strip(group(4)))), lambda n: n != "")
-    amount = F.regexp_extract(group(7), P.BLOCK_AMOUNT, 0)
+def _block(body: Column, g: Column, fallback_id: Column) -> Column:
+    names = F.filter(F.array_distinct(F.array(strip(g[1]), strip(g[3]))), lambda n: n != "")
     return F.when(
-        body.rlike(P.MATTER_BLOCK),
+        F.size(g) == 7,
         F.struct(
-            F.coalesce(F.nullif(strip(group(1)), F.lit("")), fallback_id).alias("matter_id"),
+            F.coalesce(F.nullif(strip(g[0]), F.lit("")), fallback_id).alias("matter_id"),
             names.alias("names"),
-            F.array(strip(group(3))).alias("orgs"),
-            F.filter(F.array(amount), lambda a: a != "").alias("amounts"),
+            F.array(strip(g[2])).alias("orgs"),
+            F.filter(F.array(F.regexp_extract(g[6], P.BLOCK_AMOUNT, 0)), lambda a: a != "").alias("amounts"),
             body.alias("text"),
         ),
     )
@@ -42,16 +55,10 @@ def protected_blocks(lines: Column) -> Column:
         F.transform(cleaned, lambda l, i: F.when(l != "", parse_block(l, F.concat(F.lit("protected_"), i.cast("string"))))),
         lambda b: b.isNotNull(),
     )
-    frame = F.array(F.struct(parsed.alias("blocks"), F.transform(parsed, lambda b: b["matter_id"]).alias("ids")))
-
-    def last_wins(f: Column) -> Column:
-        keep = F.transform(
-            F.array_distinct(f["ids"]),
-            lambda wanted: F.element_at(F.filter(f["blocks"], lambda b: b["matter_id"] == wanted), -1),
-        )
-        return keep
-
-    return F.flatten(F.transform(frame, last_wins))
+    return bind(parsed, lambda blocks: F.transform(
+        F.array_distinct(F.transform(blocks, lambda b: b["matter_id"])),
+        lambda wanted: F.element_at(F.filter(blocks, lambda b: b["matter_id"] == wanted), -1),
+    ))
 
 
 def _label(raw: Column) -> Column:
@@ -59,32 +66,33 @@ def _label(raw: Column) -> Column:
     return F.when(label.isin("LEAK", "CLEAN"), label)
 
 
+def _row(current: Column, fits: Column, protected: Column, draft: Column, label: Column) -> Column:
+    def built(block: Column) -> Column:
+        return F.when(
+            block.isNotNull() & fits & _label(label).isNotNull(),
+            F.struct(block.alias("current"), protected_blocks(protected).alias("protected"), strip(draft).alias("draft"), _label(label).alias("label")),
+        )
+
+    return bind(parse_block(current, F.lit("current")), built)
+
+
 def parse_flat(current: Column, protected: Column, draft: Column, label: Column) -> Column:
     """``struct<current, protected, draft, label>`` of a flat row, null when a part is missing."""
-    block = parse_block(current, F.lit("current"))
-    return F.when(
-        block.isNotNull() & protected.isNotNull() & draft.isNotNull() & _label(label).isNotNull(),
-        F.struct(block.alias("current"), protected_blocks(protected).alias("protected"), strip(draft).alias("draft"), _label(label).alias("label")),
-    )
+    return _row(current, protected.isNotNull() & draft.isNotNull(), protected, draft, label)
 
 
 def parse_chat(messages: Column, label: Column) -> Column:
     """The same struct from the user message of a chat row."""
-    user = F.try_element_at(messages, F.lit(2))["content"]
-    head = F.substring_index(user, "DRAFT:", 1)
-    draft = user.substr(F.length(head) + 7, F.length(user))
-    current = F.substring_index(head, "PROTECTED (other matters):", 1)
-    rest = head.substr(F.length(current) + 27, F.length(head))
-    block = parse_block(F.replace(current, F.lit("CURRENT MATTER"), F.lit("")), F.lit("current"))
-    return F.when(
-        user.contains("DRAFT:") & block.isNotNull() & _label(label).isNotNull(),
-        F.struct(
-            block.alias("current"),
-            protected_blocks(F.split(strip(rest), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85]", -1)).alias("protected"),
-            strip(draft).alias("draft"),
-            _label(label).alias("label"),
-        ),
-    )
+    def cut(user: Column) -> Column:
+        head = F.substring_index(user, "DRAFT:", 1)
+        current = F.substring_index(head, "PROTECTED (other matters):", 1)
+        rest = head.substr(F.length(current) + 27, F.length(head))
+        return _row(
+            F.replace(current, F.lit("CURRENT MATTER"), F.lit("")), user.contains("DRAFT:"),
+            F.split(strip(rest), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85]", -1), user.substr(F.length(head) + 7, F.length(user)), label,
+        )
+
+    return bind(F.try_element_at(messages, F.lit(2))["content"], cut)
 
 
 def parse_rows(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -94,20 +102,18 @@ def parse_rows(lines: DataFrame, line: str = "value") -> DataFrame:
     """
     fail = {"mode": "FAILFAST"}
     kept = lines.where(strip(F.col(line)) != "")
-    both = kept.withColumn("chat", F.from_json(line, CHAT_DDL, fail)).withColumn("flat", F.from_json(line, FLAT_DDL, fail))
-    return both.withColumn(
-        "row",
-        F.coalesce(
-            parse_chat(F.col("chat.messages"), F.col("chat.meta.label")),
-            parse_flat(F.col("flat.current"), F.col("flat.protected"), F.col("flat.draft"), F.col("flat.label")),
-        ),
+    both = computed(computed(kept, F.from_json(line, CHAT_DDL, fail), "chat"), F.from_json(line, FLAT_DDL, fail), "flat")
+    row = F.coalesce(
+        parse_chat(F.col("chat.messages"), F.col("chat.meta.label")),
+        parse_flat(F.col("flat.current"), F.col("flat.protected"), F.col("flat.draft"), F.col("flat.label")),
     )
+    return computed(both, row, "row")
 
 
 def judge_case(lines: DataFrame, system_prompt: str, line: str = "value") -> DataFrame:
     """JSON lines to ``case``: current, protected, draft, label and the messages to send."""
     kept = lines.where(strip(F.col(line)) != "")
-    both = kept.withColumn("chat", F.from_json(line, CHAT_DDL)).withColumn("flat", F.from_json(line, FLAT_DDL))
+    both = computed(computed(kept, F.from_json(line, CHAT_DDL), "chat"), F.from_json(line, FLAT_DDL), "flat")
     user = F.try_element_at(F.col("chat.messages"), F.lit(2))["content"]
     label = F.lower(strip(F.coalesce(F.col("chat.meta.label"), F.lit(""))))
     chat = F.when(
@@ -129,7 +135,7 @@ def judge_case(lines: DataFrame, system_prompt: str, line: str = "value") -> Dat
             judge_messages(current, protected, draft, system_prompt).alias("messages"),
         ),
     )
-    return both.withColumn("case", F.coalesce(chat, flat))
+    return computed(both, F.coalesce(chat, flat), "case")
 
 
 def judge_messages(current: Column, protected: Column, draft: Column, system_prompt: str) -> Column:

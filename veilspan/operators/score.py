@@ -108,40 +108,42 @@ def delta_vs_base(results: DataFrame, base: str) -> DataFrame:
 
 # --- coverage of identifiers --------------------------------------------------
 
-COVERAGE_DDL = "struct<caught:int,leaks:int,q_caught:int,q_leaks:int,false_alarms:int,clean:int>"
+def answer_key(text: Column, idents: Column, quasi: Column) -> Column:
+    """What a paragraph is scored against: ``placed`` identifiers and ``free`` words that touch none of them.
 
-
-def coverage(text: Column, idents: Column, quasi: Column, predicted: Column) -> Column:
-    """Score of predicted ``start, end`` spans on one paragraph.
-
-    Every occurrence of every identifier counts, caught when 80% of its
-    characters are covered; ``quasi`` are the identifiers counted apart as well.
-    Words that touch no identifier and do touch a prediction are over-redacted.
+    Every occurrence of every identifier counts; ``quasi`` are the ones counted apart as well.
     """
     placed = F.flatten(F.transform(F.array_distinct(idents), lambda v: F.transform(
         S.occurrence_starts(text, v),
         lambda at: F.struct(at.alias("start"), (at + F.length(v)).alias("end"), F.array_contains(quasi, v).alias("quasi")),
     )))
     tokens = S.scan(text, rf"{P.WORD}+", lambda at, m, gap: F.struct(at.alias("start"), (at + F.length(m)).alias("end")), "struct<start:int,end:int>")
-    frame = F.array(F.struct(
-        placed.alias("placed"), tokens.alias("tokens"), S.cover(predicted).alias("removed"),
-        S.cover(placed).alias("kept"),
-    ))
 
-    def counted(f: Column) -> Column:
-        hits = F.transform(f["placed"], lambda o: F.struct(
+    def free(kept: Column) -> Column:
+        return F.filter(tokens, lambda t: ~F.exists(kept, lambda k: (t["start"] < k["end"]) & (t["end"] > k["start"])))
+
+    return S.bind(placed, lambda p: F.struct(p.alias("placed"), S.bind(S.cover(p), free).alias("free")))
+
+
+def coverage(key: Column, predicted: Column) -> Column:
+    """Score of predicted ``start, end`` spans against an ``answer_key``.
+
+    An identifier is caught when 80% of its characters are covered. Free words
+    that touch a prediction are over-redacted.
+    """
+    def counted(removed: Column) -> Column:
+        hits = F.transform(key["placed"], lambda o: F.struct(
             o["quasi"].alias("quasi"),
-            (S.covered_chars(f["removed"], o["start"], o["end"]) >= P.COVERED_SHARE * (o["end"] - o["start"])).alias("hit"),
+            (S.covered_chars(removed, o["start"], o["end"]) >= P.COVERED_SHARE * (o["end"] - o["start"])).alias("hit"),
         ))
-        free = F.filter(f["tokens"], lambda t: ~F.exists(f["kept"], lambda k: (t["start"] < k["end"]) & (t["end"] > k["start"])))
-        over = F.filter(free, lambda t: F.exists(f["removed"], lambda k: (t["start"] < k["end"]) & (t["end"] > k["start"])))
-        return F.struct(
-            F.size(F.filter(hits, lambda h: h["hit"])).alias("caught"), F.size(hits).alias("leaks"),
-            F.size(F.filter(hits, lambda h: h["hit"] & h["quasi"])).alias("q_caught"), F.size(F.filter(hits, lambda h: h["quasi"])).alias("q_leaks"),
-            F.size(over).alias("false_alarms"), F.size(free).alias("clean"),
-        )
-
-    return F.element_at(F.transform(frame, counted), 1)
+        over = F.filter(key["free"], lambda t: F.exists(removed, lambda k: (t["start"] < k["end"]) & (t["end"] > k["start"])))
+        return S.bind(hits, lambda h: F.struct(
+            F.size(F.filter(h, lambda x: x["hit"])).alias("caught"), F.size(h).alias("leaks"),
+            F.size(F.filter(h, lambda x: x["hit"] & x["quasi"])).alias("q_caught"), F.size(F.filter(h, lambda x: x["quasi"])).alias("q_leaks"),
+            F.size(over).alias("false_alarms"), F.size(key["free"]).alias("clean"),
+        ))
+
+    return S.bind(S.cover(predicted), counted)
 
 
 def union_candidates(spans: DataFrame, keys: list[str]) -> DataFrame:

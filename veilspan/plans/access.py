@@ -196,7 +196,7 @@ def e21(t):
     return out.select("id", "label", "petitioner", "matter_id", "beneficiary", F.length("text").alias("chars"), "source", "state", "removed")
 
 
-@query("e22_generated_cases", f"""with m as (select *, row_number() over (order by matter_ord) - 1 as c from ({V.MATTERS}) x), h as (select * from m where c <= 20),
+@query("e22_generated_cases", f"""with m as (select *, matter_ord as c from ({V.MATTERS}) x), h as (select * from m where c <= 20),
   x as (select c as c_ord, -1 as o_ord, 0 as form, matter_id as current, null as other, 'clean' as label, 'Draft letter for ' || client || ' covering ' || name_1 || ' and ' || amount_1 || '.' as draft from h
     union all select c, -1, 1, matter_id, null, 'clean', 'Following up with ' || client || ' regarding ' || detail_1 || '; no other clients mentioned.' from h
     union all select a.c, b.c - case when b.c > a.c then 1 else 0 end, f, a.matter_id, b.matter_id, 'leak', case f when 2 then 'Draft for ' || a.client || ' mentions ' || b.name_1 || ' and the amount ' || b.amount_1 || ' from an unrelated matter.' when 3 then 'Draft for ' || a.client || ' also describes: ' || b.detail_1 || '.' else 'Note for ' || a.client || '''s file references ' || b.org_1 || ' in passing.' end
@@ -206,7 +206,7 @@ def e22(t):
     return cost.generated_cases(V.matters(t))
 
 
-@query("f22_evasion_matrix", f"""select draft_id as case_id, variant, 'Dear' in (string_split(text, ' ')) as scrub, variant in (1, 8) as regex, contains(text, 'trailer') as carryover, not ('Dear' in (string_split(text, ' ')) or variant in (1, 8) or contains(text, 'trailer')) as evades_all from ({V.DRAFTS}) d""")
+@query("f22_evasion_matrix", f"""select draft_id as case_id, variant, list_contains(string_split(text, ' '), 'Dear') as scrub, variant in (1, 8) as regex, contains(text, 'trailer') as carryover, not (list_contains(string_split(text, ' '), 'Dear') or variant in (1, 8) or contains(text, 'trailer')) as evades_all from ({V.DRAFTS}) d""")
 def f22(t):
     d = V.drafts(t).select(F.col("draft_id").alias("case_id"), "variant", "text")
     parts = [("regex", F.col("variant").isin(1, 8)), ("carryover", F.col("text").contains("trailer")), ("scrub", F.array_contains(F.split("text", " "), "Dear"))]

@@ -68,10 +68,10 @@ def c18(t):
 
 def _candidates(t):
     d = V.drafts(t).select("draft_id", "matter_id", "text")
+    read = S.computed(d, redact.with_entity(F.col("text"), identifier_spans(F.col("text"))), "rules")
     known = redact.known_candidates(d, "draft_id", facts.fact_table(V.matters(t)))
     none = F.from_json(F.lit("[]"), f"array<{redact.CANDIDATE}>")
-    rules = redact.with_entity(F.col("text"), identifier_spans(F.col("text")))
-    return d.join(known, "draft_id", "left").withColumn("candidates", F.concat(F.coalesce("known", none), rules)).drop("known")
+    return read.join(known, "draft_id", "left").withColumn("candidates", F.concat(F.coalesce("known", none), "rules")).drop("known", "rules")
 
 
 def sql_merge(source: str) -> str:

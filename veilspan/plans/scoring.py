@@ -174,16 +174,18 @@ def _scored(t):
     )
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
     rules = F.transform(identifier_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    base = letters.join(sheet, "matter_id").join(found, "draft_id", "left").select(
-        "draft_id", "text", "idents", "quasi", rules.alias("rules"), F.coalesce("known", none).alias("known"), F.coalesce("unseen", none).alias("unseen")
+    # the text work is done where the letters are read; only spans travel to the join
+    read = S.computed(S.computed(letters.join(sheet, "matter_id"), score.answer_key(F.col("text"), F.col("idents"), F.col("quasi")), "key"), rules, "rules")
+    base = read.select("draft_id", "key", "rules").join(found, "draft_id", "left").select(
+        "draft_id", "key", "rules", F.coalesce("known", none).alias("known"), F.coalesce("unseen", none).alias("unseen")
     )
     variants = F.array(*[
         F.struct(F.lit(cond).alias("cond"), F.lit(name).alias("candidate"), predicted.alias("predicted"))
         for cond in ("known", "unseen")
         for name, predicted in (("facts", F.col(cond)), ("rules", F.col("rules")), ("rules+facts", F.concat("rules", cond)))
     ])
-    rows = S.unnest(base, variants, "v", "draft_id", "text", "idents", "quasi").select("draft_id", "text", "idents", "quasi", "v.*")
-    return rows.select("draft_id", "cond", "candidate", score.coverage(F.col("text"), F.col("idents"), F.col("quasi"), F.col("predicted")).alias("s"))
+    rows = S.unnest(base, variants, "v", "draft_id", "key").select("draft_id", "key", "v.*")
+    return S.computed(rows, score.coverage(F.col("key"), F.col("predicted")), "s").drop("key", "predicted")
 
 
 def _metrics(t):
