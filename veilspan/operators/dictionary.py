@@ -26,6 +26,15 @@ KEY_CHARS = 4
 GRAM_CHARS = 6
 
 
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
+
+
+def within_bound(table: DataFrame, rows: int, value_bytes: int) -> DataFrame:
+    """Broadcast hint for a counted table under the bound; beyond it the join shuffles on its key."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS and value_bytes <= BROADCAST_BYTES else table
+
+
 def _folded(value: Column, ignore_case: bool) -> Column:
     return F.lower(value) if ignore_case else value
 
@@ -70,7 +79,9 @@ def literal_matches(
     scope = scope or []
     keyed = _keyed_literals(literals, value, ignore_case)
     # at most (KEY_CHARS + 1)^2 + GRAM_CHARS rows, whatever the dictionary size
-    shapes = keyed.groupBy("a", "b").agg(F.max("n_pieces").alias("reach")).collect()
+    shapes = keyed.groupBy("a", "b").agg(
+        F.max("n_pieces").alias("reach"), F.count("*").alias("rows"), F.sum(F.octet_length(value)).alias("bytes")
+    ).collect()
     kept = literals.columns
     mine = [text_key, *scope]
     if not shapes:
@@ -118,7 +129,7 @@ def literal_matches(
     offered = unnest(rows, F.concat(*offers), "o", *mine, "at", "piece", "context").select(
         *mine, "at", "piece", "context", "o.key", "o.skip"
     )
-    met = offered.join(keyed, ["key", *scope])
+    met = offered.join(within_bound(keyed, sum(r["rows"] for r in shapes), sum(r["bytes"] for r in shapes)), ["key", *scope])
     skip = F.when(F.col("skip") >= 0, F.col("skip")).otherwise(F.length("piece") - F.length("p1"))
     found = F.col("context").substr(skip + 1, F.length(value))
     verified = met.where((skip >= 0) & (_folded(found, ignore_case) == F.col("needle")))

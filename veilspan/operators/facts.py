@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
 from veilspan.functions.spans import unnest
-from veilspan.operators.dictionary import literal_matches
+from veilspan.operators.dictionary import literal_matches, within_bound
 
 CATEGORY_ORDER = tuple(P.CATEGORY_KIND)
 
@@ -110,7 +110,8 @@ def partial_hits(texts: DataFrame, text_key: str, facts: DataFrame, text: str =
     """
     edge = rf"(?<={P.WORD})(?!{P.WORD})|(?<!{P.WORD})(?={P.WORD})"
     parts = partial_table(facts).withColumn("lead", F.regexp_extract("part", rf"^{P.WORD}+", 0))
-    reach = parts.agg(F.max(F.size(F.split("part", edge, -1)))).first()[0] or 1
+    sizes = parts.agg(F.max(F.size(F.split("part", edge, -1))), F.count("*"), F.sum(F.octet_length("part") + F.octet_length("entity"))).first()
+    reach = sizes[0] or 1
     walked = F.aggregate(
         "runs",
         F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<int>").alias("out")),
@@ -129,7 +130,7 @@ def partial_hits(texts: DataFrame, text_key: str, facts: DataFrame, text: str =
     rows = unnest(cut, words, "r", *carried).select(*carried, "r.*")
     after = F.col("context").substr(F.length("part") + 1, F.lit(1))
     ends_in_word = F.col("part").rlike(rf"{P.WORD}$")
-    met = rows.join(parts, "lead").where(
+    met = rows.join(within_bound(parts, sizes[1], sizes[2] or 0), "lead").where(
         F.col("context").startswith(F.col("part")) & (ends_in_word != after.rlike(P.WORD))
     )
     found = met.select(*carried, "start", (F.col("start") + F.length("part")).alias("end"), "kind", "entity", "part")
