@@ -26,16 +26,9 @@ def _kind_of(placeholder: Column) -> Column:
 def system_prompt(practice: Column, may: Column, never: Column) -> Column:
     """Policy prompt of a practice: what never leaves, what may be reused, the span kinds, the reply form."""
     kinds = "\n".join(f"- {k} -> {v}" for k, v in P.SPAN_KINDS.items())
+    head, policy, reuse, task, reply = P.DEID_PROMPT
     return F.concat(
-        F.lit("You de-identify passages from a law firm's "), practice, F.lit(" matters.\nFirm policy: these never leave the matter:\n"),
-        dash_list(never), F.lit("\nThese may be reused across matters: "), F.array_join(may, ", "),
-        F.lit(
-            ".\n\nList every span that must be removed, including paraphrased quasi-identifiers: descriptions specific enough "
-            "to single out a person (a unique title, a 'youngest/first/only' claim, a named list or ranking). Do not remove "
-            "generic legal argument, criteria language or exhibit structure.\n\nKinds and replacements:\n" + kinds +
-            '\n\nReply with JSON only: {"spans":[{"text":"<exact substring>","kind":"<kind>","replacement":"<replacement>"}]}. '
-            'Each text must be copied exactly from the passage. If nothing must be removed reply {"spans":[]}.'
-        ),
+        F.lit(head), practice, F.lit(policy), dash_list(never), F.lit(reuse), F.array_join(may, ", "), F.lit(task + kinds + reply)
     )
 
 
