@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "pii")
+MODULES = ("quality", "pii", "packing")
 
 
 def load():

@@ -26,8 +26,6 @@ NOT_PLAIN = regex.compile(r"[^\x09-\x0d\x20-\x7e¡-ÿ–—‘-”•…€]")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered per worker, at most; beyond it the memory begins anew.
 REMEMBERED = 400_000
-#: A piece without blanks, but for one before it, which some tokenizers count to the word.
-ONE_WORD = regex.compile(r" ?\S+")
 SIZE_BITS = 24
 
 
@@ -73,32 +71,30 @@ class Encoder:
         self.known.clear()
         self.flat, self.used = np.zeros(1 << 16, self.width), 0
 
-    def _keep(self, piece: str, ids: np.ndarray) -> None:
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known[piece] = self.used << SIZE_BITS | len(ids)
+        self.known.update(zip(pieces, ((self.used + np.cumsum(sizes) - sizes) << SIZE_BITS | sizes).tolist(), strict=True))
         self.used += len(ids)
 
     def _learn(self, pieces: list[str]) -> None:
         """Many pieces in one call: joined by a break that is a piece of its own (or none), told apart by the library's word numbers."""
-        rest = [p for p in pieces if not ONE_WORD.fullmatch(p)]
-        words = [p for p in pieces if ONE_WORD.fullmatch(p)]
-        step = 1 if self.lower else 2
+        blanks = [p for p in pieces if p.isspace()]
+        words = [p for p in pieces if not p.isspace()]
+        first, step = (0, 1) if self.lower else (2, 2)
         for k in range(0, len(words), 1000):
             part = words[k : k + 1000]
             got = self.library.encode(("" if self.lower else "x\n") + "\n".join(part), add_special_tokens=False)
             at = np.array(got.word_ids, np.int64)
-            if not len(at) or at[-1] != step * len(part) - (1 if self.lower else 0):
-                rest += part
+            if not len(at) or at[-1] != first + step * (len(part) - 1):
+                blanks += part
                 continue
-            first = np.searchsorted(at, np.arange(0 if self.lower else 2, at[-1] + 1, step))
-            last = np.searchsorted(at, np.arange(0 if self.lower else 2, at[-1] + 1, step), "right")
-            ids = np.array(got.ids, self.width)
-            for p, a, b in zip(part, first.tolist(), last.tolist(), strict=True):
-                self._keep(p, ids[a:b])
-        for p, ids in zip(rest, self.whole(rest), strict=True):
-            self._keep(p, ids)
+            mine = (at >= first) & ((at - first) % step == 0)
+            self._keep(part, np.array(got.ids, self.width)[mine], np.bincount((at[mine] - first) // step, minlength=len(part)))
+        if blanks:
+            apart = self.whole(blanks)
+            self._keep(blanks, np.concatenate(apart), np.array([len(x) for x in apart], np.int64))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.width) for e in self.library.encode_batch(texts, add_special_tokens=False)]
