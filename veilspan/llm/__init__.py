@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "pii", "packing")
+MODULES = ("quality", "pii", "packing", "simhash")
 
 
 def load():
