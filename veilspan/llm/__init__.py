@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "pii", "packing", "simhash")
+MODULES = ("urls", "token_files", "packing", "quality", "simhash", "pii")
 
 
 def load():
