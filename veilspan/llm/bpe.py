@@ -4,7 +4,8 @@ The ranks are compiled into a transducer that reads a piece byte by byte. A stat
 still begin: for each its node in the token tree, and the tokens that lead to it and are not emitted yet. A byte moves all nodes;
 where a node completes a token that may follow its predecessor, the place behind it gets its encoding, of which there is exactly one. What
 all places of a state have in common is emitted, so a token leaves after a lookahead of at most the longest token. States and
-moves are made when first met and remembered. Two tokens may follow each other if merging their bytes by rank gives them back.
+moves are made when first met and remembered. Two tokens may follow each other if merging their bytes by rank gives them back; that is so if, while the merges
+beside the boundary are undone from the last to the first, no two parts that meet there had a merge due earlier.
 
 The decoder feeds bytes through a UTF-8 state machine and holds back only a character that is not complete yet.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,7 +33,7 @@ from veilspan.llm.packing import portions
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: States kept by a worker, at most; beyond it the transducer is compiled anew as texts need it.
-MOST_STATES = 150_000
+MOST_STATES = 500_000
 CHUNK_IDS = 1 << 16
 
 
@@ -40,13 +42,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merged(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """BPE by its definition: the adjacent pair of least rank is merged, the leftmost first, until none is left."""
+def merged(data: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
+    """BPE by its definition: the adjacent pair of least rank (under ``below``) is merged, the leftmost first, until none is left."""
     parts = [data[i : i + 1] for i in range(len(data))]
     while len(parts) > 1:
         pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         least = min((r for r in pairs if r is not None), default=None)
-        if least is None:
+        if least is None or (below is not None and least >= below):
             break
         i = pairs.index(least)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -54,8 +56,6 @@ def merged(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class Transducer:
-    START = 0
-
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
@@ -70,27 +70,69 @@ class Transducer:
                     self.token_at.append(-1)
             self.token_at[node] = rank
         self.follows: dict[tuple[int, int], bool] = {}
+        self.halves = self._halves()
+        self.joins = {pair: rank for rank, pair in self.halves.items()}
         self._begin()
 
     def _begin(self) -> None:
-        #: A state: the last emitted token (-1: none) and, for each live place, its node and the tokens that lead there.
-        start = (-1, ((0, ()),))
-        self.number, self.states, self.moves = {start: 0}, [start], [{}]
+        #: State 0 is the start. A state is kept as packed numbers, see ``_pack``; a move as (next state) * 2 + (emits something).
+        start = self._pack(-1, [(0, ())])
+        self.number, self.states, self.moves, self.emits = {start: 0}, [start], {}, {}
+
+    @staticmethod
+    def _pack(last: int, places: list[tuple[int, tuple[int, ...]]]) -> bytes:
+        """The last emitted token (-1: none, or no place looks back at it), then node, number of tokens and tokens of each live place."""
+        flat = array("i", [last if any(not path for _, path in places) else -1])
+        for node, path in places:
+            flat.append(node)
+            flat.append(len(path))
+            flat.extend(path)
+        return flat.tobytes()
+
+    @staticmethod
+    def _unpack(state: bytes) -> tuple[int, list[tuple[int, tuple[int, ...]]]]:
+        flat = array("i")
+        flat.frombytes(state)
+        places, at = [], 1
+        while at < len(flat):
+            end = at + 2 + flat[at + 1]
+            places.append((flat[at], tuple(flat[at + 2 : end])))
+            at = end
+        return flat[0], places
+
+    def _halves(self) -> dict[int, tuple[int, int]]:
+        """The two tokens that a token's last merge joined; a token that merging never makes is left out, single bytes have none."""
+        out = {}
+        for token, rank in self.ranks.items():
+            if len(token) > 1:
+                parts = merged(token, self.ranks, rank)
+                if len(parts) == 2:
+                    out[rank] = (self.ranks[parts[0]], self.ranks[parts[1]])
+        return out
 
     def may_follow(self, left: int, right: int) -> bool:
         known = self.follows.get((left, right))
         if known is None:
-            b = self.bytes_of[right]
-            if left < 0:
-                known = merged(b, self.ranks) == [b]
-            else:
-                a = self.bytes_of[left]
-                known = self.may_follow(-1, right) and merged(a + b, self.ranks) == [a, b]
-            self.follows[left, right] = known
+            made = right in self.halves or len(self.bytes_of[right]) == 1
+            known = self.follows[left, right] = made and (left < 0 or self._stays_apart(left, right))
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, places = self.states[state]
+    def _stays_apart(self, left: int, right: int) -> bool:
+        due = len(self.ranks) + 1  # what is side by side now stays so while merges of a lower rank than this are done
+        while True:
+            joint = self.joins.get((left, right))
+            if joint is not None and joint < due:
+                return False
+            open_left, open_right = self.halves.get(left), self.halves.get(right)
+            if open_left is None and open_right is None:
+                return True
+            if open_right is None or (open_left is not None and left > right):
+                left, due = open_left[1], left  # of equal ranks the left one is merged first
+            else:
+                right, due = open_right[0], right + 1
+
+    def _move(self, state: int, byte: int) -> int:
+        last, places = self._unpack(self.states[state])
         live, here = [], None
         for node, path in places:
             node = self.tree[node].get(byte)
@@ -102,30 +144,34 @@ class Transducer:
             if self.tree[node]:
                 live.append((node, path))
         live.append((0, here))
-        paths = [p for _, p in live]
-        n = 0
-        while all(len(p) > n and p[n] == paths[0][n] for p in paths):
-            n += 1
-        out = paths[0][:n]
-        new = (out[-1] if out else last, tuple((node, p[n:]) for node, p in live))
-        number = self.number.get(new)
-        if number is None:
-            number = self.number[new] = len(self.states)
+        first = live[0][1]
+        n = min(len(p) for _, p in live)
+        for _, path in live[1:]:
+            while path[:n] != first[:n]:
+                n -= 1
+        new = self._pack(first[n - 1] if n else last, [(node, p[n:]) for node, p in live] if n else live)
+        number = self.number.setdefault(new, len(self.states))
+        if number == len(self.states):
             self.states.append(new)
-            self.moves.append({})
-        move = self.moves[state][byte] = (number, out)
+        key = state << 8 | byte
+        if n:
+            self.emits[key] = first[:n]
+        move = self.moves[key] = number << 1 | (n > 0)
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > MOST_STATES:
             self._begin()
-        state, ids, moves = self.START, [], self.moves
+        state, ids, moves, emits = 0, [], self.moves, self.emits
         for byte in piece:
-            move = moves[state].get(byte)
-            state, out = move if move is not None else self._move(state, byte)
-            if out:
-                ids += out
-        return [*ids, *self.states[state][1][-1][1]]
+            key = state << 8 | byte
+            move = moves.get(key)
+            if move is None:
+                move = self._move(state, byte)
+            if move & 1:
+                ids += emits[key]
+            state = move >> 1
+        return [*ids, *self._unpack(self.states[state])[1][-1][1]]
 
 
 class BpeEncoder(PieceMemory):

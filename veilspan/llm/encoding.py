@@ -39,7 +39,46 @@ def vocabulary(spark, name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
+class PieceMemory:
+    """Ids of pieces that were met before, in one flat array; ``_learn`` encodes new ones."""
+
+    width = np.uint32
+
+    @staticmethod
+    def plain_pattern(pattern: str) -> re.Pattern:
+        """The same cut for plain characters alone."""
+        for old, new in ((r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}{NUMBERS}]"), (r"[\p{L}]", f"[{LETTERS}]"), (r"[\p{N}]", f"[{NUMBERS}]"), (r"\p{L}", f"[{LETTERS}]"), (r"\p{N}", f"[{NUMBERS}]")):
+            pattern = pattern.replace(old, new)
+        return re.compile(pattern)
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, self.width), 0
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known.update(zip(pieces, ((self.used + np.cumsum(sizes) - sizes) << SIZE_BITS | sizes).tolist(), strict=True))
+        self.used += len(ids)
+
+    def _learn(self, pieces: list[str]) -> None:
+        raise NotImplementedError
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return np.zeros(0, self.width), np.zeros(0, np.int64)
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        code = list(map(self.known.get, pieces))
+        if None in code:
+            self._learn(list({p for p, c in zip(pieces, code, strict=True) if c is None}))
+            code = list(map(self.known.__getitem__, pieces))
+        at = np.array(code, np.int64)
+        return gather(self.flat, at >> SIZE_BITS, at & ((1 << SIZE_BITS) - 1))
+
+
+class Encoder(PieceMemory):
     """``encode(texts) -> (ids, lengths)`` for one tokenizer file."""
 
     def __init__(self, path: str):
@@ -52,7 +91,6 @@ class Encoder:
             spec = json.load(f)
         self.pattern, self.lower = self._cut(spec)
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, int] = {}
         self._forget()
 
     @staticmethod
@@ -60,31 +98,13 @@ class Encoder:
         """The pattern whose matches are the pieces, and whether texts are lower-cased first; None if this module can't tell."""
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if norm is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
-            return Encoder.plain_pattern(BYTE_PATTERN), False
+            return PieceMemory.plain_pattern(BYTE_PATTERN), False
         steps = [x["type"] for x in (norm or {}).get("normalizers", [])]
         parts = before.get("pretokenizers", [])
         if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["invert"] and not parts[1]["use_regex"]:
-            return Encoder.plain_pattern(parts[0]["pattern"]["Regex"]), True
+            return PieceMemory.plain_pattern(parts[0]["pattern"]["Regex"]), True
         return None, False
 
-    @staticmethod
-    def plain_pattern(pattern: str) -> re.Pattern:
-        """The same cut for plain characters alone."""
-        for old, new in ((r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}{NUMBERS}]"), (r"[\p{L}]", f"[{LETTERS}]"), (r"[\p{N}]", f"[{NUMBERS}]"), (r"\p{L}", f"[{LETTERS}]"), (r"\p{N}", f"[{NUMBERS}]")):
-            pattern = pattern.replace(old, new)
-        return re.compile(pattern)
-
-    def _forget(self) -> None:
-        self.known.clear()
-        self.flat, self.used = np.zeros(1 << 16, self.width), 0
-
-    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.known.update(zip(pieces, ((self.used + np.cumsum(sizes) - sizes) << SIZE_BITS | sizes).tolist(), strict=True))
-        self.used += len(ids)
-
     def _learn(self, pieces: list[str]) -> None:
         """Many pieces in one call: joined by a break that is a piece of its own (or none), told apart by the library's word numbers."""
         blanks = [p for p in pieces if p.isspace()]
@@ -129,18 +149,6 @@ class Encoder:
         place = dict(zip(simple, range(len(simple)), strict=True))
         return np.concatenate([apart[i] if i in apart else ids[bounds[place[i]] : bounds[place[i] + 1]] for i in range(len(strings))]), lengths
 
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not pieces:
-            return np.zeros(0, self.width), np.zeros(0, np.int64)
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        code = list(map(self.known.get, pieces))
-        if None in code:
-            self._learn(list({p for p, c in zip(pieces, code, strict=True) if c is None}))
-            code = list(map(self.known.__getitem__, pieces))
-        at = np.array(code, np.int64)
-        return gather(self.flat, at >> SIZE_BITS, at & ((1 << SIZE_BITS) - 1))
-
 
 def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices flat[begin : begin + size] in a row, and their sizes."""
