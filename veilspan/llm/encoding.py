@@ -23,7 +23,7 @@ FOLDER_SETTING = "spark.veilspan.tokenizers"
 NOT_PLAIN = re.compile(r"[^\x09-\x0d\x20-\x7e¡-ÿ–—‘-”•…€]")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered per worker, at most; beyond it the memory begins anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: The letters and numbers among the plain characters, for the standard library's faster matcher.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 SIZE_BITS = 24

@@ -33,8 +33,10 @@ from veilspan.llm.encoding import encoder, vocabulary
 from veilspan.llm.packing import portions
 
 TOKENIZER, END = "word_bpe_49k.json", 1
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1_000, 2_048, 64 << 10
-BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 8_192
+SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1_000, 2_048, 64 << 10, 3
+BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 8_192
+#: Bytes that the writer gathers before it writes; rows are whole blocks, so its own default would hold a hundred of them.
+WRITER = {"compression": "none", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "16", "parquet.page.size.row.check.min": "4"}
 #: Documents per shard, about; a shard is sorted by one task, on disk if need be.
 SHARD_DOCS = 20_000
 MOST_SHARDS = 10_000
@@ -81,7 +83,11 @@ def loaded(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def packer(data: bytes) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, dict_data=loaded(data), write_dict_id=False) if data else zstandard.ZstdCompressor(level=3)
+    shared = loaded(data)
+    if shared is None:
+        return zstandard.ZstdCompressor(level=LEVEL)
+    shared.precompute_compress(level=LEVEL)  # once per task, not once per document
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_dict_id=False)
 
 
 def unpacker(data: bytes) -> zstandard.ZstdDecompressor:
@@ -112,7 +118,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, path: str | None = No
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("text"))
     frames = arrow_stage(texts, encode, "shard int, doc_id long, n_tokens long, frame binary")
     ordered = frames.repartition(len(edges) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n_tokens", "frame")
-    arrow_stage(ordered, blocks_of(digest), "shard int, block int, dict_hash string, first_id long, last_id long, start long, n_docs int, n_tokens long, index binary, frames binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    arrow_stage(ordered, blocks_of(digest), "shard int, block int, dict_hash string, first_id long, last_id long, start long, n_docs int, n_tokens long, index binary, frames binary").write.options(**WRITER).parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()
     starts, at = {}, 0
     for r in sorted(totals, key=lambda r: r["shard"]):
