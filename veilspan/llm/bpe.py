@@ -256,47 +256,59 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+def encoded_rows(ranks: str, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    ids_of = bpe_encoder(ranks)
+    for batch in batches:
+        for keys, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, sizes = ids_of.encode(texts)
+            data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
+            yield {"doc_id": keys, "n_tokens": sizes.tolist(), "ids": [data[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]}
+
+
+def decoded_rows(ranks: str, portions_of_ids: Iterable[dict[str, list]], text: bool) -> Iterator[dict[str, list]]:
+    tokens = token_bytes(ranks)
+    for columns in portions_of_ids:
+        out: dict[str, list] = {"ids_sha256": [], "decoded_sha256": []} | ({"text": []} if text else {})
+        for data in columns["ids"]:
+            stream, digest, parts = StreamDecoder(tokens), hashlib.sha256(), []
+            numbers = np.frombuffer(data, "<u4")
+            for k in range(0, len(numbers), CHUNK_IDS):
+                raw = stream.raw(numbers[k : k + CHUNK_IDS].tolist())
+                digest.update(raw)
+                parts.append(stream.feed(raw))
+            out["ids_sha256"].append(hashlib.sha256(data).hexdigest())
+            out["decoded_sha256"].append(digest.hexdigest())
+            if text:
+                out["text"].append("".join([*parts, stream.end()]))
+        yield {"doc_id": columns["doc_id"], "n_tokens": columns["n_tokens"]} | out
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("text"))
+
+
 def encode(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, 32 bits each)."""
+    return arrow_stage(_texts(docs), lambda batches: encoded_rows(ranks, batches), "doc_id long, n_tokens long, ids binary")
 
-    def rows(batches: Iterator[pa.RecordBatch]):
-        ids_of = bpe_encoder(ranks)
-        for batch in batches:
-            for keys, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, sizes = ids_of.encode(texts)
-                data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
-                yield {"doc_id": keys, "n_tokens": sizes.tolist(), "ids": [data[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("text"))
-    return arrow_stage(texts, rows, "doc_id long, n_tokens long, ids binary")
+def decode(ids: DataFrame, ranks: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the text; ids are read in portions of bounded size."""
 
+    def rows(batches: Iterator[pa.RecordBatch]):
+        return decoded_rows(ranks, (dict(zip(("doc_id", "n_tokens", "ids"), (c.to_pylist() for c in b.columns), strict=True)) for b in batches), True)
 
-def decode(ids: DataFrame, ranks: str, text: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the text, if asked for; ids are read in portions of bounded size."""
+    return arrow_stage(ids.select("doc_id", "n_tokens", "ids"), rows, f"{DIGESTS}, text string")
 
-    def rows(batches: Iterator[pa.RecordBatch]):
-        tokens = token_bytes(ranks)
-        for batch in batches:
-            out = []
-            for doc, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                stream, digest, parts = StreamDecoder(tokens), hashlib.sha256(), []
-                numbers = np.frombuffer(data, "<u4")
-                for k in range(0, len(numbers), CHUNK_IDS):
-                    raw = stream.raw(numbers[k : k + CHUNK_IDS].tolist())
-                    digest.update(raw)
-                    part = stream.feed(raw)
-                    if text:
-                        parts.append(part)
-                rest = stream.end()
-                out.append((doc, n, hashlib.sha256(data).hexdigest(), digest.hexdigest()) + (("".join([*parts, rest]),) if text else ()))
-            names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text")
-            if out:
-                yield dict(zip(names, map(list, zip(*out, strict=True)), strict=False))
-
-    return arrow_stage(ids.select("doc_id", "n_tokens", "ids"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", text string" * text)
+
+def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
+    """The digests of the ids and of the bytes decoded from them, by one worker for both ways."""
+    return arrow_stage(_texts(docs), lambda batches: decoded_rows(ranks, encoded_rows(ranks, batches), False), DIGESTS)
 
 
 @query("op5_bpe_transducer")
 def op5_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = vocabulary(spark, RANKS)
-    return decode(encode(read(spark, folder, "documents"), ranks), ranks, text=False)
+    return round_trip(read(spark, folder, "documents"), vocabulary(spark, RANKS))
