@@ -12,6 +12,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -70,11 +71,11 @@ class PieceMemory:
             return np.zeros(0, self.width), np.zeros(0, np.int64)
         if len(self.known) > REMEMBERED:
             self._forget()
-        code = list(map(self.known.get, pieces))
-        if None in code:
-            self._learn(list({p for p, c in zip(pieces, code, strict=True) if c is None}))
-            code = list(map(self.known.__getitem__, pieces))
-        at = np.array(code, np.int64)
+        at = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list({pieces[i] for i in new}))
+            at[new] = [self.known[pieces[i]] for i in new]
         return gather(self.flat, at >> SIZE_BITS, at & ((1 << SIZE_BITS) - 1))
 
 

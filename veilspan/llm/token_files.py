@@ -57,6 +57,14 @@ def little(ids: np.ndarray) -> bytes:
     return ids.astype(ids.dtype.newbyteorder("<")).tobytes()
 
 
+def ended(ids: np.ndarray, sizes: np.ndarray, end: int) -> list[bytes]:
+    """The bytes of each document's ids, with the end id."""
+    ends = np.cumsum(sizes)
+    data, wide = little(np.insert(ids, ends, end)), ids.dtype.itemsize
+    cuts = [0, *((ends + np.arange(1, len(ends) + 1)) * wide).tolist()]
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
     """Trained on a bounded sample; plain content where there is too little to train on."""
     n = docs.count()
@@ -111,9 +119,8 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, path: str | None = No
         for batch in batches:
             for keys, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got, sizes = ids_of.encode(texts)
-                raw = [little(np.append(x, x.dtype.type(end))) for x in np.split(got, np.cumsum(sizes)[:-1])]
-                shard = [0 if k is None else int(np.searchsorted(edges, k, "right")) for k in keys]
-                yield {"shard": shard, "doc_id": keys, "n_tokens": (sizes + 1).tolist(), "frame": [pack.compress(x) for x in raw]}
+                shard = np.searchsorted(edges, np.array([NO_ID if k is None else k for k in keys], np.int64), "right")
+                yield {"shard": shard.astype(np.int32), "doc_id": keys, "n_tokens": (sizes + 1).tolist(), "frame": [pack.compress(x) for x in ended(got, sizes, end)]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("text"))
     frames = arrow_stage(texts, encode, "shard int, doc_id long, n_tokens long, frame binary")
