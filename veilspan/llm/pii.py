@@ -158,7 +158,7 @@ def ssn(p: Pseudonyms, m: re.Match) -> str | None:
 def phone(p: Pseudonyms, m: re.Match) -> str | None:
     """North American numbers keep their plan (no area or exchange begins with 0 or 1), others their country code and length."""
     digits = only_digits(m[0])
-    code = only_digits(m["code"] or "")
+    code = only_digits(m["flat"] or m["code"] or m["abroad"] or "")
     local = digits[len(code) :]
     if len(local) == 10 and code in ("", "1"):
         first, third = int(local[0]), int(local[3])
@@ -167,7 +167,7 @@ def phone(p: Pseudonyms, m: re.Match) -> str | None:
         sizes = [8, 10, 10, 8] + [10] * 6
         new = p.places([first - 2, int(local[1]), int(local[2]), third - 2, *map(int, local[4:])], sizes, "phone1")
         new = [new[0] + 2, *new[1:3], new[3] + 2, *new[4:]]
-    elif code and 6 <= len(local) <= 12:
+    elif code and 6 <= len(local) <= 14:
         new = p.places([int(x) for x in local], [10] * len(local), f"phone{code}")
     else:
         return None
@@ -249,7 +249,9 @@ KINDS = [
     ("iban", re.compile("[A-Z]{2}[0-9]{2}"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), iban),
     ("card", re.compile("[0-9]{4}"), re.compile(r"(?<![0-9.-])(?:[0-9][ -]?){12,18}[0-9](?![0-9])"), card),
     ("ssn", re.compile("[0-9]-[0-9]"), re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])"), ssn),
-    ("phone", re.compile("[0-9]{3}"), re.compile(r"(?<![0-9.+])(?:(?P<code>\+[0-9]{1,3})[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"), phone),
+    ("phone", re.compile("[0-9]{3}"), re.compile(
+        r"(?<![0-9.+])(?:(?P<flat>\+1)(?=[2-9])[0-9]{10}|(?:(?P<code>\+[0-9]{1,3}|1)[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}"
+        r"|(?P<abroad>\+[0-9]{1,3})(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9])"), phone),
     ("ipv4", re.compile(r"[0-9]\.[0-9]"), re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"), ipv4),
     ("ipv6", re.compile(":[0-9a-fA-F:]*:"), re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), ipv6),
     ("date", re.compile("[0-9][-/.][0-9]"), re.compile(r"(?<![0-9/.-])([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})(?![0-9]|[-/.][0-9])"), iso_date),
