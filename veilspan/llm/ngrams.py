@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +35,35 @@ from pyspark.sql import functions as F
 from veilspan.llm.common import arrow_stage, cut_lineage, query, raw_text, read
 
 ORDER, MU = 2, 50.0
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Keys that one range holds, about.
-RANGE_KEYS = 2_000_000
+RANGE_KEYS = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 #: Token numbers that no word has: before a document's first word, and behind its last.
 START, END = np.uint64(xxhash.xxh64_intdigest(b"\n", 6)), np.uint64(xxhash.xxh64_intdigest(b" ", 6))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Small or slowly growing numbers: byte planes, which zstandard shortens well."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueezed(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return squeezed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(data, "<u8"), dtype=np.uint64)
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id or 0).encode()) % FOLDS == HELD_OUT
 
@@ -80,14 +101,6 @@ def ngram_keys(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.nda
     return keys
 
 
-def histories(keys: list[np.ndarray], first: np.ndarray, n: int) -> np.ndarray:
-    """The key of the history of length ``n`` of each token."""
-    opening = START
-    for _ in range(n - 1):
-        opening = mixed(np.array([opening]), np.array([START]))[0]
-    return np.where(first, opening, np.concatenate([[START], keys[n - 1][:-1]]))
-
-
 def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """chunk, doc_ids, sizes, tokens and held-out marks of runs of whole documents, as arrays of bytes; one row a chunk."""
 
@@ -99,7 +112,7 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             distinct, index = np.unique(tokens, return_inverse=True)
             return {
                 "chunk": [part << 32 | serial], "doc_ids": [[x[0] for x in held]], "sizes": [[len(x[1]) for x in held]],
-                "words": [distinct.tobytes()], "index": [index.astype("<u4").tobytes()],
+                "words": [steps(distinct)], "index": [squeezed(index.astype("<u4"))], "n_tokens": [len(tokens)],
             }
 
         for batch in batches:
@@ -113,7 +126,7 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             yield close()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("text"))
-    return arrow_stage(texts, rows, "chunk long, doc_ids array<long>, sizes array<long>, words binary, index binary")
+    return arrow_stage(texts, rows, "chunk long, doc_ids array<long>, sizes array<long>, words binary, index binary, n_tokens long")
 
 
 class Chunk:
@@ -121,7 +134,7 @@ class Chunk:
 
     def __init__(self, doc_ids: list, sizes: list[int], words: bytes, index: bytes, order: int):
         self.doc_ids, self.sizes = doc_ids, np.array(sizes, np.int64)
-        self.tokens = np.frombuffer(words, np.uint64)[np.frombuffer(index, "<u4")]
+        self.tokens = from_steps(words)[unsqueezed(index, "<u4")]
         self.starts = np.cumsum(self.sizes) - self.sizes
         first = np.zeros(len(self.tokens), bool)
         first[self.starts] = True
@@ -151,7 +164,7 @@ def asked(packed: DataFrame, order: int, ranges: int) -> DataFrame:
                     used = np.flatnonzero(np.diff(cuts))
                     yield {
                         "chunk": [chunk] * len(used), "n": [n] * len(used), "range": used.tolist(),
-                        "keys": [keys[cuts[k] : cuts[k + 1]].tobytes() for k in used], "counts": [counts[cuts[k] : cuts[k + 1]].astype("<u4").tobytes() for k in used],
+                        "keys": [steps(keys[cuts[k] : cuts[k + 1]]) for k in used], "counts": [squeezed(counts[cuts[k] : cuts[k + 1]].astype("<u4")) for k in used],
                     }
 
     return arrow_stage(packed.select("chunk", "doc_ids", "sizes", "words", "index"), rows, "chunk long, n int, range int, keys binary, counts binary")
@@ -161,13 +174,12 @@ def answered(asks: DataFrame) -> DataFrame:
     """chunk, n, range, totals in the order asked; and, once a range, its total and number of seen keys (chunk null)."""
 
     def add_up(key, table):
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
+        keys = [from_steps(x) for x in table.column("keys").to_pylist()]
+        counts = [unsqueezed(x, "<u4") for x in table.column("counts").to_pylist()]
         distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.zeros(len(distinct), np.int64)
-        np.add.at(totals, index, np.concatenate(counts))
+        totals = np.bincount(index, np.concatenate(counts), len(distinct)).astype(np.int64)  # doubles hold counts up to 2^53
         ends = np.cumsum([len(x) for x in keys])
-        back = [totals[index[e - len(k) : e]].astype("<u4" if totals.max(initial=0) < 1 << 32 else "<u8").tobytes() for k, e in zip(keys, ends, strict=True)]
+        back = [squeezed(totals[index[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
         n, at = key[0].as_py(), key[1].as_py()
         chunk = table.column("chunk").to_pylist()
         return pa.Table.from_pydict(
@@ -181,15 +193,11 @@ def answered(asks: DataFrame) -> DataFrame:
     return asks.groupBy("n", "range").applyInArrow(add_up, "chunk long, n int, range int, totals binary, all long, seen long")
 
 
-def walk(c: Chunk, totals: list[np.ndarray], n_all: int, seen: int, documents: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def walk(c: Chunk, found: list[np.ndarray], n_all: int, seen: int, documents: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model's log10 probability, base log10 probability and known tokens of each document of a chunk.
 
-    totals[n - 1] has the corpus count of each of the chunk's n-grams, in ascending order of their keys.
+    found[n - 1] has the corpus count of the n-gram that ends at each token.
     """
-    found = []
-    for n in range(1, c.order + 1):
-        _, _, index = c.lists(n)
-        found.append(totals[n - 1][index])
     unigram = (found[0] + 1) / (n_all + seen + 1)
     weight = unigram
     for n in range(2, c.order + 1):
@@ -203,7 +211,7 @@ def walk(c: Chunk, totals: list[np.ndarray], n_all: int, seen: int, documents: i
 def score(docs: DataFrame, order: int = ORDER, mu: float = MU, chunk_tokens: int = CHUNK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     packed = cut_lineage(chunks(docs, chunk_tokens), "chunks")
-    tokens = packed.agg(F.sum(F.length("index") / 4)).first()[0] or 0
+    tokens = packed.agg(F.sum("n_tokens")).first()[0] or 0
     ranges = max(1, int(tokens // range_keys))
     replies = cut_lineage(answered(asked(packed, order, ranges).repartition(max(ranges, 1), "n", "range")), "totals")
     sums = replies.where("chunk is null and n = 1").agg(F.sum("all"), F.sum("seen")).first()
@@ -215,13 +223,11 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, chunk_tokens: int
         own = left.to_pylist()[0]
         answers = sorted((r["n"], r["range"], r["totals"]) for r in right.to_pylist())
         c = Chunk(own["doc_ids"], own["sizes"], own["words"], own["index"], order)
-        totals = []
+        found = []
         for n in range(1, order + 1):
-            keys, _, _ = c.lists(n)
-            data = [t for m, _, t in answers if m == n]
-            wide = 4 * len(keys) == sum(map(len, data))
-            totals.append(np.concatenate([np.frombuffer(x, "<u4" if wide else "<u8") for x in data]).astype(np.int64))
-        model, base, known = walk(c, totals, n_all, seen, documents, mu)
+            _, _, index = c.lists(n)
+            found.append(np.concatenate([unsqueezed(t, "<i8") for m, _, t in answers if m == n])[index])
+        model, base, known = walk(c, found, n_all, seen, documents, mu)
         return pa.Table.from_pydict(
             {"doc_id": c.doc_ids, "held_out": c.out, "n_tokens": c.sizes, "n_known": known, "train_tokens": [n_all] * len(c.out), "base_score": base, "score": model},
             schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]),
