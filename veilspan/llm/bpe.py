@@ -259,7 +259,7 @@ def token_bytes(path: str) -> list[bytes]:
 def encoded_rows(ranks: str, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     ids_of = bpe_encoder(ranks)
     for batch in batches:
-        for keys, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for keys, texts in portions(batch.column(0), batch.column(1)):
             ids, sizes = ids_of.encode(texts)
             data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
             yield {"doc_id": keys, "n_tokens": sizes.tolist(), "ids": [data[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]}

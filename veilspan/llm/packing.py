@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from veilspan.llm.encoding import encoder, vocabulary
 TOKENIZER = "byte_bpe_50k.json"
 END, WINDOW, PAD = 0, 1024, 0
 #: Texts encoded at once, so that a worker holds a bounded number of bytes.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -40,16 +41,15 @@ class Packed:
     window: int
 
 
-def portions(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
-    """Runs of rows with about ``BYTES_AT_ONCE`` of text."""
-    begin = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= BYTES_AT_ONCE:
-            yield ids[begin : i + 1], texts[begin : i + 1]
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield ids[begin:], texts[begin:]
+def portions(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[bytes]]]:
+    """Runs of rows with about ``BYTES_AT_ONCE`` of text, as Python values."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(ends):
+        held = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, held + BYTES_AT_ONCE, "right")))
+        yield ids[begin:end].to_pylist(), texts[begin:end].to_pylist()
+        begin = end
 
 
 def encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
@@ -58,7 +58,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]):
         encode, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for keys, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for keys, texts in portions(batch.column(0), batch.column(1)):
                 ids, sizes = encode.encode(texts)
                 ends = np.cumsum(sizes)
                 whole = np.insert(ids, ends, end)

@@ -38,7 +38,7 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 8_192
 #: Bytes that the writer gathers before it writes; rows are whole blocks, so its own default would hold a hundred of them.
 WRITER = {"compression": "none", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "16", "parquet.page.size.row.check.min": "4"}
 #: Documents per shard, about; a shard is sorted by one task, on disk if need be.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 5_000
 MOST_SHARDS = 10_000
 ENTRY = "<qqqq"
 #: Stands for a null doc_id in the index, where no document has this id.
@@ -74,7 +74,7 @@ def dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
     def rows(batches: Iterator[pa.RecordBatch]):
         encode = encoder(tokenizer)
         for batch in batches:
-            for _, texts in portions(texts := batch.column(0).to_pylist(), texts):
+            for _, texts in portions(batch.column(0), batch.column(0)):
                 ids, sizes = encode.encode(texts)
                 yield {"sample": [little(np.append(x[:SAMPLE_IDS], x.dtype.type(end))) for x in np.split(ids, np.cumsum(sizes)[:-1])]}
 
@@ -117,7 +117,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, path: str | None = No
     def encode(batches: Iterator[pa.RecordBatch]):
         ids_of, pack = encoder(tokenizer), packer(sent.value)
         for batch in batches:
-            for keys, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for keys, texts in portions(batch.column(0), batch.column(1)):
                 got, sizes = ids_of.encode(texts)
                 shard = np.searchsorted(edges, np.array([NO_ID if k is None else k for k in keys], np.int64), "right")
                 yield {"shard": shard.astype(np.int32), "doc_id": keys, "n_tokens": (sizes + 1).tolist(), "frame": [pack.compress(x) for x in ended(got, sizes, end)]}
