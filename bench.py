@@ -28,7 +28,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cpus)
+    spark = local_session("bench", cpus, spark__veilspan__spread=cpus)
     spark.sparkContext.setLogLevel("ERROR")
     queries = plans.load().QUERIES
     spark.read.parquet(f"{folder}/documents.parquet").count()

@@ -18,27 +18,37 @@ def _empty(ddl: str) -> Column:
     return F.from_json(F.lit("[]"), f"array<{ddl}>")
 
 
+def running(sizes: Column) -> Column:
+    """Running sums of an int array, the element itself included.
+
+    Each round adds the sums of twice as many neighbours, so n elements take log n rounds over the array and nothing is
+    appended element by element.
+    """
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(30)), sizes,
+        lambda acc, k: F.when(
+            F.size(acc) > F.call_function("shiftleft", F.lit(1), k),
+            F.transform(acc, lambda v, i: v + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))),
+        ).otherwise(acc),
+    )
+
+
 def scan(text: Column, pattern: str, make: Callable[[Column, Column, Column], Column], ddl: str) -> Column:
     """``make(start, match, gap)`` for every match, left to right.
 
-    The text is cut into gaps and matches; running their lengths gives the
+    The text is cut into gaps and matches; running sums of their lengths give the
     offsets. Rows without a match pay for one regex pass only.
     """
-    # gaps outnumber matches by one, so the last pair has no match
+    # gaps outnumber matches by one; the last gap is not needed
     pairs = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")),
     )
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), _empty(ddl).alias("out")),
-        lambda acc, p: F.when(p["match"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
-            F.concat(acc["out"], F.array(make(acc["at"] + F.length(p["gap"]), p["match"], p["gap"]).cast(ddl))).alias("out"),
-        )),
-        lambda acc: acc["out"],
-    )
+    walked = bind(F.filter(pairs, lambda p: p["match"].isNotNull()), lambda held: F.zip_with(
+        held, running(F.transform(held, lambda p: F.length(p["gap"]) + F.length(p["match"]))),
+        lambda p, end: make(end - F.length(p["match"]), p["match"], p["gap"]).cast(ddl),
+    ))
     return F.when(text.rlike(pattern), walked).otherwise(_empty(ddl))
 
 
@@ -82,15 +92,7 @@ def occurrence_starts(text: Column, needle: Column) -> Column:
     """0-based starts of every occurrence of a literal, overlapping ones included."""
     quoted = F.concat(F.lit(r"(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
     pieces = F.split(text, quoted, -1)
-    inner = F.aggregate(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("at"), _empty("int").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    inner = bind(pieces, lambda held: running(F.transform(F.slice(held, F.lit(1), F.size(held) - 1), lambda p: F.length(p))))
     head = F.when(text.startswith(needle), F.array(F.lit(0))).otherwise(_empty("int"))
     return F.when((needle != "") & text.contains(needle), F.concat(head, inner)).otherwise(_empty("int"))
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.functions.spans import unnest
@@ -49,16 +50,28 @@ def search(requests: DataFrame, grants: DataFrame, pages: DataFrame) -> DataFram
 
 
 def get_page(requests: DataFrame, grants: DataFrame, pages: DataFrame) -> DataFrame:
-    """``request_id, slug, source_id, outcome, title, chunk_text``; a foreign page is refused, not "not found"."""
-    asked = F.coalesce(F.nullif("asked_source", F.lit(ALL_SOURCES)), "granted")
-    placed = requests.join(grants.select("principal", F.col("source_id").alias("granted")), "principal", "left").withColumn("source_id", asked)
-    read = placed.join(pages.withColumn("_page", F.lit(True)), ["source_id", "slug"], "left")
-    mine = F.coalesce(F.col("source_id") == F.col("granted"), F.lit(False))
-    outcome = F.when(~mine, "permission_denied").when(F.col("_page").isNull(), "page_not_found").otherwise("ok")
-    shown = outcome == "ok"
-    return read.select(
-        "request_id", "slug", "source_id", outcome.alias("outcome"),
-        F.when(shown, F.col("title")).alias("title"), F.when(shown, F.col("chunk_text")).alias("chunk_text"),
+    """``request_id, slug, source_id, outcome, title, chunk_text``; a foreign page is refused, not "not found".
+
+    A request for a named source gives one row, whatever else its principal may read. A request for all sources gives a row for each
+    granted source that has the page, or one row that says there is none.
+    """
+    asked = F.nullif("asked_source", F.lit(ALL_SOURCES))
+    given = grants.select("principal", F.col("source_id").alias("granted")).distinct()
+    shelf = pages.withColumn("_page", F.lit(True))
+    named = requests.where(asked.isNotNull()).withColumn("source_id", asked)
+    own = given.select("principal", F.col("granted").alias("source_id"), F.lit(True).alias("_mine"))
+    one = named.join(own, ["principal", "source_id"], "left").join(shelf, ["source_id", "slug"], "left")
+    every = requests.where(asked.isNull()).join(given, "principal", "left").withColumn("source_id", F.col("granted"))
+    read = every.join(shelf, ["source_id", "slug"], "left").withColumn("_mine", F.col("granted").isNotNull())
+    request = W.partitionBy("request_id")  # as many rows as the principal has grants
+    found = F.count("_page").over(request)
+    shown = read.withColumn("_found", found).withColumn("_place", F.row_number().over(request.orderBy("source_id")))
+    several = shown.where(F.col("_page").isNotNull() | ((F.col("_found") == 0) & (F.col("_place") == 1)))
+    columns = ["request_id", "slug", "source_id", "_mine", "_page", "title", "chunk_text"]
+    outcome = F.when(F.col("_mine").isNull() | ~F.col("_mine"), "permission_denied").when(F.col("_page").isNull(), "page_not_found").otherwise("ok")
+    ok = outcome == "ok"
+    return one.select(*columns).unionByName(several.select(*columns)).select(
+        "request_id", "slug", "source_id", outcome.alias("outcome"), F.when(ok, F.col("title")).alias("title"), F.when(ok, F.col("chunk_text")).alias("chunk_text")
     )
 
 
@@ -79,26 +92,21 @@ def attack_checks(pairs: DataFrame, grants: DataFrame, pages: DataFrame) -> Data
             F.struct(F.lit("all_sources").alias("check"), F.col("attacker").alias("principal"), F.col("target_query").alias("query"), F.lit(ALL_SOURCES).alias("asked_source")),
         )),
     ).withColumn("request_id", F.struct("pair_id", "check"))
-    sources = grants.select(F.col("principal").alias("attacker"), F.col("source_id").alias("own_source"))
-    found = search(cases, grants, pages).groupBy("request_id").agg(
-        F.count("*").alias("hits"), F.min("source_id").alias("s0"), F.max("source_id").alias("s1")
-    )
-    judged = cases.join(found, "request_id", "left").join(sources, "attacker", "left")
+    sources = grants.select(F.col("principal").alias("attacker"), "source_id", F.lit(True).alias("_own")).distinct()
+    hit = search(cases, grants, pages).join(cases.select("request_id", "attacker"), "request_id").join(sources, ["attacker", "source_id"], "left")
+    found = hit.groupBy("request_id").agg(F.count("*").alias("hits"), F.count_if(F.col("_own").isNull()).alias("foreign"))
+    judged = cases.join(found, "request_id", "left")
     hits = F.coalesce("hits", F.lit(0).cast("bigint"))
-    passed = (
-        F.when(F.col("check") == "own_recall", (hits > 0) & (F.col("s0") == F.col("own_source")) & (F.col("s1") == F.col("own_source")))
-        .when(F.col("check") == "control", hits > 0)
-        .otherwise(hits == 0)
-    )
+    passed = F.when(F.col("check") == "own_recall", (hits > 0) & (F.col("foreign") == 0)).when(F.col("check") == "control", hits > 0).otherwise(hits == 0)
     searched = judged.select("pair_id", "check", hits.alias("hits"), F.coalesce(passed, F.lit(False)).alias("passed"))
-    target_source = grants.select(F.col("principal").alias("target"), F.col("source_id").alias("asked_source"))
+    target_source = grants.select(F.col("principal").alias("target"), F.col("source_id").alias("asked_source")).distinct()
     reads = pairs.join(target_source, "target", "left").select(
-        F.col("pair_id").alias("request_id"), F.col("attacker").alias("principal"), F.col("target_slug").alias("slug"), "asked_source"
-    )
-    read = get_page(reads, grants, pages).select(
-        F.col("request_id").alias("pair_id"), F.lit("direct_read").alias("check"),
-        F.when(F.col("outcome") == "ok", 1).otherwise(0).cast("bigint").alias("hits"), (F.col("outcome") == "permission_denied").alias("passed"),
+        F.struct("pair_id", "asked_source").alias("request_id"), F.col("attacker").alias("principal"), F.col("target_slug").alias("slug"), "asked_source"
     )
+    # one row a pair: every source of the target must refuse
+    read = get_page(reads, grants, pages).groupBy(F.col("request_id.pair_id").alias("pair_id")).agg(
+        F.count_if(F.col("outcome") == "ok").alias("hits"), F.bool_and(F.col("outcome") == "permission_denied").alias("passed")
+    ).select("pair_id", F.lit("direct_read").alias("check"), "hits", "passed")
     return searched.unionByName(read)
 
 

@@ -9,17 +9,14 @@ CACHE_KINDS = {"wall": "wall", "compound": "promote", "deidentify": "deidentify"
 
 
 def numbers_only(counts_json: Column) -> Column:
-    """Numeric entries of a JSON object as ``map<string, double>``; booleans, strings and nested values drop out."""
-    entries = F.map_entries(F.from_json(counts_json, "map<string,string>"))
-    number = r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
-    # a JSON string keeps no quotes once read as text, so the raw member decides whether it was a number
-    kept = F.filter(
-        entries,
-        lambda e: e["value"].rlike(number)
-        & F.regexp_like(counts_json, F.concat(F.lit(r'"\Q'), e["key"], F.lit(r'\E"\s*:\s*-?[0-9]'))),
-    )
-    made = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"].try_cast("double"))))
-    return F.coalesce(made, F.create_map().cast("map<string,double>"))
+    """Numeric members of a JSON object as ``map<string, double>``; booleans, strings and nested values drop out.
+
+    Only the object's own members count, and of a repeated name the last one.
+    """
+    members = F.coalesce(F.map_entries(F.from_json(counts_json, "map<string,variant>")), F.from_json(F.lit("[]"), "array<struct<key:string,value:variant>>"))
+    last = F.filter(members, lambda m, i: ~F.exists(F.slice(members, i + 2, F.size(members)), lambda later: later["key"] == m["key"]))
+    kept = F.filter(last, lambda m: F.schema_of_variant(m["value"]).rlike(r"^(BIGINT|DECIMAL\(|DOUBLE|FLOAT)"))
+    return F.map_from_entries(F.transform(kept, lambda m: F.struct(m["key"], F.try_variant_get(m["value"], "$", "double"))))
 
 
 def normalise(events: DataFrame, now: Column | None = None) -> DataFrame:

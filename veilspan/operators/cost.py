@@ -7,46 +7,34 @@ from pyspark.sql import functions as F
 
 from veilspan.operators.score import exact_percentiles
 
-CASE_LIMIT = 20
+NEIGHBOURS = 2
 
 
-def generated_cases(matters: DataFrame, limit: int = CASE_LIMIT) -> DataFrame:
-    """The first ``limit`` labelled cases: two clean drafts per matter, three leaking ones per other matter.
+def generated_cases(matters: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Labelled cases for every matter: two clean drafts, and three leaking ones for each of the next ``neighbours`` matters of the catalog.
 
-    Cases are ordered by matter, so only the first few matters can appear. They
-    are cut to ``limit + 1`` rows before anything is paired.
+    Pairs come from an equi-join on the place in the catalog, so the cases grow with the matters.
     """
-    fact = lambda facts, c: F.try_element_at(F.try_element_at(facts, F.lit(c)), F.lit(1))
-    head = matters.orderBy("matter_ord").limit(limit + 1).select(
-        "matter_ord", "matter_id", "client",
-        fact(F.col("facts"), "names").alias("name"), fact(F.col("facts"), "orgs").alias("org"),
-        fact(F.col("facts"), "amounts").alias("amount"), fact(F.col("facts"), "distinctive").alias("detail"),
+    fact = lambda c: F.try_element_at(F.try_element_at("facts", F.lit(c)), F.lit(1))
+    told = matters.select(
+        "matter_ord", "matter_id", "client", fact("names").alias("name"), fact("orgs").alias("org"), fact("amounts").alias("amount"), fact("distinctive").alias("detail")
     )
-    row = F.struct(*head.columns)
-    folded = head.agg(F.array_sort(F.collect_list(row)).alias("all"))  # at most limit + 1 rows
-    per_current = folded.select("all", F.posexplode("all").alias("c_ord", "c")).where(F.col("c_ord") < limit)
-    client, no_one = F.col("c.client"), F.lit(None).cast("string")
-
-    def case(place, form: int, label: str, other, *draft):
-        return F.struct(
-            place.alias("o_ord"), F.lit(form).alias("form"), F.lit(label).alias("label"), other.alias("other"),
-            F.concat(*[F.lit(d) if isinstance(d, str) else d for d in draft]).alias("draft"),
-        )
-
-    own = F.array(
-        case(F.lit(-1), 0, "clean", no_one, "Draft letter for ", client, " covering ", F.col("c.name"), " and ", F.col("c.amount"), "."),
-        case(F.lit(-1), 1, "clean", no_one, "Following up with ", client, " regarding ", F.col("c.detail"), "; no other clients mentioned."),
-    )
-    leaking = F.flatten(F.transform(
-        F.filter("all", lambda o: o["matter_id"] != F.col("c.matter_id")),
-        lambda o, i: F.array(
-            case(i, 2, "leak", o["matter_id"], "Draft for ", client, " mentions ", o["name"], " and the amount ", o["amount"], " from an unrelated matter."),
-            case(i, 3, "leak", o["matter_id"], "Draft for ", client, " also describes: ", o["detail"], "."),
-            case(i, 4, "leak", o["matter_id"], "Note for ", client, "'s file references ", o["org"], " in passing."),
-        ),
-    ))
-    cases = per_current.select("c_ord", F.col("c.matter_id").alias("current"), F.inline(F.concat(own, leaking)))
-    return cases.orderBy("c_ord", "o_ord", "form").limit(limit).select("c_ord", "o_ord", "form", "current", "other", "label", "draft")
+
+    def case(form: int, label: str, *draft):
+        return F.struct(F.lit(form).alias("form"), F.lit(label).alias("label"), F.concat(*[F.lit(d) if isinstance(d, str) else d for d in draft]).alias("draft"))
+
+    client, name, amount, org, detail = F.col("client"), F.col("name"), F.col("amount"), F.col("org"), F.col("detail")
+    own = told.select("matter_ord", F.lit(0).alias("o_ord"), F.col("matter_id").alias("current"), F.lit(None).cast("string").alias("other"), F.inline(F.array(
+        case(0, "clean", "For ", client, ": ", name, " accepts ", amount, "."), case(1, "clean", "Update to ", client, ". Still open: ", detail, "."),
+    )))
+    asking = told.select("matter_ord", F.col("matter_id").alias("current"), F.col("client").alias("reader"), F.explode(F.sequence(F.lit(1), F.lit(neighbours))).alias("o_ord"))
+    other = told.withColumnRenamed("matter_ord", "other_ord").withColumnRenamed("matter_id", "other")
+    reader = F.col("reader")
+    leaking = asking.join(other, asking["matter_ord"] + asking["o_ord"] == other["other_ord"]).select("matter_ord", "o_ord", "current", "other", F.inline(F.array(
+        case(2, "leak", "For ", reader, ": compare ", name, ", who was paid ", amount, "."), case(3, "leak", "Update to ", reader, ". Seen before: ", detail, "."),
+        case(4, "leak", "Memo to ", reader, ": ask ", org, "."),
+    )))
+    return own.unionByName(leaking).select(F.col("matter_ord").alias("c_ord"), "o_ord", "form", "current", "other", "label", "draft")
 
 
 def usage_summary(samples: DataFrame, price_in: float, price_out: float) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions import spans as S
 from veilspan.functions.spans import unnest
 
 KEY_CHARS = 4
@@ -93,15 +94,10 @@ def literal_matches(
     singles = sorted(r["a"] for r in shapes if r["b"] < 0)
 
     cut = texts.select(*mine, F.split(text, " ", -1).alias("pieces"))
-    walked = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<int>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
-        ),
-        lambda acc: acc["out"],
-    )
-    placed = cut.select(*mine, "pieces", walked.alias("starts"))
+    starts = S.bind(S.running(F.transform("pieces", lambda p: F.length(p) + 1)), lambda ends: F.zip_with(
+        "pieces", ends, lambda p, end: end - F.length(p) - 1
+    ))
+    placed = cut.select(*mine, "pieces", starts.alias("starts"))
     windows = F.transform("starts", lambda at, i: F.struct(
         at.alias("at"),
         F.element_at("pieces", i + 1).alias("piece"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
+from veilspan.functions import spans as S
 from veilspan.functions.spans import unnest
 from veilspan.operators.dictionary import literal_matches, within_bound
 
@@ -59,17 +60,15 @@ def fact_hits(texts: DataFrame, text_key: str, facts: DataFrame, text: str = "te
     A matter's own listing decides the kind of a value that several matters list.
     ``texts`` may have ``matter_id``.
     """
-    carried = texts.select(text_key, "matter_id") if "matter_id" in texts.columns else None
-    hits = literal_matches(texts, text_key, fact_values(facts), "value", ignore_case=False, text=text)
-    hits = hits.select(text_key, "start", "end", "kind", F.col("value").alias("entity"))
-    if carried is None:
+    # the matter rides along with the key, so texts are read once
+    carried = [text_key, "matter_id"] if "matter_id" in texts.columns else [text_key]
+    keyed = texts.select(F.struct(*carried).alias("_at"), F.col(text).alias("_text"))
+    hits = literal_matches(keyed, "_at", fact_values(facts), "value", ignore_case=False, text="_text")
+    hits = hits.select("_at.*", "start", "end", "kind", F.col("value").alias("entity"))
+    if len(carried) == 1:
         return hits
     own = own_fact_values(facts).select("matter_id", F.col("value").alias("entity"), "own_kind")
-    return (
-        hits.join(carried, text_key)
-        .join(own, ["matter_id", "entity"], "left")
-        .select(text_key, "start", "end", F.coalesce("own_kind", "kind").alias("kind"), "entity")
-    )
+    return hits.join(own, ["matter_id", "entity"], "left").select(text_key, "start", "end", F.coalesce("own_kind", "kind").alias("kind"), "entity")
 
 
 def partial_forms(value: Column, kind: Column) -> Column:
@@ -112,12 +111,7 @@ def partial_hits(texts: DataFrame, text_key: str, facts: DataFrame, text: str =
     parts = partial_table(facts).withColumn("lead", F.regexp_extract("part", rf"^{P.WORD}+", 0))
     sizes = parts.agg(F.max(F.size(F.split("part", edge, -1))), F.count("*"), F.sum(F.octet_length("part") + F.octet_length("entity"))).first()
     reach = sizes[0] or 1
-    walked = F.aggregate(
-        "runs",
-        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<int>").alias("out")),
-        lambda acc, r: F.struct((acc["at"] + F.length(r)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: acc["out"],
-    )
+    walked = S.bind(S.running(F.transform("runs", lambda r: F.length(r))), lambda ends: F.zip_with("runs", ends, lambda r, end: end - F.length(r)))
     carried = [text_key, "matter_id"] if "matter_id" in texts.columns else [text_key]
     cut = texts.select(*carried, F.split(text, edge, -1).alias("runs")).select(*carried, "runs", walked.alias("starts"))
     words = F.transform("starts", lambda at, i: F.when(

@@ -19,7 +19,7 @@ def _counts() -> list[Column]:
         F.count_if(leak & flag).alias("caught"),
         F.count_if(leak).alias("leaks"),
         F.count_if((F.col("label") == "clean") & flag).alias("false_alarms"),
-        F.count_if(~leak).alias("clean"),
+        F.count_if(F.col("label") == "clean").alias("clean"),
         F.count("*").alias("n"),
         F.count_if(flag.isNull()).alias("errors"),
     ]
@@ -212,6 +212,18 @@ def kind_set_score(rows: DataFrame) -> DataFrame:
     ).withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
 
 
+def below_count(ascending: str, value: Column) -> Column:
+    """How many elements of an ascending array are less than ``value``, by halving."""
+    return F.aggregate(
+        F.sequence(F.lit(0), F.ceil(F.log2(F.size(ascending) + F.lit(1))).cast("int")),
+        F.struct(F.lit(0).alias("low"), F.size(ascending).alias("high")),
+        lambda at, _: S.bind(F.floor((at["low"] + at["high"]) / 2).cast("int"), lambda mid: F.when(at["low"] >= at["high"], at).when(
+            F.element_at(ascending, F.least(mid + 1, F.size(ascending))) < value, F.struct((mid + 1).alias("low"), at["high"].alias("high"))
+        ).otherwise(F.struct(at["low"].alias("low"), mid.alias("high")))),
+        lambda at: at["low"],
+    )
+
+
 def exact_percentiles(values: DataFrame, keys: list[str], value: str, points: list[float], per_bucket: int = 2_000_000) -> DataFrame:
     """Percentiles by linear interpolation, exact, without holding a group in one task.
 
@@ -222,12 +234,13 @@ def exact_percentiles(values: DataFrame, keys: list[str], value: str, points: li
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
     largest = counted.groupBy(*keys).agg(F.sum("c").alias("n")).agg(F.max("n")).first()[0] or 1
-    buckets = max(1, min(10_000, -(-largest // per_bucket)))
+    buckets = max(1, -(-largest // per_bucket))
     if buckets > 1:
         at = [i / buckets for i in range(1, buckets)]
         cuts = counted.groupBy(*keys).agg(F.percentile_approx("v", at, 10 * buckets).alias("cuts"))
-        placed = counted.join(cuts, keys) if keys else counted.join(cuts, F.lit(1) == F.lit(1))
-        placed = placed.withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+        # without keys the cuts are one row, as many numbers as there are buckets
+        placed = counted.join(cuts, keys) if keys else counted.withColumn("cuts", F.array(*[F.lit(x) for x in cuts.first()["cuts"]]))
+        placed = placed.withColumn("b", below_count("cuts", F.col("v"))).drop("cuts")
     else:
         placed = counted.withColumn("b", F.lit(0))
     sizes = placed.groupBy(*keys, "b").agg(F.sum("c").alias("in_bucket"))

@@ -105,8 +105,12 @@ def correction_summary(corrections: DataFrame) -> DataFrame:
 
 
 def base_sample(rows: DataFrame, key: str, seed: int = 0, cap: int = P.BASE_ROW_CAP) -> DataFrame:
-    """Seeded shuffle, then the first ``cap`` rows: a top-k on a hash, so no full sort."""
-    return rows.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key))).orderBy("_draw", key).limit(cap).drop("_draw")
+    """At most ``cap`` labelled base rows for fitting, drawn by a digest of seed and key: a top-k, so no full sort.
+
+    ``cap`` bounds what the tuned model is fitted on beside the feedback rows; it is the caller's choice and drops nothing else.
+    """
+    draw = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return rows.withColumn("_draw", draw).orderBy("_draw", key).limit(cap).drop("_draw")
 
 
 def upsample(feedback: DataFrame, base: DataFrame, copies: int = P.FEEDBACK_COPIES) -> DataFrame:

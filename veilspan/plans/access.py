@@ -196,12 +196,11 @@ def e21(t):
     return out.select("id", "label", "petitioner", "matter_id", "beneficiary", F.length("text").alias("chars"), "source", "state", "removed")
 
 
-@query("e22_generated_cases", f"""with m as (select *, matter_ord as c from ({V.MATTERS}) x), h as (select * from m where c <= 20),
-  x as (select c as c_ord, -1 as o_ord, 0 as form, matter_id as current, null as other, 'clean' as label, 'Draft letter for ' || client || ' covering ' || name_1 || ' and ' || amount_1 || '.' as draft from h
-    union all select c, -1, 1, matter_id, null, 'clean', 'Following up with ' || client || ' regarding ' || detail_1 || '; no other clients mentioned.' from h
-    union all select a.c, b.c - case when b.c > a.c then 1 else 0 end, f, a.matter_id, b.matter_id, 'leak', case f when 2 then 'Draft for ' || a.client || ' mentions ' || b.name_1 || ' and the amount ' || b.amount_1 || ' from an unrelated matter.' when 3 then 'Draft for ' || a.client || ' also describes: ' || b.detail_1 || '.' else 'Note for ' || a.client || '''s file references ' || b.org_1 || ' in passing.' end
-      from h a join h b on a.c <> b.c, (select unnest([2, 3, 4]) as f) ff)
-  select cast(c_ord as int) as c_ord, cast(o_ord as int) as o_ord, form, current, other, label, draft from x order by c_ord, o_ord, form limit 20""")
+@query("e22_generated_cases", f"""with m as (select *, matter_ord as c from ({V.MATTERS}) x)
+  select c as c_ord, 0 as o_ord, 0 as form, matter_id as current, null as other, 'clean' as label, 'For ' || client || ': ' || name_1 || ' accepts ' || amount_1 || '.' as draft from m
+  union all select c, 0, 1, matter_id, null, 'clean', 'Update to ' || client || '. Still open: ' || detail_1 || '.' from m
+  union all select a.c, b.c - a.c, f, a.matter_id, b.matter_id, 'leak', case f when 2 then 'For ' || a.client || ': compare ' || b.name_1 || ', who was paid ' || b.amount_1 || '.' when 3 then 'Update to ' || a.client || '. Seen before: ' || b.detail_1 || '.' else 'Memo to ' || a.client || ': ask ' || b.org_1 || '.' end
+    from m a join m b on b.c in (a.c + 1, a.c + 2), (select unnest([2, 3, 4]) as f) ff""")
 def e22(t):
     return cost.generated_cases(V.matters(t))
 
@@ -231,7 +230,7 @@ def a08(t):
 
 @query("b11_numeric_members", """select event_id, case when event_id % 2 = 0 then event_id + 0.5 end as n, cast(1 as int) + case when event_id % 2 = 0 then 1 else 0 end as members from events""")
 def b11(t):
-    raw = F.concat(F.lit('{"flag":true,"name":"x","text_number":"12","one":1'), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"n":'), (F.col("event_id") + 0.5).cast("string"))).otherwise(""), F.lit("}"))
+    raw = F.concat(F.lit('{"flag":true,"name":"x","text_number":"12","deep":{"n":7,"list":[1,2]},"one":"0","\\u006fne":1,"list":[3]'), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"n":'), (F.col("event_id") + 0.5).cast("string"))).otherwise(""), F.lit("}"))
     counts = audit.numbers_only(raw)
     return t.events.select("event_id", counts.alias("c")).select("event_id", F.try_element_at("c", F.lit("n")).alias("n"), F.size("c").alias("members"))
 

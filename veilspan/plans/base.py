@@ -10,8 +10,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-# text-heavy tables, where one task per file would leave the other cores idle
-SPREAD = {"documents", "pages", "conversations", "orders", "customer"}
+#: A session may name a number of partitions here, so that test tables of one row group use all cores; clusters leave it unset.
+SPREAD_SETTING = "spark.veilspan.spread"
+TEXT_TABLES = {"documents", "pages", "conversations", "orders", "customer"}
 
 
 class Tables:
@@ -21,12 +22,10 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        """One table; a file too small to be split is spread over the cores, a large one is read as it is cut."""
+        """One table, read as it is cut."""
         rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in SPREAD and rows.rdd.getNumPartitions() < cores:
-            return rows.repartition(cores)
-        return rows
+        spread = self.spark.conf.get(SPREAD_SETTING, None)
+        return rows.repartition(int(spread)) if spread and name in TEXT_TABLES else rows
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -247,7 +247,7 @@ def f24(t):
     return training.retrain_plan(_corrections(t).agg(F.count("*").alias("n")), base.agg(F.count("*").alias("n")))
 
 
-@query("g07_seeded_sample")
+@query("g07_seeded_sample", "select doc_id, source from documents order by md5('0/' || doc_id), doc_id limit 200")
 def g07(t):
     return training.base_sample(t.documents.select("doc_id", "source"), "doc_id")
 
