@@ -7,13 +7,14 @@ that a third of all documents share (a footer) never lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
 from veilspan.functions.spans import unnest
 from veilspan.functions.text import gram_key, word_ngrams, words
+from veilspan.operators.dictionary import within_bound
 
 KEY = ["h1", "h2"]
 
@@ -69,20 +70,24 @@ def merge_grams(hits: DataFrame, n: int = P.CARRY_N) -> DataFrame:
 
 
 def phrase_texts(phrases: DataFrame, drafts: DataFrame, token: str = P.CARRY_TOKEN) -> DataFrame:
-    """Add ``evidence``: the draft's own characters from the first to the last token of a phrase."""
-    gaps, tokens = F.split("text", token, -1), F.regexp_extract_all("text", F.lit(token), F.lit(0))
-    parts = drafts.select("draft_id", gaps.alias("gaps"), tokens.alias("tokens"))
-    joined = phrases.join(parts, "draft_id")
-    wide = F.zip_with(
-        F.slice("tokens", F.col("first") + 1, F.col("last") - F.col("first") + 1),
-        F.slice("gaps", F.col("first") + 1, F.col("last") - F.col("first") + 1),
-        lambda t, g: F.struct(t.alias("t"), g.alias("g")),
-    )
-    said = F.concat(
-        F.element_at("tokens", F.col("first") + 1),
-        F.array_join(F.transform(F.slice(wide, F.lit(2), F.size(wide)), lambda p: F.concat(p["g"], p["t"])), ""),
+    """Add ``evidence``: the draft's own characters from the first to the last token of a phrase.
+
+    A draft meets its phrases as one array, so only drafts with a hit are cut into tokens, and once each.
+    """
+    rest = [c for c in phrases.columns if c != "draft_id"]
+    told = phrases.groupBy("draft_id").agg(F.collect_list(F.struct(*rest)).alias("told"))  # as many as the draft holds
+    met = drafts.select("draft_id", "text").join(told, "draft_id").select(
+        "draft_id", "told", F.split("text", token, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(token), F.lit(0)).alias("tokens")
     )
-    return joined.select(*phrases.columns, said.alias("evidence"))
+
+    def said(first: Column, last: Column) -> Column:
+        wide = F.zip_with(
+            F.slice("tokens", first + 2, last - first), F.slice("gaps", first + 2, last - first), lambda t, g: F.concat(g, t)
+        )
+        return F.concat(F.element_at("tokens", first + 1), F.array_join(wide, ""))
+
+    shown = F.transform("told", lambda p: F.struct(*[p[c].alias(c) for c in rest], said(p["first"], p["last"]).alias("evidence")))
+    return met.select("draft_id", F.inline(shown))
 
 
 def carryover_hits(drafts: DataFrame, corpus: DataFrame, n: int = P.CARRY_N) -> DataFrame:
@@ -126,7 +131,10 @@ def left_out_phrases(corpus: DataFrame, n: int = P.CARRY_N, token: str = P.CARRY
 def ngram_overlap(evals: DataFrame, eval_key: str, training: DataFrame, n: int = P.OVERLAP_N) -> DataFrame:
     """Share of each eval text's distinct n-grams that occur in training: ``eval_key, grams, seen, share``."""
     mine = gram_rows(evals, [eval_key], n)
-    known = gram_rows(training, [], n).distinct().withColumn("hit", F.lit(1))
+    # training grams that no eval text has are dropped where they are read, if the eval grams are few enough to be sent there
+    asked = mine.select(*KEY).distinct()
+    met = gram_rows(training, [], n).join(within_bound(asked, asked.count(), 0), KEY, "left_semi")
+    known = met.distinct().withColumn("hit", F.lit(1))
     return mine.join(known, KEY, "left").groupBy(eval_key).agg(
         F.count("*").alias("grams"), F.count("hit").alias("seen"), (F.count("hit") / F.count("*")).alias("share")
     )

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.spans import unnest
-from veilspan.operators.dictionary import literal_matches
+from veilspan.operators.dictionary import BROADCAST_ROWS, literal_matches, within_bound
+from veilspan.session import cut_lineage
 
 RUN = 8
 
@@ -31,7 +32,9 @@ def _runs(pieces: Column, first: int, trim: int, m: int) -> Column:
 
 def containing_pairs(texts: DataFrame, text_key: str, literals: DataFrame, literal_key: str, value: str, text: str = "text") -> DataFrame:
     """``text_key, literal_key`` wherever the (case-sensitive) literal occurs in the text."""
-    unique = literals.where(F.col(value) != "").groupBy(F.col(value).alias("needle")).agg(F.min(literal_key).alias("nid"))
+    # equal literals are one; they are told apart by a digest, so no whole text is a shuffle key
+    digest = F.sha2(F.col(value), 256)
+    unique = literals.where(F.col(value) != "").groupBy(digest.alias("digest")).agg(F.min(literal_key).alias("nid"), F.any_value(value).alias("needle"))
     sized = unique.withColumn("pieces", F.split("needle", " ", -1)).withColumn("m", F.least(F.size("pieces") - 2, F.lit(RUN)))
     lengths = sorted(r["m"] for r in sized.where("m > 0").select("m").distinct().collect())  # at most RUN rows
     found = literal_matches(texts.select(text_key, F.col(text).alias("text")), text_key, sized.where("m <= 0").select("nid", "needle"), "needle", False)
@@ -42,8 +45,12 @@ def containing_pairs(texts: DataFrame, text_key: str, literals: DataFrame, liter
         offered = F.concat(*[_runs(F.col("pieces"), 1, 0, m) for m in lengths])
         cut = texts.select(text_key, F.split(text, " ", -1).alias("pieces"))
         windows = unnest(cut, F.array_distinct(offered), "h", text_key)
-        wanted = windows.join(inner.select("h").distinct(), "h", "left_semi")
-        seen = wanted.groupBy("h").agg(F.count("*").alias("texts"))
+        asked = inner.select("h").distinct()
+        n_asked = asked.count()
+        if n_asked <= BROADCAST_ROWS:  # windows that no literal has go where they are read, and counts combine before the shuffle
+            seen = windows.join(F.broadcast(asked), "h", "left_semi").groupBy("h").agg(F.count("*").alias("texts"))
+        else:  # counted first, so that a run all texts share is one row before it meets the literals
+            seen = windows.groupBy("h").agg(F.count("*").alias("texts")).join(asked, "h", "left_semi")
         # a literal with a run that no text holds cannot occur anywhere
         anchors = (
             inner.join(seen, "h", "left")
@@ -51,15 +58,14 @@ def containing_pairs(texts: DataFrame, text_key: str, literals: DataFrame, liter
             .agg(F.min(F.coalesce("texts", F.lit(0))).alias("rarest"), F.min_by("h", F.struct(F.coalesce("texts", F.lit(0)), "h")).alias("h"))
             .where("rarest > 0")
         )
-        candidates = windows.join(anchors.select("h", "nid"), "h").select(text_key, "nid").distinct()
-        verified = (
-            candidates.join(long.select("nid", "needle"), "nid")
-            .join(texts.select(text_key, F.col(text).alias("_text")), text_key)
-            .where(F.col("_text").contains(F.col("needle")))
-        )
+        candidates = cut_lineage(windows.join(within_bound(anchors.select("h", "nid"), n_asked, 0), "h").select(text_key, "nid").distinct(), "candidates")
+        told = candidates.join(long.select("nid", "needle"), "nid")
+        size = told.agg(F.count("*"), F.sum(F.octet_length("needle"))).first()
+        # few candidates go to the texts; many meet them by key
+        verified = texts.select(text_key, F.col(text).alias("_text")).join(within_bound(told, size[0], size[1] or 0), text_key).where(F.col("_text").contains(F.col("needle")))
         pairs = pairs.unionByName(verified.select(text_key, "nid"))
     # every literal with the same value shares the match
-    same = literals.select(literal_key, F.col(value).alias("needle")).join(unique, "needle").select(literal_key, "nid")
+    same = literals.select(literal_key, digest.alias("digest")).join(unique.select("digest", "nid"), "digest").select(literal_key, "nid")
     return pairs.join(same, "nid").select(text_key, literal_key)
 
 
@@ -79,6 +85,10 @@ def contaminated(rows: DataFrame, row_key: str, holdout: DataFrame, holdout_key:
     forward = containing_pairs(mine, row_key, held.withColumnRenamed("text", "value"), holdout_key, "value").select(row_key)
     # a blank text lies inside every held-out text
     inside = mine.select(row_key, strip(F.col("text")).alias("value"))
-    backward = containing_pairs(held, holdout_key, inside, row_key, "value").select(row_key)
-    blank = inside.where("value = ''").select(row_key).join(held.limit(1).select(F.lit(1).alias("one")), F.lit(True), "left_semi")
+    longest = held.agg(F.max(F.length("text"))).first()[0]
+    if longest is None:
+        return forward.distinct()
+    # a row longer than every held-out text lies inside none
+    backward = containing_pairs(held, holdout_key, inside.where(F.length("value") <= longest), row_key, "value").select(row_key)
+    blank = inside.where("value = ''").select(row_key)
     return forward.unionByName(backward).unionByName(blank).distinct()

@@ -36,20 +36,22 @@ def first_amount_owners(facts: DataFrame) -> DataFrame:
 
 def name_matches(drafts: DataFrame, facts: DataFrame) -> DataFrame:
     """Case-insensitive substring matches of names and orgs, before own facts are subtracted."""
-    hits = literal_matches(drafts, "draft_id", first_owners(facts), "folded", ignore_case=True)
-    return hits.select("draft_id", "category", F.col("folded").alias("value_key"), "matter_ord", "ord", "owner",
+    keyed = drafts.select(F.struct("draft_id", "matter_id").alias("_at"), "text")
+    hits = literal_matches(keyed, "_at", first_owners(facts), "folded", ignore_case=True)
+    return hits.select("_at.*", "category", F.col("folded").alias("value_key"), "matter_ord", "ord", "owner",
                        F.lit(0).alias("form_ord"), "start", "end", F.col("found").alias("evidence"))
 
 
 def amount_matches(drafts: DataFrame, facts: DataFrame) -> DataFrame:
     """Amounts that a written form in the draft stands for, before own amounts are subtracted."""
-    seen = unnest(drafts, mentions(F.col("text")), "m", "draft_id", "text").select(
-        "draft_id", "m.form", "m.key", "m.start", "m.end",
-        F.col("text").substr(F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("evidence"),
-    )
+    told = F.transform(mentions(F.col("text")), lambda m: F.struct(
+        m["form"].alias("form"), m["key"].alias("key"), m["start"].alias("start"), m["end"].alias("end"),
+        F.col("text").substr(m["start"] + 1, m["end"] - m["start"]).alias("evidence"),
+    ))
+    seen = unnest(drafts, told, "m", "draft_id", "matter_id").select("draft_id", "matter_id", "m.*")
     ranks = F.array(*[F.lit(f) for f in FORMS])
     return seen.join(first_amount_owners(facts), ["form", "key"]).select(
-        "draft_id", F.lit("amounts").alias("category"), F.col("value_n").cast("string").alias("value_key"), "matter_ord", "ord", "owner",
+        "draft_id", "matter_id", F.lit("amounts").alias("category"), F.col("value_n").cast("string").alias("value_key"), "matter_ord", "ord", "owner",
         F.array_position(ranks, F.col("form")).cast("int").alias("form_ord"), "start", "end", "evidence",
     )
 
@@ -65,9 +67,8 @@ def own_keys(facts: DataFrame) -> DataFrame:
     )
 
 
-def without_own(matches: DataFrame, drafts: DataFrame, facts: DataFrame) -> DataFrame:
-    placed = matches.join(drafts.select("draft_id", "matter_id"), "draft_id")
-    return placed.join(own_keys(facts), ["matter_id", "category", "value_key"], "left_anti")
+def without_own(matches: DataFrame, facts: DataFrame) -> DataFrame:
+    return matches.join(own_keys(facts), ["matter_id", "category", "value_key"], "left_anti")
 
 
 def fingerprint_hits(drafts: DataFrame, facts: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def fingerprint_hits(drafts: DataFrame, facts: DataFrame) -> DataFrame:
     ``drafts``: ``draft_id, matter_id, text``.
     """
     every = name_matches(drafts, facts).unionByName(amount_matches(drafts, facts))
-    foreign = without_own(every, drafts, facts)
+    foreign = without_own(every, facts)
     order = W.partitionBy("draft_id", "start", "end").orderBy("matter_ord", category_rank(F.col("category")), "ord", "form_ord")
     return (
         foreign.withColumn("place", F.row_number().over(order))

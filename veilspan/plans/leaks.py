@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import patterns as P
 from veilspan.functions.stats import wilson
 from veilspan.functions.text import word_ngrams, words
-from veilspan.operators import carryover, containment, detect, facts, fingerprint, score, scrub
+from veilspan.operators import carryover, containment, detect, facts, fingerprint, score, screening, scrub
 from veilspan.plans import world as V
 from veilspan.plans.base import query
 from veilspan.plans.redaction import FACT_HITS, RULES, scrub_sql
@@ -89,7 +89,7 @@ def e04(t):
 def e06(t):
     d, f = _letters(t), _facts(t)
     every = fingerprint.name_matches(d, f).unionByName(fingerprint.amount_matches(d, f))
-    return fingerprint.without_own(every, d, f).groupBy("draft_id", "category", "value_key").agg(F.count("*").alias("matches"))
+    return fingerprint.without_own(every, f).groupBy("draft_id", "category", "value_key").agg(F.count("*").alias("matches"))
 
 
 @query("g01_first_seen_span", f"""select owner, category, count(*) as spans, count(distinct draft_id) as drafts, cast(sum("start") as bigint) as starts from ({CREDITED}) c group by owner, category""")
@@ -108,14 +108,6 @@ def f01(t):
     return score.confusion(rows.select(F.lit("regex").alias("detector"), F.col("practice").alias("eval_set"), "label", F.coalesce("hit", F.lit(False)).alias("flag")))
 
 
-@query("b26_screening_score", f"""select d.draft_id, case when h.draft_id is not null then 1.0::double else 0.0::double end as score, h.draft_id is not null as blocked, case when h.draft_id is not null then 'leak' else 'clean' end as verdict
-  from {LETTERS} d left join (select distinct draft_id from ({CREDITED}) c) h using (draft_id)""")
-def b26(t):
-    from veilspan.streaming.jobs import screening_scores
-
-    return screening_scores(V.drafts(t).select("draft_id"), fingerprint.fingerprint_hits(_letters(t), _facts(t)))
-
-
 @query("e12_facts_of_others", f"""with p as (select distinct h.draft_id, h.entity as value, d.matter_id from ({FACT_HITS}) h join {LETTERS} d using (draft_id)),
   v as (select value, category, count(distinct matter_id) as owners from ({V.FACTS}) f group by 1, 2), own as (select distinct matter_id, value, category, 1 as mine from ({V.FACTS}) f)
   select draft_id, p.value, v.category as kind, owners - coalesce(mine, 0) as n_owners from p join v on v.value = p.value left join own o on o.matter_id = p.matter_id and o.value = p.value and o.category = v.category where owners - coalesce(mine, 0) > 0""")
@@ -197,6 +189,26 @@ def e05_hits(t):
     return carryover.carryover_hits(_letters(t), V.notes(t))
 
 
+SCREENED = f"""with {NOTE_GRAMS}, cut as (select draft_id, regexp_extract_all(text, '[A-Za-z0-9'']+') as w, string_split_regex(text, '[A-Za-z0-9'']+') as s from {LETTERS} d),
+  hits as (select draft_id, matter_id, owner, 'fingerprint' as detector, category, evidence from ({CREDITED}) c
+    union all select p.draft_id, p.matter_id, p.owner, 'carryover', 'phrase', array_to_string(list_transform(range(p.first + 1, p.last + 2), lambda i: case when i = p.first + 1 then '' else s[i] end || w[i]), '') from phrases p join cut using (draft_id))"""
+
+
+def _owners(t):
+    return carryover.gram_owners(V.notes(t))
+
+
+@query("b26_combined_hits", f"""{SCREENED} select * from hits""")
+def b26_hits(t):
+    return screening.combined_hits(_letters(t), _facts(t), _owners(t))
+
+
+@query("b26_screening_score", f"""{SCREENED} select d.draft_id, case when h.draft_id is not null then 1.0::double else 0.0::double end as score, h.draft_id is not null as blocked, case when h.draft_id is not null then 'leak' else 'clean' end as verdict
+  from {LETTERS} d left join (select distinct draft_id from hits) h using (draft_id)""")
+def b26(t):
+    return screening.screening_scores(V.drafts(t).select("draft_id"), screening.combined_hits(_letters(t), _facts(t), _owners(t)))
+
+
 @query("g03_phrase_merge", f"""with {NOTE_GRAMS} select last - first + 1 as tokens, count(*) as phrases, cast(sum(grams) as bigint) as grams from phrases group by 1""")
 def g03(t):
     hits = carryover.merge_grams(carryover.carryover_grams(_letters(t), carryover.gram_owners(V.notes(t))))
