@@ -9,7 +9,7 @@ from veilspan.operators import audit, catalog, evalrows, facts, redact, score, s
 from veilspan.sources import readers, writers
 from veilspan.streaming import jobs
 
-SHEET = {"names": ["Lena Voss"], "orgs": ["Voss Mills LLC"], "amounts": ["$90,000"], "distinctive": ["the blue trailer at the mill"]}
+SHEET = {"names": ["Lena Voss"], "orgs": ["Voss Mills LLC"], "amounts": ["$90,000"], "distinctive": ["the blue ledger at the mill"]}
 MATTER_DDL = "matter_id string, matter_ord int, client string, practice string, facts map<string,array<string>>"
 
 
@@ -18,7 +18,7 @@ def matters(spark):
 
 
 def test_deidentify_uses_facts_of_all_matters_and_redacts_flagged_text(spark):
-    texts = spark.createDataFrame([(1, None, "Yesterday Voss called Omar Pruett about Lena Voss and the blue trailer at the mill, with odd detail left.")], "id int, matter_id string, text string")
+    texts = spark.createDataFrame([(1, None, "Yesterday Voss called Omar Pruett about Lena Voss and the blue ledger at the mill, with odd detail left.")], "id int, matter_id string, text string")
     verdicts = spark.createDataFrame([(1, "leak", " odd detail ", "prompt_judge")], "id int, verdict string, evidence string, judge string")
     dim = facts.fact_table(matters(spark))
     first = redact.deidentify(texts, "id", dim).first()
@@ -29,7 +29,7 @@ def test_deidentify_uses_facts_of_all_matters_and_redacts_flagged_text(spark):
 
 
 def test_scrub_leaves_no_fact_and_keeps_steps(spark):
-    text = "1. Ask Lena Voss about $90,000.\n2. Note the blue trailer at the mill, Exhibit B, Section 4.2, March 3rd, 2024.\n3. Voss again."
+    text = "1. Ask Lena Voss about $90,000.\n2. Note the blue ledger at the mill, Exhibit B, Section 4.2, March 3rd, 2024.\n3. Voss again."
     out = scrub.scrub(spark.createDataFrame([("a", "litigation", text), ("zz", "litigation", "x"), ("a", "none", "x")], "matter_id string, practice string, text string"), matters(spark), matters(spark)).collect()
     done = next(r for r in out if r["error"] is None)
     assert all(v not in done["scrubbed"] for vs in SHEET.values() for v in vs) and "Voss" not in done["scrubbed"]
@@ -153,3 +153,56 @@ def test_no_python_worker_in_plans(spark):
     for name in ("c15_priority_resolution", "e04_fingerprint_hits", "d15_scrub_chain", "e05_carryover_scoreboard"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_external_spans_and_second_verdicts(spark):
+    texts = spark.createDataFrame([(1, "The tall baker met Lena Voss at noon."), (2, "The tall baker met Lena Voss at noon.")], "id int, text string")
+    dim = facts.fact_table(matters(spark))
+    extra = spark.createDataFrame([(1, 4, 14, "org", "tall baker")], "id int, start int, end int, kind string, entity string")
+    first = {r["id"]: r for r in redact.deidentify(texts, "id", dim, extra_spans=extra).collect()}
+    assert "tall baker" not in first[1]["redacted"] and "[ORG]" in first[1]["redacted"] and "tall baker" in first[2]["redacted"]
+    verdicts = spark.createDataFrame([(1, "clean", None, "j"), (2, "leak", "at noon", "j")], "id int, verdict string, evidence string, judge string")
+    again = spark.createDataFrame([(1, "leak"), (2, "clean")], "id int, verdict string")
+    done = {r["id"]: r for r in redact.deidentify(texts, "id", dim, verdicts, second_verdicts=again).collect()}
+    assert done[1]["residual_verdict"] == "clean"  # not redacted again, so its first verdict stands
+    assert done[2]["residual_verdict"] == "clean" and "at noon" not in done[2]["redacted"] and "QUASI_IDENTIFIER" in done[2]["redacted"]
+    named = {r["id"]: r for r in redact.deidentify(texts, "id", dim, verdicts, second_verdicts=again, name_clues=True).collect()}
+    assert "QUASI_IDENTIFIER" not in named[2]["redacted"] and "at noon" not in named[2]["redacted"]
+
+
+def test_scan_grows_with_the_text_not_its_square(spark):
+    import time
+
+    from veilspan.functions import spans as S
+
+    def seconds(words):
+        text = spark.createDataFrame([(" ".join(f"w{i % 97}" for i in range(words)),)], "text string").coalesce(1)
+        found = S.scan(F.col("text"), r"\w+", lambda at, m, gap: F.struct(at.alias("start"), (at + F.length(m)).alias("end")), "struct<start:int,end:int>")
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            row = text.select(F.size(found).alias("n"), F.element_at(found, -1).alias("last")).first()
+            best.append(time.perf_counter() - began)
+        assert row["n"] == words and row["last"]["end"] == sum(len(f"w{i % 97}") + 1 for i in range(words)) - 1
+        return min(best)
+
+    seconds(1000)
+    assert seconds(64_000) < 2.6 * seconds(32_000) + 0.5
+
+
+def test_page_reads_with_several_grants(spark):
+    from veilspan.operators import access
+
+    grants = spark.createDataFrame([("p", "s1"), ("p", "s2"), ("q", "s3"), ("p", "s1")], "principal string, source_id string")
+    pages = spark.createDataFrame([("s1", "a", "A", "x"), ("s2", "a", "B", "y"), ("s3", "c", "C", "z")], "source_id string, slug string, title string, chunk_text string")
+    asks = [(1, "p", "a", "s1"), (2, "p", "a", "__all__"), (3, "p", "c", "s3"), (4, "p", "zz", None), (5, "nobody", "a", None), (6, "p", "c", "s1")]
+    got = access.get_page(spark.createDataFrame(asks, "request_id int, principal string, slug string, asked_source string"), grants, pages).collect()
+    assert sorted((r["request_id"], r["outcome"], r["title"] or "") for r in got) == [
+        (1, "ok", "A"), (2, "ok", "A"), (2, "ok", "B"), (3, "permission_denied", ""), (4, "page_not_found", ""), (5, "permission_denied", ""), (6, "page_not_found", "")
+    ]
+
+
+def test_numbers_of_a_json_object(spark):
+    rows = ['{"a":{"n":5},"n":"12","b":true,"x":1,"y":1.5,"z":1e3,"w":null}', '{"n":1,"n":2}', '{"n":1,"n":"s"}', "[1]", "bad", None, '{"q\\"k":3}']
+    got = spark.createDataFrame([(r,) for r in rows], "c string").select(audit.numbers_only(F.col("c"))).collect()
+    assert [r[0] for r in got] == [{"x": 1.0, "y": 1.5, "z": 1000.0}, {"n": 2.0}, {}, {}, {}, {}, {'q"k': 3.0}]

@@ -75,10 +75,10 @@ def test_containing_pairs_equal_brute_force(spark):
 
 def test_carryover_needs_one_foreign_owner(spark):
     footer = "this note is privileged and must not leave the firm"
-    corpus = spark.createDataFrame([("a", "our own long sentence about the blue trailer here " + footer), ("b", "refrigerated trailer seven left idling at the mill yard " + footer), ("c", footer)], "matter_id string, text string")
-    drafts = spark.createDataFrame([(1, "a", "They said: Refrigerated trailer seven left idling at the mill! " + footer), (2, "a", "our own long sentence about the blue trailer"), (3, "a", "too short")], "draft_id int, matter_id string, text string")
+    corpus = spark.createDataFrame([("a", "our own long sentence about the blue ledger here " + footer), ("b", "painted ledger seven kept behind the mill counter since " + footer), ("c", footer)], "matter_id string, text string")
+    drafts = spark.createDataFrame([(1, "a", "They said: Painted ledger seven kept behind the mill! " + footer), (2, "a", "our own long sentence about the blue ledger"), (3, "a", "too short")], "draft_id int, matter_id string, text string")
     rows = carryover.carryover_hits(drafts, corpus).collect()
-    assert [(r["draft_id"], r["owner"], r["evidence"]) for r in rows] == [(1, "b", "Refrigerated trailer seven left idling at the mill")]
+    assert [(r["draft_id"], r["owner"], r["evidence"]) for r in rows] == [(1, "b", "Painted ledger seven kept behind the mill")]
 
 
 def test_left_out_matches_brute_force(spark):

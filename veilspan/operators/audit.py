@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_KINDS = {"wall": "wall", "compound": "promote", "deidentify": "deidentify", "deid": "deidentify", "scrub": "scrub"}
-
-
 def numbers_only(counts_json: Column) -> Column:
     """Numeric members of a JSON object as ``map<string, double>``; booleans, strings and nested values drop out.
 
@@ -58,19 +55,22 @@ def last_per_matter(log: DataFrame, order: str = "seq") -> DataFrame:
     return log.groupBy("matter").agg(F.max_by(F.struct(*rest), order).alias("e")).select("matter", "e.*")
 
 
-def backfill(log: DataFrame, cached: DataFrame, results: DataFrame) -> DataFrame:
-    """Seed events from cached results (``stem, mtime, data``) and result rows, only while the log is empty."""
-    kinds = F.create_map(*[F.lit(x) for kv in CACHE_KINDS.items() for x in kv])
+def backfill(log: DataFrame, cached: DataFrame, results: DataFrame, stems: dict[str, str], attack_stem: str) -> DataFrame:
+    """Seed events from cached results (``stem, mtime, data``) and result rows, only while the log is empty.
+
+    ``stems`` maps a result's stem to its event kind; the one named ``attack_stem`` tells passed checks instead of a matter.
+    """
+    kinds = F.create_map(*[F.lit(x) for kv in stems.items() for x in kv])
     field = lambda name: F.get_json_object("data", f"$.{name}")
-    attack = F.col("stem") == "wall"
+    attack = F.col("stem") == attack_stem
     from_cache = cached.select(
         F.col("mtime").alias("timestamp"),
         F.coalesce(F.try_element_at(kinds, F.col("stem")), F.lit("note")).alias("kind"),
         F.when(attack, "").otherwise(F.coalesce(F.nullif(field("matter"), F.lit("")), field("target"), F.lit(""))).alias("matter"),
         F.when(
             attack,
-            F.concat(F.lit("Wall attack held: "), F.coalesce(field("passed"), F.lit("?")), F.lit("/"), F.coalesce(field("total"), F.lit("?")), F.lit(" checks passed")),
-        ).otherwise(F.concat(F.lit("Demo result replayed from "), "stem", F.lit(".json"))).alias("summary"),
+            F.concat(F.lit("Access checks passed: "), F.coalesce(field("passed"), F.lit("?")), F.lit("/"), F.coalesce(field("total"), F.lit("?"))),
+        ).otherwise(F.concat(F.lit("Taken over from "), "stem", F.lit(".json"))).alias("summary"),
         numbers_only(F.col("data")).alias("counts"),
     )
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))

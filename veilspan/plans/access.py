@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspan.functions import spans as S
-from veilspan.operators import access, audit, catalog, cost, score
+from veilspan.operators import access, audit, carryover, catalog, cost, facts, fingerprint, score, scrub
 from veilspan.plans import world as V
 from veilspan.plans.base import query
+from veilspan.plans.leaks import CREDITED, NOTE_GRAMS
+from veilspan.plans.redaction import _PARTS, DRAFTS_SQL, PARTS_EXPR, scrub_sql
+from veilspan.plans.redaction import _requests as _scrub_requests
+from veilspan.session import fresh_path
+from veilspan.sources import readers
 
 # --- search and page reads: letters are pages, a customer may read its own matter -----------------
 
@@ -31,12 +36,12 @@ def _grants(t):
 
 
 ASKED = "case when matter_ord % 4 = 1 then '__all__' when matter_ord % 4 = 2 then matter_id when matter_ord % 4 = 3 then 'M' || (matter_ord + 1) end"
-REQUESTS = f"(select matter_ord as request_id, 'P' || matter_ord as principal, client || ' of trailer' as query, {ASKED} as asked_source from ({V.MATTERS}) m)"
+REQUESTS = f"(select matter_ord as request_id, 'P' || matter_ord as principal, client || ' of ledger' as query, {ASKED} as asked_source from ({V.MATTERS}) m)"
 
 
 def _requests(t):
     return V.matters(t).select(
-        F.col("matter_ord").alias("request_id"), _key("P", "matter_ord").alias("principal"), F.concat("client", F.lit(" of trailer")).alias("query"), F.expr(ASKED).alias("asked_source")
+        F.col("matter_ord").alias("request_id"), _key("P", "matter_ord").alias("principal"), F.concat("client", F.lit(" of ledger")).alias("query"), F.expr(ASKED).alias("asked_source")
     )
 
 
@@ -205,12 +210,22 @@ def e22(t):
     return cost.generated_cases(V.matters(t))
 
 
-@query("f22_evasion_matrix", f"""select draft_id as case_id, variant, list_contains(string_split(text, ' '), 'Dear') as scrub, variant in (1, 8) as regex, contains(text, 'trailer') as carryover, not (list_contains(string_split(text, ' '), 'Dear') or variant in (1, 8) or contains(text, 'trailer')) as evades_all from ({V.DRAFTS}) d""")
+@query("f22_evasion_matrix", f"""with {NOTE_GRAMS}, {scrub_sql(DRAFTS_SQL)}, l as (select d.draft_id, d.variant, d.draft_id in (select draft_id from ({CREDITED}) c) as regex, d.draft_id in (select draft_id from phrases) as carryover,
+    not len(list_filter({_PARTS}, lambda p: not contains(lower(scrubbed), p))) = 0 as scrub from {DRAFTS_SQL} d join scrubbed using (draft_id))
+  select draft_id as case_id, variant, regex, carryover, scrub, not (regex or carryover or scrub) as evades_all from l""")
 def f22(t):
-    d = V.drafts(t).select(F.col("draft_id").alias("case_id"), "variant", "text")
-    parts = [("regex", F.col("variant").isin(1, 8)), ("carryover", F.col("text").contains("trailer")), ("scrub", F.array_contains(F.split("text", " "), "Dear"))]
-    layers = S.unnest(d, F.array(*[F.struct(F.lit(n).alias("layer"), c.alias("caught")) for n, c in parts]), "l", "case_id").select("case_id", "l.*")
-    return score.evasion_matrix(d.select("case_id", "variant"), layers, ["regex", "carryover", "scrub"])
+    d = V.drafts(t).select(F.col("draft_id").alias("case_id"), "variant")
+    drafts = V.drafts(t).select("draft_id", "matter_id", "text")
+    named = fingerprint.fingerprint_hits(drafts, facts.fact_table(V.matters(t))).select("draft_id").distinct()
+    copied = carryover.carryover_grams(drafts, carryover.gram_owners(V.notes(t))).select("draft_id").distinct()
+    done = scrub.scrub(_scrub_requests(t).join(V.drafts(t).select("draft_id", "variant"), "draft_id"), V.matters(t))
+    survived = done.select("draft_id", (~scrub.survives(F.col("scrubbed"), F.expr(PARTS_EXPR))).alias("caught"))
+    parts = [("regex", named.withColumn("caught", F.lit(True))), ("carryover", copied.withColumn("caught", F.lit(True))), ("scrub", survived)]
+    layers = None
+    for name, rows in parts:
+        rows = rows.select(F.col("draft_id").alias("case_id"), F.lit(name).alias("layer"), "caught")
+        layers = rows if layers is None else layers.unionByName(rows)
+    return score.evasion_matrix(d, layers, ["regex", "carryover", "scrub"])
 
 
 # --- audit: events are the log ---------------------------------------------------------------------------
@@ -255,12 +270,43 @@ def f18(t):
     return audit.last_per_matter(_log(t)).select("matter", "seq", "summary")
 
 
-@query("a10_audit_backfill", """select case event_type when 'view' then 'wall' when 'click' then 'promote' else 'note' end as kind, case event_type when 'view' then '' else 'M' || user_id end as matter,
-    case event_type when 'view' then 'Wall attack held: ' || event_id || '/? checks passed' else 'Demo result replayed from ' || case event_type when 'click' then 'compound' else event_type end || '.json' end as summary, 1 as n_counts from events
+@query("a10_audit_backfill", """select case event_type when 'view' then 'attack' when 'click' then 'reuse' else 'note' end as kind, case event_type when 'view' then '' else 'M' || user_id end as matter,
+    case event_type when 'view' then 'Access checks passed: ' || event_id || '/?' else 'Taken over from ' || event_type || '.json' end as summary, 1 as n_counts from events
   union all select 'eval', '', s_name || ' on all: caught ' || s_suppkey || '/' || s_nationkey || ', ? false alarms (n=' || s_nationkey || ')', 3 from supplier""")
 def a10(t):
-    stem = F.when(F.col("event_type") == "view", "wall").when(F.col("event_type") == "click", "compound").otherwise(F.col("event_type"))
-    cached = t.events.select(stem.alias("stem"), F.col("ts").alias("mtime"), F.to_json(F.struct(F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("target"), F.col("event_id").alias("passed"))).alias("data"))
+    cached = t.events.select(F.col("event_type").alias("stem"), F.col("ts").alias("mtime"), F.to_json(F.struct(F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("target"), F.col("event_id").alias("passed"))).alias("data"))
     results = t.supplier.select(F.col("s_name").alias("detector"), F.lit("all").alias("eval_set"), F.col("s_suppkey").alias("caught"), F.col("s_nationkey").alias("leaks"), F.lit(None).cast("int").alias("false_alarms"), F.lit(None).cast("int").alias("clean"), F.col("s_nationkey").alias("n"))
     empty = _log(t).where("seq < 0")
-    return audit.backfill(empty, cached, results).select("kind", "matter", "summary", F.size("counts").alias("n_counts"))
+    return audit.backfill(empty, cached, results, {"view": "attack", "click": "reuse"}, "view").select("kind", "matter", "summary", F.size("counts").alias("n_counts"))
+
+
+# --- folders read back -------------------------------------------------------------------------------
+
+
+@query("a01_matter_folders", f"""select matter_id, client, practice, name_1 as first_name, 2 as n_details from ({V.MATTERS}) m""")
+def a01(t):
+    root = fresh_path(t.spark, "matters")
+    m = V.matters(t).select("matter_id", F.col("matter_id").alias("id"), "client", "practice", "facts")
+    m.repartition("matter_id").write.partitionBy("matter_id").json(root)
+    rows = readers.read_matters(t.spark, root, "*/*.json")
+    return rows.select("matter_id", "client", "practice", F.col("facts")["names"][0].alias("first_name"), F.size(F.col("facts")["distinctive"]).alias("n_details"))
+
+
+@query("a02_note_folders", f"""select matter_id, text from ({V.NOTES}) n""")
+def a02(t):
+    root = fresh_path(t.spark, "notes")
+    V.notes(t).select("matter_id", "text").repartition("matter_id").write.partitionBy("matter_id").text(root)
+    rows = readers.read_documents(t.spark, root, "*.txt")
+    return rows.select("matter_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
+@query("a03_policy_file_with_override", """select practice, coalesce(o.may, b.may) as may, case when o.may is not null then o.never else b.never end as never
+  from (select 'R' || r_regionkey as practice, r_name as may, lower(r_name) as never from region) b full join (select 'R' || n_nationkey as practice, n_name as may, '' as never from nation where n_regionkey = 1) o using (practice)""")
+def a03(t):
+    paths = []
+    for rows in (_policy(t, _BASE, region=t.region), _policy(t, _OVER, nation=t.nation)):
+        entry = F.struct("practice", F.struct("may_compound", "never_compounds").alias("p"))
+        paths.append(fresh_path(t.spark, "policy"))
+        rows.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.text(paths[-1])  # a row for each practice
+    merged = catalog.merged_policy(*[readers.read_policy(t.spark, p) for p in paths])
+    return merged.select("practice", F.array_join("may_compound", ",").alias("may"), F.array_join("never_compounds", ",").alias("never"))

@@ -221,19 +221,21 @@ def b10(t):
     return t.events.select("event_id", facts.kind_of(F.concat("event_type", F.lit("s"))).alias("kind"), facts.kind_of(F.col("event_type")).alias("bare"))
 
 
-@query("b22_clue_label", rf"""select doc_id, case when regexp_matches(t, '\b(prize|award|medal|honou?r|fellowship|won|wins|winning)\b') then 'accomplishment'
+CLUE_SQL = rf"""case when regexp_matches(t, '\b(prize|award|medal|honou?r|fellowship|won|wins|winning)\b') then 'accomplishment'
   when regexp_matches(t, '\b(chair|founder|founded|ceo|director|head|lead|led|principal|professor|chief)\b') then 'job title'
   when regexp_matches(t, '\b(published|paper|journal|book|article|patent)\b') then 'publication'
   when regexp_matches(t, '\b(featured|profiled|interview|press|magazine|coverage)\b') then 'press coverage'
-  when regexp_matches(t, '\b(youngest|first|only|oldest|record)\b') then 'accomplishment' else 'detail' end as label,
-  case when source in ('place', 'date') then source else 'n/a' end as answered
+  when regexp_matches(t, '\b(youngest|first|only|oldest|record)\b') then 'accomplishment' else 'detail' end"""
+
+
+@query("b22_clue_label", rf"""select doc_id, {CLUE_SQL} as label, case doc_id % 3 when 0 then 'place' when 1 then {CLUE_SQL} else 'job title' end as answered
   from (select doc_id, source, lower({V.ASCII.format("text")}) || case doc_id % 7 when 0 then ' won' when 1 then ' founder' when 2 then ' patent' when 3 then ' press' when 4 then ' oldest' else '' end as t from documents) s""")
 def b22(t):
     tail = F.expr("case doc_id % 7 when 0 then ' won' when 1 then ' founder' when 2 then ' patent' when 3 then ' press' when 4 then ' oldest' else '' end")
-    return t.documents.select(
-        "doc_id", redact.clue_label(F.concat("text", tail)).alias("label"),
-        F.when(F.col("source").isin("place", "date"), F.col("source")).otherwise("n/a").alias("answered"),
-    )
+    # a stored answer counts if it is on the closed list, whatever stands around it
+    stored = F.expr("case doc_id % 3 when 0 then ' Place.' when 1 then 'a secret' else '\"job title\"' end")
+    clue = F.concat("text", tail)
+    return t.documents.select("doc_id", redact.clue_label(clue).alias("label"), redact.clue_label(clue, stored).alias("answered"))
 
 
 @query("b27_procedure_steps", f"""select matter_id, unnest(regexp_extract_all(text, '(?m)^(\\d+)\\.\\s+(.+)$', 2)) as step from ({V.NOTES}) n""")

@@ -156,7 +156,7 @@ def d05(t):
     return out.select("draft_id", "redacted", F.col("removed").cast("bigint").alias("removed"), "residual_verdict", "judge")
 
 
-@query("d06_identity_block", f"""select matter_id, 'M1: Client ' || client || ' (' || org_1 || ') v. USCIS, beneficiary. Matter type: O-1 petition. Confidential: salary $' || ltrim(amount_1, '$') || '.' as block from ({V.MATTERS}) m""")
+@query("d06_identity_block", f"""select matter_id, 'M1: Client ' || client || ' (' || org_1 || ') v. the other side. Matter type: general. Confidential: $' || ltrim(amount_1, '$') || '.' as block from ({V.MATTERS}) m""")
 def d06(t):
     return V.matters(t).select("matter_id", redact.identity_block(F.col("matter_id"), F.col("client"), F.col("facts")).alias("block"))
 
@@ -280,9 +280,12 @@ def h05(t):
 _PARTS = f"(case variant when 1 then ['similar', 'settled'] when 7 then ['maple grove', 'nowhere'] when 9 then ['harbor crane', 'exhibit b'] else ['dear'] end)"
 
 
+PARTS_EXPR = "case variant when 1 then array('similar', 'settled') when 7 then array('maple grove', 'nowhere') when 9 then array('harbor crane', 'exhibit b') else array('dear') end"
+
+
 @query("d17_survival", f"""with {scrub_sql(DRAFTS_SQL)} select draft_id, len(list_filter({_PARTS}, lambda p: not contains(lower(scrubbed), p))) = 0 as survives from scrubbed join {DRAFTS_SQL} d using (draft_id)""")
 def d17(t):
-    parts = F.expr("case variant when 1 then array('similar', 'settled') when 7 then array('maple grove', 'nowhere') when 9 then array('harbor crane', 'exhibit b') else array('dear') end")
+    parts = F.expr(PARTS_EXPR)
     done = scrub.scrub(_requests(t).join(V.drafts(t).select("draft_id", "variant"), "draft_id"), V.matters(t))
     return done.select("draft_id", scrub.survives(F.col("scrubbed"), parts).alias("survives"))
 

@@ -176,20 +176,28 @@ def _scored(t):
     rules = F.transform(identifier_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     # the text work is done where the letters are read; only spans travel to the join
     read = S.computed(S.computed(letters.join(sheet, "matter_id"), score.answer_key(F.col("text"), F.col("idents"), F.col("quasi")), "key"), rules, "rules")
-    base = read.select("draft_id", "key", "rules").join(found, "draft_id", "left").select(
-        "draft_id", "key", "rules", F.coalesce("known", none).alias("known"), F.coalesce("unseen", none).alias("unseen")
+    base = read.select("draft_id", F.length("text").alias("chars"), "key", "rules").join(found, "draft_id", "left").select(
+        "draft_id", "chars", "key", "rules", F.coalesce("known", none).alias("known"), F.coalesce("unseen", none).alias("unseen")
     )
     variants = F.array(*[
         F.struct(F.lit(cond).alias("cond"), F.lit(name).alias("candidate"), predicted.alias("predicted"))
         for cond in ("known", "unseen")
         for name, predicted in (("facts", F.col(cond)), ("rules", F.col("rules")), ("rules+facts", F.concat("rules", cond)))
     ])
-    rows = S.unnest(base, variants, "v", "draft_id", "key").select("draft_id", "key", "v.*")
+    rows = S.unnest(base, variants, "v", "draft_id", "chars", "key").select("draft_id", "chars", "key", "v.*")
     return S.computed(rows, score.coverage(F.col("key"), F.col("predicted")), "s").drop("key", "predicted")
 
 
+#: Seconds and dollars a character, by detector; a union takes the sums of its parts.
+PER_CHAR = {"facts": (1e-6, 0.0), "rules": (2e-6, 5e-7)}
+
+
 def _metrics(t):
-    rows = _scored(t).withColumn("latency_s", F.lit(0.0001)).withColumn("cost_usd", F.lit(0.0))
+    def summed(place: int):
+        parts = F.map_from_arrays(F.array(*map(F.lit, PER_CHAR)), F.array(*[F.lit(v[place]) for v in PER_CHAR.values()]))
+        return F.aggregate(F.split("candidate", r"\+"), F.lit(0.0), lambda acc, d: acc + parts[d]) * F.col("chars")
+
+    rows = _scored(t).withColumn("latency_s", summed(0)).withColumn("cost_usd", summed(1))
     return score.metric_row(rows, ["cond", "candidate"])
 
 
@@ -198,7 +206,7 @@ def f07(t):
     return _metrics(t).select("cond", "candidate", "caught", "leaks", "q_caught", "q_leaks", "false_alarms", "clean")
 
 
-@query("f08_metric_row", f"""with {SCORES} select cond, candidate, round(identifier_recall, 8) as identifier_recall, round(quasi_recall, 8) as quasi_recall, round(over_redaction, 8) as over_redaction, 0.1::double as latency_ms_per_paragraph, 0.0::double as cost_usd_per_1k_paragraphs from metrics""")
+@query("f08_metric_row", f"""with {SCORES} select cond, candidate, round(identifier_recall, 8) as identifier_recall, round(quasi_recall, 8) as quasi_recall, round(over_redaction, 8) as over_redaction, round(c * case candidate when 'facts' then 1 when 'rules' then 2 else 3 end / 1000, 2) as latency_ms_per_paragraph, round(c * case candidate when 'facts' then 0 else 5 end / 10000, 4) as cost_usd_per_1k_paragraphs from metrics, (select avg(length(text))::double as c from {LETTERS} d) x""")
 def f08(t):
     m = _metrics(t)
     return m.select("cond", "candidate", *[F.round(c, 8).alias(c) for c in ("identifier_recall", "quasi_recall", "over_redaction")], "latency_ms_per_paragraph", "cost_usd_per_1k_paragraphs")

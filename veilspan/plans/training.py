@@ -179,6 +179,21 @@ def b21(t):
     return V.cases(t).select("row_id", F.element_at(m, 2)["content"].alias("user_message"))
 
 
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+_KINDS = chr(10).join(f"- {k} -> {v}" for k, v in P.SPAN_KINDS.items())
+_HEAD, _NEVER, _MAY, _TASK, _REPLY = P.DEID_PROMPT
+_PROMPT_SQL = f"{_quoted(_HEAD)} || n_name || {_quoted(_NEVER)} || '- ' || lower(n_name) || chr(10) || '- ' || n_regionkey || {_quoted(_MAY)} || n_name || ', ' || n_nationkey || {_quoted(_TASK + _KINDS + _REPLY)}"
+
+
+@query("b21_policy_prompt", f"select n_nationkey, {_PROMPT_SQL} as prompt from nation")
+def b21_prompt(t):
+    may, never = F.array("n_name", F.col("n_nationkey").cast("string")), F.array(F.lower("n_name"), F.col("n_regionkey").cast("string"))
+    return t.nation.select("n_nationkey", training.system_prompt(F.col("n_name"), may, never).alias("prompt"))
+
+
 # --- corrections ---------------------------------------------------------------------------
 
 FIX_KIND = "case when variant % 3 = 0 then 'wrong' when variant = 5 then 'other' else 'missed' end"

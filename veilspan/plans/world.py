@@ -39,7 +39,7 @@ def person(k):
 
 
 def org(k):
-    return f"({_pick('Terra,Halcyon,Northgate,Sable,Quill,Bright,Anvil', k)} || ' ' || {last_name(k)} || ' ' || {_pick('Logistics LLC,Grid Systems Inc.,Labs,Foundation', k)})"
+    return f"({_pick('Umber,Kestrel,Orchard,Pewter,Willow,Cobalt,Juniper', k)} || ' ' || {last_name(k)} || ' ' || {_pick('Freight LLC,Cable Works Inc.,Labs,Foundation', k)})"
 
 
 def amount(k):
@@ -56,8 +56,8 @@ def text_of(value: str) -> str:
 
 def detail(k):
     return (
-        f"('the ' || {_pick('grey,red,blue,green,white', k)} || ' trailer ' || {text_of(k)} || ' left idling at the ' || "
-        f"{_pick('Salt,Mill,Stone,Ferry,Crow', _div(k, 5))} || ' yard for ' || {text_of(f'(({k}) % 17 + 3)')} || ' hours')"
+        f"('the ' || {_pick('grey,red,blue,green,white', k)} || ' ledger ' || {text_of(k)} || ' kept behind the ' || "
+        f"{_pick('Salt,Mill,Stone,Ferry,Crow', _div(k, 5))} || ' counter since ' || {text_of(f'(({k}) % 17 + 3)')} || ' winters ago')"
     )
 
 
