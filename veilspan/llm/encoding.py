@@ -24,7 +24,9 @@ FOLDER_SETTING = "spark.veilspan.tokenizers"
 NOT_PLAIN = re.compile(r"[^\x09-\x0d\x20-\x7e¡-ÿ–—‘-”•…€]")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered per worker, at most; beyond it the memory begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Pieces that go through the library in one call; longer calls take longer a piece.
+WORDS_AT_ONCE = 200
 #: The letters and numbers among the plain characters, for the standard library's faster matcher.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 SIZE_BITS = 24
@@ -111,8 +113,8 @@ class Encoder(PieceMemory):
         blanks = [p for p in pieces if p.isspace()]
         words = [p for p in pieces if not p.isspace()]
         first, step = (0, 1) if self.lower else (2, 2)
-        for k in range(0, len(words), 1000):
-            part = words[k : k + 1000]
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            part = words[k : k + WORDS_AT_ONCE]
             got = self.library.encode(("" if self.lower else "x\n") + "\n".join(part), add_special_tokens=False)
             at = np.array(got.word_ids, np.int64)
             if not len(at) or at[-1] != first + step * (len(part) - 1):
