@@ -148,6 +148,17 @@ def refuse_overlap(rows: DataFrame, row_key: str, holdout: DataFrame, holdout_ke
     return rows
 
 
+def build_training_set(base: DataFrame, key: str, feedback: DataFrame, holdout: DataFrame, holdout_key: str, seed: int = 0, cap: int = P.BASE_ROW_CAP) -> DataFrame:
+    """``messages, copy``: a bounded sample of base rows once, feedback rows several times; refused if any overlaps a held-out text.
+
+    ``base`` and ``feedback`` have ``messages``. Rows are checked once each, before they are copied.
+    """
+    sample = base_sample(base, key, seed, cap).select("messages")
+    once = sample.unionByName(feedback.select("messages"))
+    refuse_overlap(once.select(F.xxhash64(F.to_json("messages")).alias("row"), user_text(F.col("messages")).alias("text")), "row", holdout, holdout_key)
+    return upsample(feedback.select("messages"), sample)
+
+
 def split_by_matter(rows: DataFrame, held_out: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(train, held out) by matter list."""
     listed = held_out.select("matter_id").distinct()
