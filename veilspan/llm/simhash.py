@@ -35,17 +35,24 @@ BLOCKS, PIVOTS, HOT = 6, 16, 20_000
 SMALL = 16
 
 
-def fingerprint(text: bytes, width: int = WORDS) -> int:
-    """As an unsigned number; the zero fingerprint if there is no word."""
+def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
+    """The hashes of the text's word shingles, in their order; none if there is no word."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, width: int = WORDS) -> int:
+    """As an unsigned number; the zero fingerprint if there is no word."""
+    hashes = shingles(text, width).astype("<u8", copy=False)
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -189,11 +196,15 @@ def grouped(docs: DataFrame, width: int = WORDS, bits: int = BITS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = WORDS, bits: int = BITS) -> DataFrame:
     """The document with the least doc_id of each component, with all its columns; of equal rows one stays."""
-    marked = grouped(docs, width, bits)
+    return first_rows(docs, grouped(docs, width, bits), "component_id")
+
+
+def first_rows(docs: DataFrame, marked: DataFrame, group: str) -> DataFrame:
+    """Of the rows of ``docs``, known by doc_id and text_key, one for each value of ``group`` in ``marked``."""
     # rows that share their doc_id are told apart by their text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
-    kept = marked.groupBy("component_id").agg(first).select(*_row_key(F.col("first.doc_id"), F.col("first.text_key"))).distinct()
-    keyed = docs.select("*", *_row_key(F.col("doc_id").cast("long"), text_key()))
+    kept = marked.groupBy(group).agg(first).select(*row_key(F.col("first.doc_id"), F.col("first.text_key"))).distinct()
+    keyed = docs.select("*", *row_key(F.col("doc_id").cast("long"), text_key()))
     return keyed.join(kept, list(ROW_KEY), "left_semi").dropDuplicates(list(ROW_KEY)).select(*docs.columns)
 
 
@@ -201,7 +212,7 @@ def one_of_each(docs: DataFrame, width: int = WORDS, bits: int = BITS) -> DataFr
 ROW_KEY = ("__row_id", "__row_unnamed", "__row_text")
 
 
-def _row_key(doc_id: Column, text: Column) -> list[Column]:
+def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [c.alias(n) for c, n in zip((F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), text), ROW_KEY, strict=True)]
 
 
