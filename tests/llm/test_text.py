@@ -195,3 +195,22 @@ def test_pseudonymised_rows(spark, odd_docs, no_docs):
     assert out.schema == docs.schema and Counter(r["text"] for r in out.collect()) == Counter(r["text"] for r in got)
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["n_chars"] is not None)
     assert pii.findings(no_docs, "k").count() == 0 and pii.pseudonymise(no_docs, "k").count() == 0
+
+
+NEXT_TO_OTHERS = [
+    ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("4111111111111111 123 cvv", "4111111111111111"), ("no 7 4111111111111111", "4111111111111111"), ("7-4111-1111-1111-1111 x", "4111-1111-1111-1111"),
+    ("2 4111 1111 1111 1111 12 27 123", "4111 1111 1111 1111"), ("3782 822463 10005 1234", "3782 822463 10005"), ("AT61 1904 3002 3457 3201 BIC", "AT61 1904 3002 3457 3201"),
+    ("ES91 2100 0418 4502 0005 1332 EUR", "ES91 2100 0418 4502 0005 1332"), ("REF AB12 AT61 1904 3002 3457 3201 WIEN GMBH", "AT61 1904 3002 3457 3201"), ("AT611904300234573201 FIRST", "AT611904300234573201"),
+]
+
+
+@pytest.mark.parametrize(("text", "value"), NEXT_TO_OTHERS)
+def test_cards_and_ibans_next_to_other_numbers_and_words(text, value):
+    p = pii.Pseudonyms("k")
+    alone = pii.found(value, p)[0][3]
+    assert [(text[a:b], new) for k, a, b, new in pii.found(text, p) if k in ("card", "iban")] == [(value, alone)]
+
+
+def test_columns_of_small_numbers_are_no_cards():
+    table = " ".join(str(100 + i * 37 % 900) for i in range(4))
+    assert pii.found(f"{table} 12 2021 55 17", pii.Pseudonyms("k")) == []

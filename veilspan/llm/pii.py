@@ -8,7 +8,8 @@ letter class. Each text is read once, where it lies; nothing is shuffled.
 
 Edge cases: null text stays null and has no findings; empty text stays empty; invalid UTF-8 is kept byte for byte if nothing is
 found in it; repeated rows get equal results; an empty table gives an empty table; of overlapping findings the kind that stands
-first in ``KINDS`` wins, then the leftmost. Numbers that fail their check stay as they are. Other columns are passed through by
+first in ``KINDS`` wins, then the leftmost. A card or IBAN next to other numbers or words is looked for
+among the groups of the run it stands in. Numbers that fail their check stay as they are. Other columns are passed through by
 ``pseudonymise`` and are not read by ``findings``.
 """
 
@@ -21,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 from datetime import date
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -261,9 +263,36 @@ KINDS = [
         r"|(?P<d2>[0-9]{1,2}) (?P<m2>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?,? )(?P<year>[0-9]{4})\b"), long_date),
 ]
 DIGIT_OR_AT = re.compile("[0-9@]")
+#: Kinds that a pattern may read on into the next number or word: runs of groups, what a group must begin with, least and most characters,
+#: and the least of each group but the last (dates, telephone numbers and columns of small numbers are no parts of a card).
+RUNS = {
+    "iban": (re.compile(r"\b[A-Z0-9]+(?: [A-Z0-9]+)+\b"), re.compile("[A-Z]{2}[0-9]{2}"), 15, 34, 1),
+    "card": (re.compile(r"(?<![0-9.-])[0-9]+(?:[ -][0-9]+)+"), re.compile("[0-9]{4}"), 13, 19, 4),
+}
+GROUP, SPAN = re.compile("[A-Z0-9]+"), re.compile("(?s:.*)")
 SECRET_WORDS = ("token", "secret", "passw", "pwd", "key")
 
 
+def parts(kind: str, text: str) -> Iterator[re.Match]:
+    """Spans of a kind that begin and end at groups inside a longer run, by their begin, the longest first."""
+    runs, opening, least, most, least_group = RUNS[kind]
+    for run in runs.finditer(text):
+        groups = [m.span() for m in GROUP.finditer(text, run.start(), run.end())]
+        for i, (begin, _) in enumerate(groups):
+            if not opening.match(text, begin):
+                continue
+            ends, n = [], 0
+            for a, b in groups[i:]:
+                n += b - a
+                if n > most:
+                    break
+                if n >= least:
+                    ends.append(b)
+                if b - a < least_group:
+                    break
+            yield from (SPAN.fullmatch(text, begin, end) for end in reversed(ends))
+
+
 def found(text: str, p: Pseudonyms) -> list[tuple[str, int, int, str]]:
     """(kind, begin, end, pseudonym) of the findings, by place; none overlap."""
     if not DIGIT_OR_AT.search(text) and not any(x in text.lower() for x in SECRET_WORDS):
@@ -271,7 +300,7 @@ def found(text: str, p: Pseudonyms) -> list[tuple[str, int, int, str]]:
     taken: list[tuple[str, int, int, str]] = []
     for kind, needs, pattern, make in KINDS:
         if needs.search(text):
-            for m in pattern.finditer(text):
+            for m in chain(pattern.finditer(text), parts(kind, text) if kind in RUNS else ()):
                 if not any(a < m.end() and m.start() < b for _, a, b, _ in taken) and (new := make(p, m)) is not None:
                     taken.append((kind, m.start(), m.end(), new))
     return sorted(taken, key=lambda x: x[1])
