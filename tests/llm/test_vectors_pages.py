@@ -88,3 +88,24 @@ def test_given_pages_give_their_articles(spark):
 
         blocks = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", b))).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert r["text"] == "\n\n".join(b for b in blocks if b)
+
+
+def recall(spark, rows, **how):
+    got = found(ann.search(spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], VECTORS), **how))
+    want = plain_nearest(rows, 20, 20)
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+
+
+def unit(n, dim, seed=4):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_with_skewed_lengths_and_an_outlier(spark):
+    x = unit(1200, 64)
+    skewed = x * np.random.default_rng(5).lognormal(0, 0.5, (len(x), 1))
+    outlier = x.copy()
+    outlier[7] *= 10
+    for vectors in (skewed, outlier):
+        assert recall(spark, list(enumerate(vectors.astype(np.float32).tolist()))) >= 0.9
