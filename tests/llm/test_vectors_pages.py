@@ -109,3 +109,11 @@ def test_recall_with_skewed_lengths_and_an_outlier(spark):
     outlier[7] *= 10
     for vectors in (skewed, outlier):
         assert recall(spark, list(enumerate(vectors.astype(np.float32).tolist()))) >= 0.9
+
+
+def test_all_candidates_where_they_are_few(spark):
+    # equal lengths, exact in float, so that the tables are probed and a second pass completes them
+    signs = np.random.default_rng(6).choice([-1.0, 1.0], (40, 64))
+    few = [(i, v) for i, v in enumerate(signs[:25].tolist())]
+    rare = [(1000 + i, v) for i, v in enumerate(np.random.default_rng(7).choice([-1.0, 1.0], (15, 32)).tolist())]
+    assert recall(spark, few[:15]) == 1 and recall(spark, few + rare) == 1

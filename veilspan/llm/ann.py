@@ -4,7 +4,7 @@ Each of ``TABLES`` tables turns unit vectors by a fast pseudo-rotation (three ro
 vector into the bucket of the signed axis nearest to it. A query looks into its ``PROBES`` nearest axes of each table, and what it meets there
 is ranked by the exact inner product; the probes grow with the number of axes. Where the vectors of a dimension differ in length the largest
 inner product is not the smallest angle: there one table is searched whole, which is exact and scores as many pairs as the probes
-of all tables do.
+of all tables do. A query that met fewer candidates than it may return gets all buckets of one table in a second pass.
 
 Equal vectors are one row that knows its smallest ids, as many as a result can hold. The sizes of the buckets, of which there is a fixed
 number, are counted first; a large bucket is dealt out as slices, and each slice of queries meets each slice of candidates in a task of
@@ -184,6 +184,14 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = 20, tables: int =
         return met.groupBy("rep").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
 
     merged = cut_lineage(nearest(reps.where("asks"), index, looks), "merged")
+    # queries that met fewer than they may return look into all buckets of the first table
+    wanted = vectors.sparkSession.createDataFrame([(d, min(k + 1, n)) for d, n in many.items()], "dim int, wanted int")
+    short = cut_lineage(
+        reps.where("asks").join(merged.select("rep", F.size("found").alias("got")), "rep", "left").join(F.broadcast(wanted), "dim").where(F.coalesce("got", F.lit(0)) < F.col("wanted")).select(*reps.columns), "short"
+    )
+    if not short.isEmpty():
+        again = cut_lineage(nearest(short, index.where(F.col("bucket") % tables == 0), {d: (1, axes_of(d)) for d in looks}), "merged")
+        merged = merged.join(short.select("rep"), "rep", "left_anti").unionByName(again)
     asks = vectors.where(F.col("vec_id").isNotNull() & (F.col("vec_id") % every == 0)).select(F.col("vec_id").cast("long").alias("query_id"), _packed(F.col("embedding")).alias("packed")).distinct()
     known = reps.where("asks").select("rep", "vector")
     queries = asks.join(known.withColumnRenamed("vector", "packed"), "packed").select("query_id", "rep")
