@@ -52,7 +52,7 @@ def test_stages_return_the_columns_of_documents_and_bear_odd_rows(spark, odd_doc
 
 def test_all_operators_are_registered():
     names = Counter(k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op"))
-    assert names == Counter(f"op{n}" for n in range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert names == Counter(f"op{n}" for n in range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 

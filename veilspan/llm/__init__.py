@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("urls", "token_files", "packing", "quality", "bpe", "ngrams", "simhash", "ann", "pii", "pages")
+MODULES = ("urls", "token_files", "packing", "quality", "bpe", "ngrams", "simhash", "ann", "pii", "pages", "licenses", "runs", "variants")
 
 
 def load():
