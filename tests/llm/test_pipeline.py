@@ -5,24 +5,36 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from veilspan.llm import packing, pii, quality, simhash
+from veilspan.llm import packing, pii, quality
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_pairs(texts):
+    """The least place each row can reach over pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 5 * (n := len(a & b)) >= 4 * (len(a) + len(b) - n)]
+    for i, j in pairs:
+        x, y = sorted((find(i), find(j)))
+        root[y] = x
+    return pairs, [find(i) for i in range(len(texts))]
+
+
 def test_run_matches_its_stages_in_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     good = [r for r in docs.collect() if quality.judge((r["text"] or "").encode(), model)[-1]]
-    fps = [(r, simhash.fingerprint((r["text"] or "").encode())) for r in good]
-    kept = []
-    for r, f in sorted(fps, key=lambda x: x[0]["doc_id"]):
-        kept.append((r, f))
-    groups = []
-    for r, f in kept:
-        near = [g for g in groups if any((f ^ x).bit_count() <= 4 for _, x in g)]
-        groups = [g for g in groups if g not in near] + [[*(y for g in near for y in g), (r, f)]]
-    ones = sorted(min((r["doc_id"] for r, _ in g)) for g in groups)
+    good.sort(key=lambda r: r["doc_id"])
+    _, roots = plain_pairs([r["text"] for r in good])
+    ones = [good[i]["doc_id"] for i in sorted(set(roots))]
     texts = {r["doc_id"]: r["text"] for r in good}
     p = pii.Pseudonyms(pii.key_of(spark))
     from veilspan.llm.encoding import encoder, vocabulary

@@ -13,6 +13,7 @@ import os
 import re
 from functools import lru_cache
 from itertools import repeat
+from sys import getsizeof
 
 import numpy as np
 
@@ -23,13 +24,14 @@ FOLDER_SETTING = "spark.veilspan.tokenizers"
 #: Characters on which this cut and the library's agree by construction: ASCII and Latin-1 letters and signs, common punctuation.
 NOT_PLAIN = re.compile(r"[^\x09-\x0d\x20-\x7e¡-ÿ–—‘-”•…€]")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces remembered per worker, at most; beyond it the memory begins anew.
-REMEMBERED = 1_000_000
+#: Bytes that remembered pieces take in a worker: strings, ids and table entries; beyond it the memory begins anew.
+REMEMBERED_BYTES = 48 << 20
+#: What a piece takes besides its string and ids: an entry of the table, a number, its place and size.
+ENTRY_BYTES = 120
 #: Pieces that go through the library in one call; longer calls take longer a piece.
 WORDS_AT_ONCE = 200
 #: The letters and numbers among the plain characters, for the standard library's faster matcher.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-SIZE_BITS = 24
 
 
 def vocabulary(spark, name: str) -> str:
@@ -56,14 +58,21 @@ class PieceMemory:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, self.width), 0
+        self.flat, self.used, self.held = np.zeros(1 << 16, self.width), 0, 0
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(pieces)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while last > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known.update(zip(pieces, ((self.used + np.cumsum(sizes) - sizes) << SIZE_BITS | sizes).tolist(), strict=True))
+        self.begin[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:last] = sizes
+        self.known.update(zip(pieces, range(first, last), strict=True))
         self.used += len(ids)
+        self.held += sum(map(getsizeof, pieces)) + ids.nbytes + ENTRY_BYTES * len(pieces)
 
     def _learn(self, pieces: list[str]) -> None:
         raise NotImplementedError
@@ -71,14 +80,14 @@ class PieceMemory:
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not pieces:
             return np.zeros(0, self.width), np.zeros(0, np.int64)
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         at = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
         new = np.flatnonzero(at < 0).tolist()
         if new:
             self._learn(list({pieces[i] for i in new}))
             at[new] = [self.known[pieces[i]] for i in new]
-        return gather(self.flat, at >> SIZE_BITS, at & ((1 << SIZE_BITS) - 1))
+        return gather(self.flat, self.begin[at], self.size[at])
 
 
 class Encoder(PieceMemory):

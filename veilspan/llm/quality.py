@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import arrow_stage, query, raw_text, read
+from veilspan.llm.common import arrow_stage, handing_back, query, raw_text, read
 
 BUCKETS = 10_000
 #: Labelled rows that the target multinomial and the threshold are fitted on, at most.
@@ -164,7 +164,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([judge(x or b"", model)[-1] for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(handing_back(rows), docs.schema)
 
 
 @query("op4_quality_ratio")
