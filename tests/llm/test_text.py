@@ -1,6 +1,10 @@
 import math
+import random
+import re
+import time
 import zlib
 from collections import Counter
+from datetime import date
 
 import numpy as np
 import pytest
@@ -214,3 +218,86 @@ def test_cards_and_ibans_next_to_other_numbers_and_words(text, value):
 def test_columns_of_small_numbers_are_no_cards():
     table = " ".join(str(100 + i * 37 % 900) for i in range(4))
     assert pii.found(f"{table} 12 2021 55 17", pii.Pseudonyms("k")) == []
+
+
+def every_day(first=1900, last=2099):
+    return [date.fromordinal(k) for k in range(date(first, 1, 1).toordinal(), date(last, 12, 31).toordinal() + 1)]
+
+
+def pseudonyms_of(texts):
+    """The pseudonym of each text, which must be a finding as a whole; undone, it must be the text again to the letter."""
+    there, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", undo=True)
+    out = {}
+    for text in texts:
+        ((kind, a, b, new),) = pii.found(text, there)
+        assert (kind, a, b) == ("date", 0, len(text)) and len(new) >= 8, text
+        ((_, a, b, old),) = pii.found(new, back)
+        assert (a, b, old) == (0, len(new), text), (text, new, old)
+        out[text] = new
+    return out
+
+
+def test_no_two_slash_dates_share_a_pseudonym():
+    got = pseudonyms_of({t for d in every_day(1990, 2019) for t in (f"{d.month}/{d.day}/{d.year}", *([f"{d.day}/{d.month}/{d.year}"] if d.day > 12 else []))})
+    assert len(set(got.values())) == len(got) > 17_000
+
+
+def test_dates_of_the_whole_range_are_permuted_within_their_class():
+    p = pii.Pseudonyms("k")
+    for kind in (pii.numeric_class, pii.worded_class, pii.monthly_class):
+        new = {d: pii.dated(p, d.year, d.month, d.day, kind) for d in every_day()}
+        assert len(set(new.values())) == len(new) == 73_049 and all(kind(d) == kind(x) for d, x in new.items())
+    assert pii.dated(p, 1899, 12, 31) is None and pii.dated(p, 2001, 2, 29) is None
+
+
+def test_every_layout_of_a_date_keeps_its_format():
+    layouts = [
+        lambda d: d.isoformat(), lambda d: f"{d:%Y/%m/%d}", lambda d: f"{d:%m/%d/%Y}", lambda d: f"{d.month:02d}-{d.day}-{d.year}", lambda d: f"{d.day}.{d.month:02d}.{d.year}",
+        lambda d: f"{d:%B} {d.day}, {d.year}", lambda d: f"{d:%B} {d.day} {d.year}", lambda d: f"{d:%d %B %Y}", lambda d: f"{d:%B}".upper() + f" {d:%d}, {d.year}", lambda d: f"{d:%b}. {d.day}, {d.year}",
+        lambda d: f"{d.day} {d:%b} {d.year}".lower(), lambda d: f"{d:%B}".swapcase() + f" {d.day}, {d.year}",
+    ]
+    days = every_day(2003, 2005)
+    for layout in layouts:
+        got = pseudonyms_of({layout(d) for d in days})
+        assert len(set(got.values())) == len(got)
+        assert all(re.sub("[A-Za-z]+", "", re.sub("[0-9]", "9", a)) == re.sub("[A-Za-z]+", "", re.sub("[0-9]", "9", b)) for a, b in got.items())
+    assert len(set(pseudonyms_of([f"Sept. {d}, 2001" for d in range(1, 31)]).values())) == 30
+    assert all(x.startswith("Sept. ") for x in pseudonyms_of(["Sept. 4, 2001"]).values())
+    one = {layout(date(2004, 11, 23)): new for layout in layouts[:4] for new in [pseudonyms_of([layout(date(2004, 11, 23))]).popitem()[1]]}
+    assert len({tuple(sorted(re.findall("[0-9]+", x))) for x in one.values()}) == 1  # equal dates in figures stay linked
+
+
+def test_findings_match_values_planted_between_words():
+    rng, p = random.Random(8), pii.Pseudonyms("k")
+
+    def card():
+        payload = "".join(rng.choice("123456789") for _ in range(15))
+        return " ".join(re.findall("....", payload + pii.luhn_digit(payload)))
+
+    makers = {
+        "email": lambda: f"{rng.choice('abc')}{rng.randrange(999)}.x@mail{rng.randrange(99)}.example", "card": card, "ipv4": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "ssn": lambda: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", "date": lambda: f"{rng.randrange(1950, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}",
+        "phone": lambda: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}",
+    }
+    for _ in range(200):
+        text, wanted = "", []
+        for _ in range(rng.randrange(30)):
+            text += " ".join(rng.choice(("the", "of", "no", "ändert", "7", "x9")) + rng.choice((",", ";", "")) for _ in range(rng.randrange(1, 6))) + " word "
+            kind = rng.choice(list(makers))
+            value = makers[kind]()
+            wanted.append((kind, len(text), len(text) + len(value)))
+            text += value + " word "
+        assert [x[:3] for x in pii.found(text, p)] == wanted
+        new = pii.rewritten(text, pii.found(text, p))
+        assert pii.rewritten(new, pii.found(new, pii.Pseudonyms("k", undo=True))) == text
+
+
+def test_findings_take_linear_time():
+    p = pii.Pseudonyms("k")
+    took = []
+    for n in (4_000, 16_000):
+        text = " and ".join(f"a{i}@mail.example" for i in range(n))
+        begin = time.perf_counter()
+        assert len(pii.found(text, p)) == n
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 7 * took[0]

@@ -2,8 +2,10 @@
 
 A value that passes its kind's check (Luhn, IBAN remainder, calendar, octet range, number plan) is turned into an integer below
 the size of its format, permuted there by a keyed Feistel network with cycle walking, and written back in the layout it was
-found in. The same value gets the same pseudonym in every document and layout, different values get different ones, and
-the holder of the key can undo it. Kinds that are not numbers (mail addresses, access keys, passwords) are permuted letter class by
+found in. The same value gets the same pseudonym in every document, different values get different ones, and
+the holder of the key can undo it. Dates are permuted among the dates of 1900 to 2099 that are written alike: those in figures, in whatever
+order, among dates with as many digits in month and day and with days on the same side of 12, so that each reads as it was meant; those
+with a month's name among dates with as many digits in the day, May and letters that no other name can have staying. Kinds that are not numbers (mail addresses, access keys, passwords) are permuted letter class by
 letter class. Each text is read once, where it lies; nothing is shuffled.
 
 Edge cases: null text stays null and has no findings; empty text stays empty; invalid UTF-8 is kept byte for byte if nothing is
@@ -20,15 +22,17 @@ import hashlib
 import ipaddress
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from datetime import date
+from functools import cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import arrow_stage, plain, query, read
+from veilspan.llm.common import arrow_stage, handing_back, plain, query, read, slices
 
 KEY_SETTING = "spark.veilspan.pii.key"
 #: Used where the session names no key, as in tests.
@@ -36,6 +40,7 @@ DEFAULT_KEY = "set spark.veilspan.pii.key"
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 MONTHS = [m for m in calendar.month_name if m]
+MAY = 5
 LOWER, UPPER, DIGITS, HEX, HEX_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef", "0123456789ABCDEF"
 
 
@@ -191,14 +196,39 @@ def ipv6(p: Pseudonyms, m: re.Match) -> str | None:
     return ":".join(p.letters(x, "ipv6", hexadecimal=True) if x else x for x in m[0].split(":")) if re.search("[0-9]", m[0]) else None
 
 
-def dated(p: Pseudonyms, year: int, month: int, day: int) -> date | None:
+def numeric_class(at: date) -> tuple:
+    """What a date in figures keeps: the digits of its month and day, and whether the day can be taken for a month."""
+    return at.month > 9, (at.day > 9) + (at.day > 12)
+
+
+def worded_class(at: date) -> tuple:
+    """What a date with a month's name keeps: the digits of its day, and May, whose short name is the whole name."""
+    return at.month == MAY, at.day > 9
+
+
+def monthly_class(at: date) -> tuple:
+    return at.month, at.day > 9
+
+
+@cache
+def dates_by(kind: Callable[[date], tuple]) -> dict[tuple, list[int]]:
+    """All dates of the range by their class, as ascending day numbers."""
+    out: dict[tuple, list[int]] = {}
+    for day in range(FIRST_DAY, LAST_DAY + 1):
+        out.setdefault(kind(date.fromordinal(day)), []).append(day)
+    return out
+
+
+def dated(p: Pseudonyms, year: int, month: int, day: int, kind: Callable[[date], tuple] = numeric_class) -> date | None:
+    """Another date of the same class; None if this is no date of the range."""
     try:
-        at = date(year, month, day).toordinal()
+        at = date(year, month, day)
     except ValueError:
         return None
-    if not FIRST_DAY <= at <= LAST_DAY:
+    if not FIRST_DAY <= at.toordinal() <= LAST_DAY:
         return None
-    return date.fromordinal(FIRST_DAY + p.turn(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+    peers = dates_by(kind)[kind(at)]
+    return date.fromordinal(peers[p.turn(bisect_left(peers, at.toordinal()), len(peers), f"date {kind.__name__} {kind(at)}")])
 
 
 def iso_date(p: Pseudonyms, m: re.Match) -> str | None:
@@ -207,25 +237,31 @@ def iso_date(p: Pseudonyms, m: re.Match) -> str | None:
 
 
 def slash_date(p: Pseudonyms, m: re.Match) -> str | None:
-    """Month first where that is a date, else day first."""
+    """Month first where that is a date, else day first; then the day is over 12, and so is its pseudonym's."""
     a, b, year = int(m[1]), int(m[3]), int(m[4])
-    month_first = dated(p, year, a, b)
-    new = month_first or dated(p, year, b, a)
+    month_first = a <= 12
+    new = dated(p, year, a, b) if month_first else dated(p, year, b, a)
     if not new:
         return None
     x, y = (new.month, new.day) if month_first else (new.day, new.month)
-    wide = 2 if len(m[1]) == 2 and len(m[3]) == 2 else 1
-    return f"{x:0{wide}d}{m[2]}{y:0{wide}d}{m[2]}{new.year:04d}"
+    return f"{x:0{len(m[1])}d}{m[2]}{y:0{len(m[3])}d}{m[2]}{new.year:04d}"
 
 
 def long_date(p: Pseudonyms, m: re.Match) -> str | None:
-    name, day = (m["m1"], m["d1"]) if m["m1"] else (m["m2"], m["d2"])
-    short = len(name.rstrip(".")) == 3 and name.lower() != "may"
-    new = dated(p, int(m["year"]), next(i for i, x in enumerate(MONTHS, 1) if x.lower().startswith(name[:3].lower())), int(day))
+    """Name, day and year change where they stand. A name that others can't stand for letter by letter ("Sept", "mArch", "May") stays."""
+    k = "1" if m["m1"] else "2"
+    name, digits = m[f"m{k}"], m[f"d{k}"]
+    month = next(i for i, x in enumerate(MONTHS, 1) if x.lower().startswith(name[:3].lower()))
+    full, case = name.lower() == MONTHS[month - 1].lower(), next((f for f in (str.title, str.upper, str.lower) if f(name) == name), None)
+    stays = month == MAY or case is None or not (full or len(name) == 3)
+    new = dated(p, int(m["year"]), month, int(digits), monthly_class if stays else worded_class)
     if not new:
         return None
-    month = MONTHS[new.month - 1][: 3 if short else None]
-    return f"{month} {new.day}, {new.year}" if m["m1"] else f"{new.day} {month} {new.year}"
+    other = name if stays else case(MONTHS[new.month - 1][: None if full else 3])
+    out = m[0]
+    for part, text in sorted(((f"m{k}", other), (f"d{k}", f"{new.day:0{len(digits)}d}"), ("year", f"{new.year:04d}")), key=lambda x: -m.start(x[0])):
+        out = out[: m.start(part) - m.start()] + text + out[m.end(part) - m.start() :]
+    return out
 
 
 def email(p: Pseudonyms, m: re.Match) -> str:
@@ -258,9 +294,9 @@ KINDS = [
     ("ipv6", re.compile(":[0-9a-fA-F:]*:"), re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), ipv6),
     ("date", re.compile("[0-9][-/.][0-9]"), re.compile(r"(?<![0-9/.-])([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})(?![0-9]|[-/.][0-9])"), iso_date),
     ("date", re.compile("[0-9][-/.][0-9]"), re.compile(r"(?<![0-9/.-])([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})(?![0-9]|[-/.][0-9])"), slash_date),
-    ("date", re.compile("(?i)[a-z] [0-9]|[0-9] [a-z]"), re.compile(
-        r"\b(?i:(?P<m1>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.? (?P<d1>[0-9]{1,2}),? "
-        r"|(?P<d2>[0-9]{1,2}) (?P<m2>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?,? )(?P<year>[0-9]{4})\b"), long_date),
+    ("date", re.compile(r"(?i)[a-z]\.? [0-9]|[0-9] [a-z]"), re.compile(
+        r"\b(?i:(?P<m1>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.? (?P<d1>[0-9]{1,2}),? "
+        r"|(?P<d2>[0-9]{1,2}) (?P<m2>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?,? )(?P<year>[0-9]{4})\b"), long_date),
 ]
 DIGIT_OR_AT = re.compile("[0-9@]")
 #: Kinds that a pattern may read on into the next number or word: runs of groups, what a group must begin with, least and most characters,
@@ -298,11 +334,15 @@ def found(text: str, p: Pseudonyms) -> list[tuple[str, int, int, str]]:
     if not DIGIT_OR_AT.search(text) and not any(x in text.lower() for x in SECRET_WORDS):
         return []
     taken: list[tuple[str, int, int, str]] = []
+    begins, ends = [], []  # of the taken spans, by place
     for kind, needs, pattern, make in KINDS:
         if needs.search(text):
             for m in chain(pattern.finditer(text), parts(kind, text) if kind in RUNS else ()):
-                if not any(a < m.end() and m.start() < b for _, a, b, _ in taken) and (new := make(p, m)) is not None:
+                at = bisect_left(begins, m.end())
+                if (not at or ends[at - 1] <= m.start()) and (new := make(p, m)) is not None:
                     taken.append((kind, m.start(), m.end(), new))
+                    begins.insert(at, m.start())
+                    ends.insert(at, m.end())
     return sorted(taken, key=lambda x: x[1])
 
 
@@ -323,7 +363,7 @@ def findings(docs: DataFrame, key: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]):
         p = Pseudonyms(key)
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             texts, spans = [], []
             for raw in batch.column(1).to_pylist():
                 text = None if raw is None else plain(raw)
@@ -345,7 +385,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pseudonyms(key)
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, at)):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             new = {}
             for i, raw in enumerate(texts):
@@ -359,7 +399,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(handing_back(rows), docs.schema)
 
 
 @query("op9_pseudonyms")
