@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from veilspan.operators import carryover, containment, detect, dictionary, facts, fingerprint
+from veilspan.operators import carryover, containment, detect, dictionary, facts, fingerprint, winnow
 
 FACTS = [
     ("a", 0, "names", 0, "Lena Voss"), ("a", 0, "orgs", 0, "Voss Mills LLC"), ("a", 0, "amounts", 0, "$90,000"),
@@ -109,3 +110,43 @@ def test_ensemble_skips_failing_detector(spark):
     skipped = []
     rows = detect.ensemble(texts, "id", ["broken", "rules", "unknown"], skipped=skipped).collect()
     assert [(r["start"], r["end"], r["kind"]) for r in rows] == [(5, 12, "email")] and skipped == ["broken", "unknown"]
+
+
+def test_containing_pairs_at_every_offset(spark):
+    rng = random.Random(11)
+    body = "".join(rng.choice("abc é-\n") for _ in range(260))
+    texts = [(0, body), (1, body[:150] + "#" + body[151:]), (2, "x" * 500), (3, None), (4, ""), (5, body[100:] * 2), (6, body)]
+    needles = [(i, body[i:i + n]) for n in (31, 40, 57) for i in range(0, 200)] + [(900, "x" * 41), (901, "x" * 501), (902, None), (903, ""), (904, body * 3)]
+    needles = [(k + 1000 * (n is not None and len(n)), n) for k, n in needles]
+    t, n = spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame(needles, "i int, value string")
+    got = [tuple(r) for r in containment.containing_pairs(t, "k", n, "i", "value").collect()]
+    assert sorted(got) == sorted((k, i) for k, text in texts for i, v in needles if v and text and v in text)
+    assert containment.containing_pairs(t, "k", n.where("false"), "i", "value").count() == 0
+
+
+def test_fingerprints_of_a_part_are_fingerprints_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    for block in (winnow.BLOCK, 50):
+        monkeypatch.setattr(winnow, "BLOCK", block)
+        strings = [rng.integers(0, 3, n, np.uint8) for n in (0, 39, 40, 41, 300, 0, 90)]
+        bounds = np.cumsum([0, *map(len, strings)])
+        found = [set() for _ in strings]
+        for of, numbers in winnow.fingerprints_of(np.concatenate(strings), bounds, 40):
+            for k, h in zip(of.tolist(), numbers.tolist(), strict=True):
+                found[k].add(h)
+        assert [bool(x) for x in found] == [len(s) >= 40 for s in strings]
+        for whole, mine in zip(strings, found, strict=True):
+            for i in range(len(whole) - 39):
+                part = next(winnow.fingerprints_of(whole[i:i + 40], np.array([0, 40]), 40))[1].tolist()
+                assert len(part) == 1 and part[0] in mine
+        assert len(found[4]) < 300 / 6
+
+
+def test_contaminated_matches_brute_force(spark):
+    rng = random.Random(13)
+    held = [(i, " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(rng.randint(3, 30)))) for i in range(25)]
+    rows = [(i, " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    rows += [(100 + i, f"  so {v} it ends") for i, v in held[:8]] + [(200, " \n"), (201, None), (202, held[3][1][4:-3] + " ")]
+    got = sorted(r[0] for r in containment.contaminated(spark.createDataFrame(rows, "k int, text string"), "k", spark.createDataFrame(held, "i int, text string"), "i", 40).collect())
+    long = [v.strip() for _, v in held if len(v.strip()) >= 40]
+    assert got == sorted(k for k, text in rows if text is not None and any(v in text or text.strip() in v for v in long))

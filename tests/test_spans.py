@@ -1,10 +1,14 @@
-from pyspark.sql import functions as F
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from veilspan.functions import amounts as A
+from veilspan.functions import patterns as P
 from veilspan.functions import spans as S
 from veilspan.functions import stats
-from veilspan.operators import detect
+from veilspan.operators import detect, redact
 
 
 def found(spark, text, expr):
@@ -91,3 +95,91 @@ def test_wilson_and_newcombe(spark):
     assert got[1]["lo"] == 0.0 and got[2]["hi"] == 1.0 and got[3] is None and got[4] is None
     c = spark.createDataFrame([(100, 100, 38, 100)], "a int, b int, c int, d int").select(stats.newcombe(*[F.col(x) for x in "abcd"]).alias("r")).first()["r"]
     assert c["diff"] == pytest.approx(0.62) and c["lo"] < 0.62 < c["hi"] and c["overlap"] is False
+
+
+def plain_merge(spans):
+    last, out = -1, []
+    for _, (s, e, k, t) in sorted(enumerate(spans), key=lambda x: (x[1][0], x[1][0] - x[1][1], x[1][2] == "quasi_identifier", x[0])):
+        if s >= last:
+            out.append((s, e, k, t))
+            last = e
+    return out
+
+
+def plain_priority(spans):
+    taken = []
+    for _, (s, e, k, _) in sorted(enumerate(spans), key=lambda x: (P.KIND_PRIORITY.index(x[1][2]) + 1 if x[1][2] in P.KIND_PRIORITY else 0, x[1][0] - x[1][1], x[0])):
+        if all(e <= a or s >= b for a, b, _ in taken):
+            taken.append((s, e, k))
+    return sorted(taken)
+
+
+def plain_union(spans):
+    out = []
+    for s, e, listed, k in sorted((s, e, i, k) for i, (s, e, k, _) in enumerate(spans)):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e), out[-1][2])
+        else:
+            out.append((s, e, k))
+    return out
+
+
+SPANS = "spans array<struct<start:int,end:int,kind:string,entity:string>>"
+KINDS = ["email", "date", "name", "org", "phone"]
+
+
+def many_spans(rng, n, reach, width):
+    return [(s, s + rng.randint(1, width), rng.choice(KINDS), f"e{rng.randrange(max(1, n // 2))}") for s in (rng.randrange(reach) for _ in range(n))]
+
+
+def test_choices_match_plain_loops_for_few_and_many_spans(spark):
+    rng = random.Random(2)
+    rows = [(many_spans(rng, n, reach, width),) for n, reach, width in ((0, 1, 1), (1, 9, 3), (2, 3, 3), (8, 30, 9), (33, 60, 9), (34, 900, 9), (90, 50, 30), (200, 2000, 8), (200, 100, 90), (65, 65, 1))]
+    df = spark.createDataFrame(rows, SPANS)
+    listed = F.transform("spans", lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), i.alias("listed"), c["kind"].alias("kind")))
+    got = df.select("spans", S.merge_leftmost_longest(F.col("spans")), S.resolve_by_priority(F.col("spans")), S.merge_overlapping(listed), S.cover(F.col("spans"))).collect()
+    for spans, merged, chosen, union, covered in got:
+        spans = [tuple(x) for x in spans]
+        assert [tuple(x) for x in merged] == plain_merge(spans)
+        assert [tuple(x) for x in chosen] == plain_priority(spans)
+        assert [tuple(x) for x in union] == plain_union(spans)
+        places = {i for s, e, _, _ in spans for i in range(s, e)}
+        assert {i for s, e in covered for i in range(s, e)} == places and all(a[1] < b[0] for a, b in zip(covered, covered[1:]))
+
+
+def test_placeholders_by_sorting_equal_those_by_search(spark):
+    rng = random.Random(3)
+    rows = [([(3 * i, 3 * i + 2, rng.choice(KINDS[: rng.randint(1, 5)]), f"e{rng.randrange(entities)}") for i in range(n)],) for n, entities in ((0, 1), (1, 1), (5, 2), (31, 9), (40, 5), (120, 70))]
+    base = lambda s: S.placeholder_base(s["kind"])
+    got = spark.createDataFrame(rows, SPANS).select(S._placed_by_search(F.col("spans"), base).alias("a"), S._placed_by_sorting(F.col("spans"), base).alias("b"), S.assign_placeholders(F.col("spans")).alias("c")).collect()
+    for r in got:
+        assert r["a"] == r["b"] == r["c"]
+
+
+def test_replacement_in_long_texts(spark):
+    rng = random.Random(4)
+    for size in (10, 4096, 4097, 9000):
+        text = "".join(rng.choice("ab é🙂\n") for _ in range(size))
+        cuts = sorted(rng.sample(range(size + 1), min(size, 60) // 2 * 2))
+        spans = list(zip(cuts[::2], cuts[1::2]))
+        df = spark.createDataFrame([(text, [(a, b, f"[{a}]") for a, b in spans])], "text string, spans array<struct<start:int,end:int,replacement:string>>")
+        row = df.select(S.replace_spans(F.col("text"), F.col("spans")).alias("out"), redact.with_entity(F.col("text"), F.transform("spans", lambda s: S.span(s["start"], s["end"], "x"))).alias("e")).first()
+        want, at = "", 0
+        for a, b in spans:
+            want, at = want + text[at:a] + f"[{a}]", b
+        assert row["out"] == want + text[at:] and [x["entity"] for x in row["e"]] == [text[a:b] for a, b in spans]
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    took = []
+    for n in (10_000, 20_000):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+            (i * 7).cast("int").alias("start"), (i * 7 + 4 + i % 6).cast("int").alias("end"), F.lit("name").alias("kind"), F.concat(F.lit("e"), (i % 5000).cast("string")).alias("entity"),
+        )).alias("spans"), F.repeat(F.lit("some te"), n + 2).alias("text"))
+        df = df.withColumn("chosen", S.merge_leftmost_longest(F.col("spans"))).withColumn("placed", S.assign_placeholders(F.col("chosen")))
+        df = df.select(F.size(S.resolve_by_priority(F.col("spans"))), F.length(S.replace_spans(F.col("text"), F.col("placed"))))
+        df.collect()
+        began = time.perf_counter()
+        df.collect()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3.5 * took[0], took

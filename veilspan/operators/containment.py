@@ -1,79 +1,58 @@
-"""Whole texts inside other texts (hold-out contamination), by equi-joins on word windows.
+"""Whole texts inside other texts (hold-out contamination), by winnowed fingerprints.
 
-A literal of three or more pieces holds its inner pieces unchanged inside any
-text that contains it, so a run of inner pieces is a safe key. Of all its runs
-the one that is rarest among the texts is used: a phrase that every text shares
-(a template, a footer) never becomes a key unless the literal holds nothing else.
+A text that contains a literal of at least ``LEAST`` bytes holds all fingerprints of the literal (``winnow``). Of these the one that
+is rarest among the texts is the literal's anchor: a phrase that every text shares (a template, a footer) never becomes a key
+unless the literal holds nothing else. Texts and literals meet on anchors, and every pair is verified. Shorter literals are looked for in a
+dictionary (``dictionary``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.spans import unnest
-from veilspan.operators.dictionary import BROADCAST_ROWS, literal_matches, within_bound
+from veilspan.operators.dictionary import literal_matches, within_bound
+from veilspan.operators.winnow import fingerprints
 from veilspan.session import cut_lineage
 
-RUN = 8
-
-
-def _runs(pieces: Column, first: int, trim: int, m: int) -> Column:
-    """Hashes of every run of ``m`` pieces, leaving ``first - 1`` pieces out in front and ``trim`` behind."""
-    stop = F.size(pieces) - (m - 1) - trim
-    return F.when(
-        stop >= first,
-        F.transform(
-            F.sequence(F.lit(first), stop),
-            lambda i: F.xxhash64(F.lit(m), F.array_join(F.slice(pieces, i, F.lit(m)), " ")),
-        ),
-    ).otherwise(F.from_json(F.lit("[]"), "array<bigint>"))
+#: Bytes that a literal must have to be found by fingerprints, and the longest window: the shortest such literal sets the window.
+LEAST, MOST = 40, 400
 
 
 def containing_pairs(texts: DataFrame, text_key: str, literals: DataFrame, literal_key: str, value: str, text: str = "text") -> DataFrame:
     """``text_key, literal_key`` wherever the (case-sensitive) literal occurs in the text."""
     # equal literals are one; they are told apart by a digest, so no whole text is a shuffle key
-    digest = F.sha2(F.col(value), 256)
-    unique = literals.where(F.col(value) != "").groupBy(digest.alias("digest")).agg(F.min(literal_key).alias("nid"), F.any_value(value).alias("needle"))
-    sized = unique.withColumn("pieces", F.split("needle", " ", -1)).withColumn("m", F.least(F.size("pieces") - 2, F.lit(RUN)))
-    lengths = sorted(r["m"] for r in sized.where("m > 0").select("m").distinct().collect())  # at most RUN rows
-    found = literal_matches(texts.select(text_key, F.col(text).alias("text")), text_key, sized.where("m <= 0").select("nid", "needle"), "needle", False)
+    told = literals.where(F.col(value) != "").select(F.col(literal_key), F.col(value).alias("needle"), F.sha2(F.col(value), 256).alias("digest"))
+    unique = cut_lineage(told.groupBy("digest").agg(F.min(literal_key).alias("nid"), F.any_value("needle").alias("needle")), "literals")
+    size = F.octet_length("needle")
+    short, long = unique.where(size < LEAST).select("nid", "needle"), unique.where(size >= LEAST).select("nid", "needle")
+    found = literal_matches(texts.select(text_key, F.col(text).alias("text")), text_key, short, "needle", False)
     pairs = found.select(text_key, "nid").distinct()
-    if lengths:
-        long = sized.where("m > 0")
-        inner = unnest(long, F.array_distinct(_by_length(lengths)), "h", "nid")
-        offered = F.concat(*[_runs(F.col("pieces"), 1, 0, m) for m in lengths])
-        cut = texts.select(text_key, F.split(text, " ", -1).alias("pieces"))
-        windows = unnest(cut, F.array_distinct(offered), "h", text_key)
-        asked = inner.select("h").distinct()
-        n_asked = asked.count()
-        if n_asked <= BROADCAST_ROWS:  # windows that no literal has go where they are read, and counts combine before the shuffle
-            seen = windows.join(F.broadcast(asked), "h", "left_semi").groupBy("h").agg(F.count("*").alias("texts"))
-        else:  # counted first, so that a run all texts share is one row before it meets the literals
-            seen = windows.groupBy("h").agg(F.count("*").alias("texts")).join(asked, "h", "left_semi")
-        # a literal with a run that no text holds cannot occur anywhere
-        anchors = (
-            inner.join(seen, "h", "left")
-            .groupBy("nid")
-            .agg(F.min(F.coalesce("texts", F.lit(0))).alias("rarest"), F.min_by("h", F.struct(F.coalesce("texts", F.lit(0)), "h")).alias("h"))
-            .where("rarest > 0")
-        )
-        candidates = cut_lineage(windows.join(within_bound(anchors.select("h", "nid"), n_asked, 0), "h").select(text_key, "nid").distinct(), "candidates")
-        told = candidates.join(long.select("nid", "needle"), "nid")
-        size = told.agg(F.count("*"), F.sum(F.octet_length("needle"))).first()
-        # few candidates go to the texts; many meet them by key
-        verified = texts.select(text_key, F.col(text).alias("_text")).join(within_bound(told, size[0], size[1] or 0), text_key).where(F.col("_text").contains(F.col("needle")))
-        pairs = pairs.unionByName(verified.select(text_key, "nid"))
+    shortest = long.agg(F.min(size)).first()[0]
+    if shortest is not None:
+        pairs = pairs.unionByName(_by_fingerprints(texts.select(text_key, F.col(text).alias("text")), text_key, long, min(shortest, MOST)))
     # every literal with the same value shares the match
-    same = literals.select(literal_key, digest.alias("digest")).join(unique.select("digest", "nid"), "digest").select(literal_key, "nid")
+    same = told.select(literal_key, "digest").join(unique.select("digest", "nid"), "digest").select(literal_key, "nid")
     return pairs.join(same, "nid").select(text_key, literal_key)
 
 
-def _by_length(lengths: list[int]) -> Column:
-    chosen = F.when(F.lit(False), F.from_json(F.lit("[]"), "array<bigint>"))
-    for m in lengths:
-        chosen = chosen.when(F.col("m") == m, _runs(F.col("pieces"), 2, 1, m))
-    return chosen
+def _by_fingerprints(texts: DataFrame, text_key: str, literals: DataFrame, size: int) -> DataFrame:
+    """``text_key, nid`` of literals (``nid, needle``) of at least ``size`` bytes; both tables are read in windows of that size."""
+    own = cut_lineage(fingerprints(literals, "nid", "needle", size).distinct(), "literal-fingerprints")
+    asked = own.select("h").distinct()
+    # fingerprints that no literal has go where the texts are read, if the literals' are few enough to be sent there
+    met = cut_lineage(fingerprints(texts, text_key, "text", size).join(within_bound(asked, own.count(), 0), "h", "left_semi"), "met")
+    seen = met.groupBy("h").agg(F.count("*").alias("texts"))
+    # a literal with a fingerprint that no text holds cannot occur anywhere
+    rarest = own.join(seen, "h", "left").groupBy("nid").agg(
+        F.min(F.coalesce("texts", F.lit(0))).alias("rarest"), F.min_by("h", F.struct(F.coalesce("texts", F.lit(0)), "h")).alias("h")
+    )
+    anchors = rarest.where("rarest > 0").select("h", "nid")
+    candidates = cut_lineage(met.join(anchors, "h").select(text_key, "nid").distinct().join(literals, "nid"), "candidates")
+    counted = candidates.agg(F.count("*"), F.sum(F.octet_length("needle"))).first()
+    # few candidates go to the texts; many meet them by key
+    both = texts.select(text_key, F.col("text").alias("_text")).join(within_bound(candidates, counted[0], counted[1] or 0), text_key)
+    return both.where(F.col("_text").contains(F.col("needle"))).select(text_key, "nid").distinct()
 
 
 def contaminated(rows: DataFrame, row_key: str, holdout: DataFrame, holdout_key: str, min_chars: int) -> DataFrame:
