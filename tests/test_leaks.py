@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from veilspan.operators import carryover, containment, detect, dictionary, facts, fingerprint, winnow
+from veilspan.operators import carryover, containment, detect, dictionary, facts, fingerprint, sieve, winnow
 
 FACTS = [
     ("a", 0, "names", 0, "Lena Voss"), ("a", 0, "orgs", 0, "Voss Mills LLC"), ("a", 0, "amounts", 0, "$90,000"),
@@ -150,3 +150,37 @@ def test_contaminated_matches_brute_force(spark):
     got = sorted(r[0] for r in containment.contaminated(spark.createDataFrame(rows, "k int, text string"), "k", spark.createDataFrame(held, "i int, text string"), "i", 40).collect())
     long = [v.strip() for _, v in held if len(v.strip()) >= 40]
     assert got == sorted(k for k, text in rows if text is not None and any(v in text or text.strip() in v for v in long))
+
+
+def test_sieve_keeps_every_key_and_few_others(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    passes = sieve.sieve(keys, "key", 5000)
+    assert keys.where(passes(F.col("key"))).count() == 5000
+    assert spark.range(5000, 45_000).where(passes(F.xxhash64("id"))).count() < 40_000 / 40
+    assert spark.range(100).where(sieve.sieve(keys.where("false"), "key", 0)(F.xxhash64("id"))).count() == 0
+    assert sieve.words_for(0) == sieve.LEAST_WORDS and sieve.words_for(10**12) == sieve.MOST_WORDS
+
+
+def test_a_long_literal_does_not_widen_the_rows_before_the_join(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(80))) for i in range(300)]
+    needles = [" ".join(rng.choice(texts)[1].split()[3:6]) for _ in range(30)]
+    long = " ".join(rng.choice(words) for _ in range(500))
+    t, sizes = spark.createDataFrame([*texts, (999, f"so {long} on")], "k int, text string"), []
+    for literals in (needles, [*needles, long]):
+        keyed = dictionary._keyed_literals(spark.createDataFrame([(x,) for x in literals], "value string"), "value", False)
+        shapes = keyed.groupBy("a", "b").agg(F.max("n_pieces").alias("reach"), F.count("*").alias("rows")).collect()
+        offered = dictionary.offered_keys(t.where("k < 999"), ["k"], "text", False, shapes, sieve.sieve(keyed, "key", len(literals)))
+        sizes.append(offered.count())
+    assert sizes[1] <= 1.05 * sizes[0] < 300 * 80 / 20
+    got = {(r["k"], r["value"]) for r in dictionary.literal_matches(t, "k", spark.createDataFrame([(x,) for x in {*needles, long}], "value string"), "value", False).collect()}
+    assert got == {(k, v) for k, text in [*texts, (999, f"so {long} on")] for v in {*needles, long} if v in text}
+
+
+def test_left_out_phrases_shuffle_no_position_that_misses(spark):
+    docs = spark.createDataFrame([(i, f"m{i % 3}", " ".join(f"w{i}x{k}" for k in range(50)) + " the very same tail of six words and more" * (i < 2)) for i in range(30)], "doc_id int, matter_id string, text string")
+    phrases = carryover.left_out_phrases(docs)
+    assert {(r["draft_id"], r["owner"], r["grams"]) for r in phrases.collect()} == {(0, "m1", 4), (1, "m0", 4)}
+    plan = phrases._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("getbit") >= 2 and "Filter" in plan

@@ -15,6 +15,8 @@ from veilspan.functions import patterns as P
 from veilspan.functions.spans import unnest
 from veilspan.functions.text import gram_key, word_ngrams, words
 from veilspan.operators.dictionary import within_bound
+from veilspan.operators.sieve import sieve
+from veilspan.session import cut_lineage
 
 KEY = ["h1", "h2"]
 
@@ -121,11 +123,19 @@ def left_out_grams(corpus: DataFrame, n: int = P.CARRY_N, token: str = P.CARRY_T
 
 
 def left_out_phrases(corpus: DataFrame, n: int = P.CARRY_N, token: str = P.CARRY_TOKEN) -> DataFrame:
-    """Merged phrases of ``left_out_grams``; positions are read again only for grams that hit."""
-    hits = left_out_grams(corpus, n, token).select("draft_id", "owner", *KEY)
-    drafts = corpus.withColumnRenamed("doc_id", "draft_id")
-    rows = gram_rows(drafts, ["draft_id", "matter_id"], n, token, positions=True)
-    return merge_grams(rows.join(hits, ["draft_id", *KEY]).select("draft_id", "matter_id", "i", "owner"), n)
+    """Merged phrases of ``left_out_grams``.
+
+    Positions are read again, but only those of a document's grams that hit leave the place where they are read: the
+    hits are written once, counted, and sifted there by a Bloom filter of (document, gram).
+    """
+    found = left_out_grams(corpus, n, token).select("draft_id", "owner", *KEY)
+    hits = cut_lineage(found.withColumn("at", F.xxhash64("draft_id", *KEY)), "left-out-grams")
+    passes = sieve(hits.select("at"), "at", hits.count())
+    tokens = corpus.select(F.col("doc_id").alias("draft_id"), "matter_id", words(F.col("text"), token).alias("tokens"))
+    placed = F.transform(F.transform(word_ngrams(F.col("tokens"), n), gram_key), lambda g, i: F.struct(i.alias("i"), g["h1"].alias("h1"), g["h2"].alias("h2")))
+    sifted = F.filter(placed, lambda g: passes(F.xxhash64("draft_id", g["h1"], g["h2"])))
+    rows = unnest(tokens, sifted, "g", "draft_id", "matter_id").select("draft_id", "matter_id", "g.*")
+    return merge_grams(rows.join(hits.drop("at"), ["draft_id", *KEY]).select("draft_id", "matter_id", "i", "owner"), n)
 
 
 def ngram_overlap(evals: DataFrame, eval_key: str, training: DataFrame, n: int = P.OVERLAP_N) -> DataFrame:

@@ -11,8 +11,11 @@ and meet on a short key:
   every position of a piece.
 
 Key lengths follow the literals (short pieces give short keys), so no literal is
-missed. Each text row carries only a few pieces of context, enough to verify the
-whole literal, so texts are never shuffled and never joined back.
+missed. Two phases where the texts are read: a Bloom filter of the literals' keys
+(``sieve``) is tested for every key a text offers, and only what passes becomes a
+row with the context that verifies the whole literal. So a long literal widens the
+few rows that its key may meet and no others; texts are never shuffled and never
+joined back.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import spans as S
 from veilspan.functions.spans import unnest
+from veilspan.operators.sieve import sieve
+from veilspan.session import cut_lineage
 
 KEY_CHARS = 4
 GRAM_CHARS = 6
@@ -78,7 +83,7 @@ def literal_matches(
     ``scope`` columns, held by both sides, must be equal as well.
     """
     scope = scope or []
-    keyed = _keyed_literals(literals, value, ignore_case)
+    keyed = cut_lineage(_keyed_literals(literals, value, ignore_case), "keyed-literals")  # counted here, joined below
     # at most (KEY_CHARS + 1)^2 + GRAM_CHARS rows, whatever the dictionary size
     shapes = keyed.groupBy("a", "b").agg(
         F.max("n_pieces").alias("reach"), F.count("*").alias("rows"), F.sum(F.octet_length(value)).alias("bytes")
@@ -89,42 +94,7 @@ def literal_matches(
         empty = texts.select(text_key).where(F.lit(False))
         columns = [F.lit(None).cast(literals.schema[c].dataType).alias(c) for c in kept]
         return empty.select(text_key, *columns, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("found"))
-    reach = max(r["reach"] for r in shapes)
-    pairs = sorted((r["a"], r["b"]) for r in shapes if r["b"] >= 0)
-    singles = sorted(r["a"] for r in shapes if r["b"] < 0)
-
-    cut = texts.select(*mine, F.split(text, " ", -1).alias("pieces"))
-    starts = S.bind(S.running(F.transform("pieces", lambda p: F.length(p) + 1)), lambda ends: F.zip_with(
-        "pieces", ends, lambda p, end: end - F.length(p) - 1
-    ))
-    placed = cut.select(*mine, "pieces", starts.alias("starts"))
-    windows = F.transform("starts", lambda at, i: F.struct(
-        at.alias("at"),
-        F.element_at("pieces", i + 1).alias("piece"),
-        F.try_element_at("pieces", i + 2).alias("next_piece"),
-        F.array_join(F.slice("pieces", i + 1, F.lit(reach)), " ").alias("context"),
-    ))
-    rows = unnest(placed, windows, "r", *mine).select(*mine, "r.*")
-    piece, after = _folded(F.col("piece"), ignore_case), _folded(F.col("next_piece"), ignore_case)
-    none = F.from_json(F.lit("[]"), "array<struct<key:bigint,skip:int>>")
-
-    def offer(key: Column, skip: Column) -> Column:
-        return F.struct(key.alias("key"), skip.cast("int").alias("skip"))
-
-    offers = []
-    for a, b in pairs:
-        fits = after.isNotNull() & (F.length(piece) >= a) & (F.length(after) >= b)
-        key = F.xxhash64(F.lit(a), F.lit(b), F.concat_ws(" ", F.right(piece, F.lit(a)), F.left(after, F.lit(b))))
-        offers.append(F.when(fits, F.array(offer(key, F.lit(-1)))).otherwise(none))
-    for a in singles:
-        grams = F.transform(
-            F.sequence(F.lit(1), F.length(piece) - (a - 1)),
-            lambda i: offer(F.xxhash64(F.lit(a), F.lit(-1), piece.substr(i, F.lit(a))), i - 1),
-        )
-        offers.append(F.when(F.length(piece) >= a, grams).otherwise(none))
-    offered = unnest(rows, F.concat(*offers), "o", *mine, "at", "piece", "context").select(
-        *mine, "at", "piece", "context", "o.key", "o.skip"
-    )
+    offered = offered_keys(texts, mine, text, ignore_case, shapes, sieve(keyed, "key", sum(r["rows"] for r in shapes)))
     met = offered.join(within_bound(keyed, sum(r["rows"] for r in shapes), sum(r["bytes"] for r in shapes)), ["key", *scope])
     skip = F.when(F.col("skip") >= 0, F.col("skip")).otherwise(F.length("piece") - F.length("p1"))
     found = F.col("context").substr(skip + 1, F.length(value))
@@ -137,6 +107,48 @@ def literal_matches(
     )
 
 
+def offered_keys(texts: DataFrame, mine: list[str], text: str, ignore_case: bool, shapes: list, passes) -> DataFrame:
+    """``mine, at, piece, context, key, skip`` for the keys that texts offer and that ``passes`` lets through."""
+    reach = max(r["reach"] for r in shapes)
+    pairs = sorted((r["a"], r["b"]) for r in shapes if r["b"] >= 0)
+    singles = sorted(r["a"] for r in shapes if r["b"] < 0)
+    ddl = "struct<i:int,key:bigint,skip:int>"
+    none = F.from_json(F.lit("[]"), f"array<{ddl}>")
+
+    def offer(i: Column, key: Column, skip: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), key.alias("key"), skip.cast("int").alias("skip"))
+
+    def keys_at(piece: Column, after: Column, i: Column) -> Column:
+        found = []
+        for a, b in pairs:
+            fits = after.isNotNull() & (F.length(piece) >= a) & (F.length(after) >= b)
+            key = F.xxhash64(F.lit(a), F.lit(b), F.concat_ws(" ", F.right(piece, F.lit(a)), F.left(after, F.lit(b))))
+            found.append(F.when(fits, F.array(offer(i, key, F.lit(-1)))).otherwise(none))
+        for a in singles:
+            grams = F.transform(
+                F.sequence(F.lit(1), F.length(piece) - (a - 1)),
+                lambda j: offer(i, F.xxhash64(F.lit(a), F.lit(-1), piece.substr(j, F.lit(a))), j - 1),
+            )
+            found.append(F.when(F.length(piece) >= a, grams).otherwise(none))
+        return F.filter(F.concat(*found), lambda o: passes(o["key"]))
+
+    def told(held: Column, folded: Column, starts: Column) -> Column:
+        met = F.flatten(F.transform(folded, lambda p, i: keys_at(p, F.get(folded, i + 1), i)))
+        return F.transform(met, lambda o: F.struct(
+            F.get(starts, o["i"]).alias("at"), F.get(held, o["i"]).alias("piece"), F.array_join(F.slice(held, o["i"] + 1, F.lit(reach)), " ").alias("context"),
+            o["key"].alias("key"), o["skip"].alias("skip"),
+        ))
+
+    def starts_of(held: Column) -> Column:
+        return S.bind(S.running(F.transform(held, lambda p: F.length(p) + 1)), lambda ends: F.zip_with(held, ends, lambda p, end: end - F.length(p) - 1))
+
+    def read(held: Column) -> Column:
+        folded = F.transform(held, F.lower) if ignore_case else held
+        return S.bind(folded, lambda low: S.bind(starts_of(held), lambda starts: told(held, low, starts)))
+
+    return unnest(texts, S.bind(F.split(text, " ", -1), read), "o", *mine).select(*mine, "o.*")
+
+
 def containing(texts: DataFrame, text_key: str, literals: DataFrame, value: str, ignore_case: bool = True) -> DataFrame:
     """``text_key`` x literal pairs where the literal occurs at least once."""
     hits = literal_matches(texts, text_key, literals, value, ignore_case)

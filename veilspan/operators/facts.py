@@ -13,6 +13,8 @@ from veilspan.functions import patterns as P
 from veilspan.functions import spans as S
 from veilspan.functions.spans import unnest
 from veilspan.operators.dictionary import literal_matches, within_bound
+from veilspan.operators.sieve import sieve
+from veilspan.session import cut_lineage
 
 CATEGORY_ORDER = tuple(P.CATEGORY_KIND)
 
@@ -108,20 +110,22 @@ def partial_hits(texts: DataFrame, text_key: str, facts: DataFrame, text: str =
     on its first word run and is verified against the runs that follow.
     """
     edge = rf"(?<={P.WORD})(?!{P.WORD})|(?<!{P.WORD})(?={P.WORD})"
-    parts = partial_table(facts).withColumn("lead", F.regexp_extract("part", rf"^{P.WORD}+", 0))
+    parts = cut_lineage(partial_table(facts).withColumn("lead", F.regexp_extract("part", rf"^{P.WORD}+", 0)), "short-forms")
     sizes = parts.agg(F.max(F.size(F.split("part", edge, -1))), F.count("*"), F.sum(F.octet_length("part") + F.octet_length("entity"))).first()
     reach = sizes[0] or 1
-    walked = S.bind(S.running(F.transform("runs", lambda r: F.length(r))), lambda ends: F.zip_with("runs", ends, lambda r, end: end - F.length(r)))
+    passes = sieve(parts.select(F.xxhash64("lead").alias("key")), "key", sizes[1])
     carried = [text_key, "matter_id"] if "matter_id" in texts.columns else [text_key]
-    cut = texts.select(*carried, F.split(text, edge, -1).alias("runs")).select(*carried, "runs", walked.alias("starts"))
-    words = F.transform("starts", lambda at, i: F.when(
-        F.element_at("runs", i + 1).rlike(P.WORD),
-        F.struct(
-            at.alias("start"), F.element_at("runs", i + 1).alias("lead"),
-            F.array_join(F.slice("runs", i + 1, F.lit(reach + 1)), "").alias("context"),
-        ),
-    ))
-    rows = unnest(cut, words, "r", *carried).select(*carried, "r.*")
+
+    def told(runs: Column, starts: Column) -> Column:
+        # a run's context is taken only if a short form may begin with it
+        met = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: passes(F.xxhash64(F.get(runs, i))) & F.get(runs, i).rlike(P.WORD))
+        return F.transform(met, lambda i: F.struct(F.get(starts, i).alias("start"), F.get(runs, i).alias("lead"), F.array_join(F.slice(runs, i + 1, F.lit(reach + 1)), "").alias("context")))
+
+    def starts_of(runs: Column) -> Column:
+        return S.bind(S.running(F.transform(runs, F.length)), lambda ends: F.zip_with(runs, ends, lambda r, end: end - F.length(r)))
+
+    words = S.bind(F.split(text, edge, -1), lambda runs: S.bind(starts_of(runs), lambda starts: told(runs, starts)))
+    rows = unnest(texts, words, "r", *carried).select(*carried, "r.*")
     after = F.col("context").substr(F.length("part") + 1, F.lit(1))
     ends_in_word = F.col("part").rlike(rf"{P.WORD}$")
     met = rows.join(within_bound(parts, sizes[1], sizes[2] or 0), "lead").where(

@@ -92,8 +92,9 @@ def facts_of_others(texts: DataFrame, text_key: str, facts: DataFrame) -> DataFr
     Counts owners instead of listing them: ``n_owners`` other matters list the value.
     """
     values = facts.groupBy("value", "category").agg(F.countDistinct("matter_id").alias("owners"))
-    found = literal_matches(texts, text_key, values.select("value").distinct(), "value", ignore_case=False)
-    present = found.select(text_key, "value").distinct().join(texts.select(text_key, "matter_id"), text_key)
+    keyed = texts.select(F.struct(text_key, "matter_id").alias("_at"), "text")  # the matter rides with the key
+    found = literal_matches(keyed, "_at", values.select("value").distinct(), "value", ignore_case=False)
+    present = found.select("_at.*", "value").distinct()
     own = facts.select("matter_id", "value", "category", F.lit(1).alias("mine")).distinct()
     counted = present.join(values, "value").join(own, ["matter_id", "value", "category"], "left")
     return counted.select(

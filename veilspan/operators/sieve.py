@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_A_KEY = 16
-#: Words of 64 bits a filter may have: half a megabyte.
-MOST_WORDS = 1 << 16
+#: Words of 64 bits a filter has at least and at most: two kilobytes, half a megabyte.
+LEAST_WORDS, MOST_WORDS = 1 << 8, 1 << 16
 
 
 def words_for(keys: int) -> int:
     """A power of two with room for that many keys."""
-    words = 1
+    words = LEAST_WORDS
     while words < MOST_WORDS and 64 * words < BITS_A_KEY * keys:
         words *= 2
     return words
