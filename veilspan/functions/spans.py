@@ -45,22 +45,35 @@ def running_max(values: Column) -> Column:
     return _doubled(values, F.greatest)
 
 
+#: Stands between pieces of a cut text. One in a text is read as ``STAND_IN``, which no pattern here tells from it.
+MARK, STAND_IN = "\u0001", "\u0002"
+
+
+def cut_at(text: Column, pattern: str, replacement: str) -> Column:
+    """Pieces of the text between the marks that ``replacement`` sets at each match.
+
+    A split by the pattern itself would compile it for every row.
+    """
+    return F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(STAND_IN)), pattern, replacement), MARK, -1)
+
+
 def scan(text: Column, pattern: str, make: Callable[[Column, Column, Column], Column], ddl: str) -> Column:
     """``make(start, match, gap)`` for every match, left to right.
 
-    The text is cut into gaps and matches; running sums of their lengths give the
-    offsets. Rows without a match pay for one regex pass only.
+    The text is cut into gaps and matches, which take turns; running sums of their lengths give the
+    offsets. Each row pays for one regex pass.
     """
 
-    def walked(matches: Column) -> Column:
-        # gaps outnumber matches by one; the last gap is not needed
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-        pairs = F.zip_with(gaps, matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match"), (F.length(gap) + F.length(match)).alias("size")))
+    def walked(pieces: Column) -> Column:
+        turns = F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))
+        pairs = F.transform(turns, lambda i: F.struct(
+            F.get(pieces, i - 1).alias("gap"), F.get(pieces, i).alias("match"), (F.length(F.get(pieces, i - 1)) + F.length(F.get(pieces, i))).alias("size")
+        ))
         return bind(pairs, lambda held: F.zip_with(
             held, running(F.transform(held, lambda p: p["size"])), lambda p, end: make(end - F.length(p["match"]), p["match"], p["gap"]).cast(ddl)
         ))
 
-    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, walked(found)).otherwise(_empty(ddl)))
+    return bind(cut_at(text, pattern, f"{MARK}$0{MARK}"), lambda pieces: F.when(F.size(pieces) > 1, walked(pieces)).otherwise(_empty(ddl)))
 
 
 def unnest(df, array: Column | str, name: str, *keep, at: str | None = None):

@@ -124,7 +124,7 @@ def partial_hits(texts: DataFrame, text_key: str, facts: DataFrame, text: str =
     def starts_of(runs: Column) -> Column:
         return S.bind(S.running(F.transform(runs, F.length)), lambda ends: F.zip_with(runs, ends, lambda r, end: end - F.length(r)))
 
-    words = S.bind(F.split(text, edge, -1), lambda runs: S.bind(starts_of(runs), lambda starts: told(runs, starts)))
+    words = S.bind(S.cut_at(F.col(text), edge, S.MARK), lambda runs: S.bind(starts_of(runs), lambda starts: told(runs, starts)))
     rows = unnest(texts, words, "r", *carried).select(*carried, "r.*")
     after = F.col("context").substr(F.length("part") + 1, F.lit(1))
     ends_in_word = F.col("part").rlike(rf"{P.WORD}$")

@@ -20,6 +20,8 @@ def local_session(app: str = "veilspan", cores: str = "*", **conf: str) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # call sites are recorded for every column operation otherwise, which is most of the time it takes to build a long expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.extraJavaOptions", "-Xss8m")
     )
