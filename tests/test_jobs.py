@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspan import plans
 from veilspan.operators import audit, catalog, evalrows, facts, redact, score, scrub, training
-from veilspan.sources import readers, writers
+from veilspan.sources import ledger, readers, writers
 from veilspan.streaming import jobs
 
 SHEET = {"names": ["Lena Voss"], "orgs": ["Voss Mills LLC"], "amounts": ["$90,000"], "distinctive": ["the blue ledger at the mill"]}
@@ -120,7 +120,7 @@ def test_counts_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(None, k, "m", "s", "{}") for k in ("scrub", "scrub", None)], schema)
     rows.write.json(source)
     jobs.write_counts(spark.readStream.schema(schema).json(source), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert {r["kind"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"scrub": 2, "note": 1}
+    assert {r["kind"]: r["n"] for r in ledger.read_snapshot(spark, str(tmp_path / "out")).collect()} == {"scrub": 2, "note": 1}
 
 
 SMALL = ["b08_paragraphs", "c01_email", "f04_pooled_sets", "f12_interval_table", "e05_carryover_scoreboard", "e08_containing_pairs", "e19_ngram_overlap", "e16_review_state", "d15_scrub_chain", "e03_amount_match"]
@@ -206,3 +206,51 @@ def test_numbers_of_a_json_object(spark):
     rows = ['{"a":{"n":5},"n":"12","b":true,"x":1,"y":1.5,"z":1e3,"w":null}', '{"n":1,"n":2}', '{"n":1,"n":"s"}', "[1]", "bad", None, '{"q\\"k":3}']
     got = spark.createDataFrame([(r,) for r in rows], "c string").select(audit.numbers_only(F.col("c"))).collect()
     assert [r[0] for r in got] == [{"x": 1.0, "y": 1.5, "z": 1000.0}, {"n": 2.0}, {}, {}, {}, {}, {'q"k': 3.0}]
+
+
+def test_upserts_are_snapshots_and_writers_are_told_apart(spark, tmp_path):
+    path = str(tmp_path / "results")
+    ddl = "detector string, eval_set string, caught long"
+    assert writers.upsert_results(spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], ddl), path) == 1
+    reader = ledger.read_snapshot(spark, path)  # opened before the next write, read after it
+    assert writers.upsert_results(spark.createDataFrame([("b", "x", 9), ("c", "y", 3)], ddl), path) == 2
+    assert sorted(map(tuple, reader.select("detector", "eval_set", "caught").collect())) == [("a", "x", 1), ("b", "x", 2)]
+    now = ledger.read_snapshot(spark, path)
+    assert sorted(map(tuple, now.select("detector", "eval_set", "caught").collect())) == [("a", "x", 1), ("b", "x", 9), ("c", "y", 3)]
+    assert ledger.read_snapshot(spark, path, 1).count() == 2
+    with pytest.raises(ledger.Conflict):  # meant to follow snapshot 1, but another writer did
+        ledger.write_snapshot(spark.createDataFrame([("z", "z", 0)], ddl), path, 1)
+    assert ledger.latest(spark, path)[0] == 2
+    with pytest.raises(ValueError):
+        ledger.read_snapshot(spark, str(tmp_path / "none"))
+
+
+def test_a_writer_that_lost_a_race_begins_again(spark, tmp_path, monkeypatch):
+    path, ddl = str(tmp_path / "t"), "detector string, eval_set string, caught long"
+    ledger.upsert(spark.createDataFrame([("a", "x", 1)], ddl), path, ["detector", "eval_set"])
+    plain, rivals = ledger.write_snapshot, [spark.createDataFrame([("a", "x", 1), ("rival", "x", 5)], ddl)]
+
+    def slow(table, at, after, **notes):
+        if rivals:  # another writer is done first
+            plain(rivals.pop(), at, after)
+        return plain(table, at, after, **notes)
+
+    monkeypatch.setattr(ledger, "write_snapshot", slow)
+    assert ledger.upsert(spark.createDataFrame([("a", "x", 7)], ddl), path, ["detector", "eval_set"]) == 3
+    assert sorted(map(tuple, ledger.read_snapshot(spark, path).collect())) == [("a", "x", 7), ("rival", "x", 5)]
+
+
+def test_a_stream_batch_run_twice_is_one_snapshot(spark, tmp_path):
+    path, rows = str(tmp_path / "counts"), spark.createDataFrame([("k", 1)], "kind string, n long")
+    assert ledger.save_batch(rows, path, 0) and ledger.save_batch(rows, path, 1) and not ledger.save_batch(rows, path, 1) and not ledger.save_batch(rows, path, 0)
+    assert ledger.latest(spark, path)[0] == 2 and ledger.read_snapshot(spark, path).count() == 1
+
+
+def test_a_batch_replayed_adds_nothing_and_order_survives_compaction(spark, tmp_path):
+    path, order = str(tmp_path / "log"), ["batch", "place"]
+    events = [spark.createDataFrame([(f"{b}-{i}", i) for i in range(50)], "summary string, i int").repartitionByRange(3, "i") for b in range(3)]
+    assert [ledger.append_once(events[b], path, b) for b in (0, 2, 1, 1, 0)] == [True, True, True, False, False]
+    rows = [r["summary"] for r in ledger.read_appended(spark, path).orderBy(*order).collect()]
+    assert rows == [f"{b}-{i}" for b in range(3) for i in range(50)]
+    ledger.compact(spark, path, str(tmp_path / "one"))
+    assert [r["summary"] for r in spark.read.parquet(str(tmp_path / "one")).orderBy(*order).collect()] == rows
