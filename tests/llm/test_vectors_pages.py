@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -117,3 +119,18 @@ def test_all_candidates_where_they_are_few(spark):
     few = [(i, v) for i, v in enumerate(signs[:25].tolist())]
     rare = [(1000 + i, v) for i, v in enumerate(np.random.default_rng(7).choice([-1.0, 1.0], (15, 32)).tolist())]
     assert recall(spark, few[:15]) == 1 and recall(spark, few + rare) == 1
+
+
+def test_no_name_loses_an_article():
+    assert text('<body><article class="share-alike"><p>Whole text</p></article></body>') == "Whole text"
+    assert text('<div class="page-with-sidebar"><article><p>A</p></article><div class="sidebar">no</div></div>') == "A"
+    assert text('<article><p class="copyright-law">On law</p><p class="copyright">(c)</p><div class="post-comments">c</div><div id="adSlot">x</div></article>') == "On law"
+    assert text('<div class="sidebar"><article><p>Only one</p></article></div>') == "Only one"
+    assert text('<article><div class="comments"><p>All there is</p></div></article>') == "All there is"
+    assert text('<div class="related"><article>teaser</article></div><article>real</article>') == "real"
+
+
+def test_stray_end_tags_cost_one_lookup_each():
+    began = time.perf_counter()
+    assert text("<div>" * 3000 + "<b>" * 20_000 + "</i></p>" * 40_000 + "text") == "text"
+    assert time.perf_counter() - began < 10
