@@ -124,3 +124,20 @@ def test_stream_decoder_holds_back_open_characters():
         d = bpe.StreamDecoder([])
         out = "".join(d.feed(data[i : i + cut]) for i in range(0, len(data), cut)) + d.end()
         assert out == data.decode("utf-8", "replace")
+
+
+def test_memory_that_begins_anew_gives_the_same_ids(monkeypatch):
+    import public_tokenizers
+
+    from veilspan.llm import encoding
+
+    texts = [f"word{i % 50} and{i} the rest {i * i}".encode() for i in range(300)] + [b"", b"x" * 5000, "naïve – …".encode()]
+    wanted = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
+    monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 20_000)
+    small = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for begin in range(0, len(texts), 40):
+        ids, sizes = small.encode(texts[begin : begin + 40])
+        ends = np.cumsum(wanted[1])
+        first = ends[begin - 1] if begin else 0
+        assert sizes.tolist() == wanted[1][begin : begin + 40].tolist() and ids.tolist() == wanted[0][first : first + len(ids)].tolist()
+    assert len(small.known) < 300

@@ -24,8 +24,8 @@ FOLDER_SETTING = "spark.veilspan.tokenizers"
 #: Characters on which this cut and the library's agree by construction: ASCII and Latin-1 letters and signs, common punctuation.
 NOT_PLAIN = re.compile(r"[^\x09-\x0d\x20-\x7e¡-ÿ–—‘-”•…€]")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes that remembered pieces take in a worker: strings, ids and table entries; beyond it the memory begins anew.
-REMEMBERED_BYTES = 48 << 20
+#: Bytes that remembered pieces take in a worker: strings, ids and table entries; beyond it the memory begins anew with the pieces at hand.
+REMEMBERED_BYTES = 96 << 20
 #: What a piece takes besides its string and ids: an entry of the table, a number, its place and size.
 ENTRY_BYTES = 120
 #: Pieces that go through the library in one call; longer calls take longer a piece.
@@ -74,6 +74,14 @@ class PieceMemory:
         self.used += len(ids)
         self.held += sum(map(getsizeof, pieces)) + ids.nbytes + ENTRY_BYTES * len(pieces)
 
+    def _renew(self, pieces: list[str]) -> None:
+        """Keep what is known of these pieces, the frequent ones among them, and forget the rest."""
+        kept = [p for p in set(pieces) if p in self.known]
+        at = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+        ids, sizes = gather(self.flat, self.begin[at], self.size[at])
+        self._forget()
+        self._keep(kept, ids, sizes)
+
     def _learn(self, pieces: list[str]) -> None:
         raise NotImplementedError
 
@@ -81,7 +89,7 @@ class PieceMemory:
         if not pieces:
             return np.zeros(0, self.width), np.zeros(0, np.int64)
         if self.held > REMEMBERED_BYTES:
-            self._forget()
+            self._renew(pieces)
         at = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
         new = np.flatnonzero(at < 0).tolist()
         if new:
