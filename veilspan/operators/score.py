@@ -11,6 +11,7 @@ from veilspan.functions import spans as S
 from veilspan.functions.stats import newcombe, ratio, wilson
 
 COUNTS = ("caught", "leaks", "false_alarms", "clean", "n", "errors")
+COVERED = ("caught", "leaks", "q_caught", "q_leaks", "false_alarms", "clean")
 
 
 def _counts() -> list[Column]:
@@ -146,33 +147,22 @@ def coverage(key: Column, predicted: Column) -> Column:
     return S.bind(S.cover(predicted), counted)
 
 
-def union_candidates(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the fixed detector unions to ``keys..., detector, start, end``: single detectors stay candidates.
-
-    Unions with a missing part are left out, as are their rows.
-    """
-    present = {r[0] for r in spans.select("detector").distinct().collect()}  # one row per detector
-    of = {d: [d] for d in present}
-    for name, parts in P.DETECTOR_UNIONS.items():
-        if set(parts) <= present:
-            for p in parts:
-                of[p].append(name)
-    mapping = F.create_map(*[x for d, names in sorted(of.items()) for x in (F.lit(d), F.array(*[F.lit(c) for c in names]))])
-    return S.unnest(spans, F.element_at(mapping, F.col("detector")), "candidate", *keys, "start", "end")
-
-
 def metric_row(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Totals and ratios per candidate from per-paragraph coverage ``s`` plus ``latency_s`` and ``cost_usd``."""
-    names = ("caught", "leaks", "q_caught", "q_leaks", "false_alarms", "clean")
     total = scored.groupBy(*keys).agg(
-        *[F.sum(f"s.{c}").alias(c) for c in names], F.count("*").alias("n_paragraphs"),
-        F.avg("latency_s").alias("latency_s"), F.sum("cost_usd").alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("uncosted"),
+        *[F.sum(f"s.{c}").alias(c) for c in COVERED], F.count("*").alias("n_paragraphs"), F.avg("latency_s").alias("latency_s"),
+        F.when(F.count_if(F.col("cost_usd").isNull()) == 0, F.sum("cost_usd")).alias("cost_usd"),
     )
+    return rates(total, keys)
+
+
+def rates(total: DataFrame, keys: list[str]) -> DataFrame:
+    """Ratios of coverage totals with ``n_paragraphs``, mean ``latency_s`` and summed ``cost_usd``; no cost stays none."""
     return total.select(
-        *keys, *names, "n_paragraphs",
+        *keys, *COVERED, "n_paragraphs",
         ratio(F.col("caught"), F.col("leaks")).alias("identifier_recall"), ratio(F.col("q_caught"), F.col("q_leaks")).alias("quasi_recall"),
         ratio(F.col("false_alarms"), F.col("clean")).alias("over_redaction"), F.bround(F.col("latency_s") * 1000, 2).alias("latency_ms_per_paragraph"),
-        F.when(F.col("uncosted") == 0, F.bround(F.col("cost_usd") / F.col("n_paragraphs") * 1000, 4)).alias("cost_usd_per_1k_paragraphs"),
+        F.bround(F.col("cost_usd") / F.col("n_paragraphs") * 1000, 4).alias("cost_usd_per_1k_paragraphs"),
     )
 
 

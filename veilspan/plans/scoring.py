@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import patterns as P
 from veilspan.functions import spans as S
 from veilspan.functions.stats import newcombe, wilson
-from veilspan.operators import cost, evalrows, facts, score
+from veilspan.operators import cost, evalrows, facts, score, sweep
 from veilspan.operators.catalog import last_writes
 from veilspan.operators.detect import identifier_spans
 from veilspan.plans import world as V
@@ -140,9 +140,15 @@ IDENTS = f"""(select d.draft_id, f.value, f.category = 'distinctive' and contain
 FACT_SPANS = f"""(select h.draft_id, 'known' as cond, 'facts' as detector, h."start", h."end" from ({FACT_HITS}) h
    union all select h.draft_id, 'unseen', 'facts', h."start", h."end" from ({FACT_HITS}) h join ({V.DRAFTS}) d using (draft_id) left join (select matter_id, value, (select count(distinct matter_id) from ({V.FACTS}) g where g.value = f.value) as owners from ({V.FACTS}) f) o on o.matter_id = d.matter_id and o.value = h.entity where o.value is null or o.owners > 1)"""
 RULE_SPANS = f"""(select draft_id, c as cond, 'rules' as detector, "start", "end" from ({sql_resolved(LETTERS, "draft_id")}) s cross join (select unnest(['known', 'unseen']) as c) cc)"""
-SCORES = f"""spans as materialized (select * from {FACT_SPANS} f union all select * from {RULE_SPANS} r),
-  cand as materialized (select draft_id, cond, detector as candidate, "start", "end" from spans union select draft_id, cond, 'rules+facts', "start", "end" from spans),
-  all_c as (select draft_id, cond, candidate from (select draft_id from ({V.DRAFTS}) d) a, (select unnest(['known', 'unseen']) as cond) b, (select unnest(['facts', 'rules', 'rules+facts']) as candidate) c),
+DETECTORS = list(V.PER_CHAR)
+MIXES = sweep.mixes_of(DETECTORS)
+_PARTS = ", ".join(f"('{name}', {listed}, '{p}')" for listed, (name, parts) in enumerate(MIXES.items()) for p in parts)
+_STATS = ", ".join(f"('{d}', {s}, {'null' if c is None else c})" for d, (s, c) in V.PER_CHAR.items())
+SCORES = f"""mix as (select * from (values {_PARTS}) v(candidate, listed, detector)), per as (select * from (values {_STATS}) v(detector, micros, price)),
+  costs as (select candidate, listed, sum(micros) as micros, case when count(price) = count(*) then sum(price) end as price from mix join per using (detector) group by all),
+  spans as materialized (select * from {FACT_SPANS} f union all select * from {RULE_SPANS} r union all select draft_id, c, detector, "start", "end" from ({V.MODEL_SPANS}) m cross join (select unnest(['known', 'unseen']) as c) cc),
+  cand as materialized (select distinct draft_id, cond, candidate, "start", "end" from spans join mix using (detector)),
+  all_c as (select draft_id, cond, candidate from (select draft_id from ({V.DRAFTS}) d) a, (select unnest(['known', 'unseen']) as cond) b, costs c),
   occ as materialized (select draft_id, quasi, cast(pos as int) as s, cast(pos + length(value) as int) as e, value from (select *, sum(length(piece) + length(value)) over (partition by draft_id, value order by i) - length(value) as pos from (
      select *, unnest(range(1, len(g))) as i, unnest(g[1:len(g) - 1]) as piece from (select distinct i.draft_id, i.value, i.quasi, string_split(d.text, i.value) as g from {IDENTS} i join {LETTERS} d using (draft_id)) a) b) c),
   ord as (select *, max("end") over w as reach from cand window w as (partition by draft_id, cond, candidate order by "start", "end" rows between unbounded preceding and 1 preceding)),
@@ -155,11 +161,13 @@ SCORES = f"""spans as materialized (select * from {FACT_SPANS} f union all selec
   overs as (select a.draft_id, a.cond, a.candidate, f.s, max(case when c.s is not null then 1 else 0 end) as over from all_c a join free f using (draft_id) left join cov c on c.draft_id = a.draft_id and c.cond = a.cond and c.candidate = a.candidate and c.s < f.e and c.e > f.s group by all),
   h2 as (select cond, candidate, count(*) filter (hit) as caught, count(*) as leaks, count(*) filter (hit and quasi) as q_caught, count(*) filter (quasi) as q_leaks from hit group by all),
   o2 as (select cond, candidate, cast(sum(over) as bigint) as false_alarms, count(*) as clean from overs group by all),
-  metrics as materialized (select *, caught / leaks as identifier_recall, case when q_leaks > 0 then q_caught / q_leaks end as quasi_recall, false_alarms / clean as over_redaction from h2 join o2 using (cond, candidate))"""
+  metrics as materialized (select *, caught / leaks as identifier_recall, case when q_leaks > 0 then q_caught / q_leaks end as quasi_recall, false_alarms / clean as over_redaction,
+    round(chars * micros / 1000, 2) as latency_ms_per_paragraph, round(chars * price / 10000, 4) as cost_usd_per_1k_paragraphs
+    from h2 join o2 using (cond, candidate) join costs using (candidate), (select avg(length(text))::double as chars from {LETTERS} d) x)"""
 
 
 def _scored(t):
-    """Coverage per letter, condition and candidate, from the rules and facts detectors."""
+    """Answer key and every detector's spans per letter and condition; the model detectors' spans are stored."""
     letters, dim = V.drafts(t).select("draft_id", "matter_id", "text"), facts.fact_table(V.matters(t))
     sheet = V.matters(t).select(
         "matter_id", F.array_distinct(F.flatten(F.map_values("facts"))).alias("idents"),
@@ -176,29 +184,16 @@ def _scored(t):
     rules = F.transform(identifier_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     # the text work is done where the letters are read; only spans travel to the join
     read = S.computed(S.computed(letters.join(sheet, "matter_id"), score.answer_key(F.col("text"), F.col("idents"), F.col("quasi")), "key"), rules, "rules")
-    base = read.select("draft_id", F.length("text").alias("chars"), "key", "rules").join(found, "draft_id", "left").select(
-        "draft_id", "chars", "key", "rules", F.coalesce("known", none).alias("known"), F.coalesce("unseen", none).alias("unseen")
+    models = V.model_spans(t).groupBy("draft_id").agg(*[F.collect_list(F.when(F.col("detector") == d, F.struct("start", "end"))).alias(d) for d in DETECTORS[2:]])
+    base = read.select("draft_id", "key", "rules").join(found, "draft_id", "left").join(models, "draft_id", "left").select(
+        "key", "rules", *[F.coalesce(c, none).alias(c) for c in ("known", "unseen", *DETECTORS[2:])]
     )
-    variants = F.array(*[
-        F.struct(F.lit(cond).alias("cond"), F.lit(name).alias("candidate"), predicted.alias("predicted"))
-        for cond in ("known", "unseen")
-        for name, predicted in (("facts", F.col(cond)), ("rules", F.col("rules")), ("rules+facts", F.concat("rules", cond)))
-    ])
-    rows = S.unnest(base, variants, "v", "draft_id", "chars", "key").select("draft_id", "chars", "key", "v.*")
-    return S.computed(rows, score.coverage(F.col("key"), F.col("predicted")), "s").drop("key", "predicted")
-
-
-#: Seconds and dollars a character, by detector; a union takes the sums of its parts.
-PER_CHAR = {"facts": (1e-6, 0.0), "rules": (2e-6, 5e-7)}
+    return S.unnest(base, F.array(*[F.struct(F.lit(c).alias("cond"), F.col(c).alias("facts")) for c in ("known", "unseen")]), "v", "key", *DETECTORS[1:]).select("v.*", "key", *DETECTORS[1:])
 
 
 def _metrics(t):
-    def summed(place: int):
-        parts = F.map_from_arrays(F.array(*map(F.lit, PER_CHAR)), F.array(*[F.lit(v[place]) for v in PER_CHAR.values()]))
-        return F.aggregate(F.split("candidate", r"\+"), F.lit(0.0), lambda acc, d: acc + parts[d]) * F.col("chars")
-
-    rows = _scored(t).withColumn("latency_s", summed(0)).withColumn("cost_usd", summed(1))
-    return score.metric_row(rows, ["cond", "candidate"])
+    counted = sweep.histogram(_scored(t), ["cond"], {d: d for d in DETECTORS}, MIXES)
+    return sweep.mix_metrics(counted, V.detector_stats(t), DETECTORS, MIXES, ["cond"])
 
 
 @query("f07_coverage_score", f"""with {SCORES} select cond, candidate, caught, leaks, q_caught, q_leaks, false_alarms, clean from metrics""")
@@ -206,41 +201,33 @@ def f07(t):
     return _metrics(t).select("cond", "candidate", "caught", "leaks", "q_caught", "q_leaks", "false_alarms", "clean")
 
 
-@query("f08_metric_row", f"""with {SCORES} select cond, candidate, round(identifier_recall, 8) as identifier_recall, round(quasi_recall, 8) as quasi_recall, round(over_redaction, 8) as over_redaction, round(c * case candidate when 'facts' then 1 when 'rules' then 2 else 3 end / 1000, 2) as latency_ms_per_paragraph, round(c * case candidate when 'facts' then 0 else 5 end / 10000, 4) as cost_usd_per_1k_paragraphs from metrics, (select avg(length(text))::double as c from {LETTERS} d) x""")
+@query("f08_metric_row", f"""with {SCORES} select cond, candidate, round(identifier_recall, 8) as identifier_recall, round(quasi_recall, 8) as quasi_recall, round(over_redaction, 8) as over_redaction, latency_ms_per_paragraph, cost_usd_per_1k_paragraphs from metrics""")
 def f08(t):
     m = _metrics(t)
     return m.select("cond", "candidate", *[F.round(c, 8).alias(c) for c in ("identifier_recall", "quasi_recall", "over_redaction")], "latency_ms_per_paragraph", "cost_usd_per_1k_paragraphs")
 
 
-LISTING = {"facts": 0, "rules": 1, "rules+facts": 2}
+_PICK = " ".join(f"when '{name}' then '{','.join(dict.fromkeys(('facts', *parts)))}'" for name, parts in MIXES.items())
 
 
-@query("h02_constrained_choice", f"""with {SCORES} select candidate, round(identifier_recall, 8) as identifier_recall, case when candidate = 'rules+facts' then 'facts,rules' when candidate = 'facts' then 'facts' else 'facts,rules' end as detectors
-  from metrics where cond = 'unseen' and over_redaction <= 0.5 order by identifier_recall desc, coalesce(quasi_recall, 0) desc, case candidate when 'facts' then 0 when 'rules' then 1 else 2 end limit 1""")
+@query("h02_constrained_choice", f"""with {SCORES} select candidate, round(identifier_recall, 8) as identifier_recall, case candidate {_PICK} end as detectors
+  from metrics where cond = 'unseen' and over_redaction <= 0.5 order by identifier_recall desc, coalesce(quasi_recall, 0) desc, latency_ms_per_paragraph, listed limit 1""")
 def h02(t):
-    listed = F.create_map(*[F.lit(x) for kv in LISTING.items() for x in kv])
-    metrics = _metrics(t).where("cond = 'unseen'").withColumn("listed", listed[F.col("candidate")])
-    best = score.strategy(score.choose(metrics, 0.5))
+    best = score.strategy(score.choose(_metrics(t).where("cond = 'unseen'"), 0.5))
     return best.select("candidate", F.round("identifier_recall", 8).alias("identifier_recall"), F.array_join("detectors", ",").alias("detectors"))
 
 
-UNION_ROWS = "select event_id, case event_type when 'view' then 'rules' when 'click' then 'facts' when 'error' then 'tuned' when 'signup' then 'prompt' else 'other' end as detector from events"
-
-
-@query("f09_detector_unions", f"""with s as ({UNION_ROWS}), u as (select unnest(['rules+facts', 'rules+facts', 'rules+facts+prompt', 'rules+facts+prompt', 'rules+facts+prompt', 'rules+facts+tuned', 'rules+facts+tuned', 'rules+facts+tuned', 'rules+facts+tuned+prompt', 'rules+facts+tuned+prompt', 'rules+facts+tuned+prompt', 'rules+facts+tuned+prompt']) as candidate,
-    unnest(['rules', 'facts', 'rules', 'facts', 'prompt', 'rules', 'facts', 'tuned', 'rules', 'facts', 'tuned', 'prompt']) as detector)
-  select candidate, count(*) as spans from (select candidate from s join u using (detector) union all select detector from s) x group by candidate""")
+@query("f09_detector_unions", f"""with {SCORES} select cond, candidate, caught, leaks, false_alarms, clean, latency_ms_per_paragraph, cost_usd_per_1k_paragraphs from metrics where contains(candidate, '+')""")
 def f09(t):
-    spans = t.sql(UNION_ROWS.replace("events", "{events}"), events=t.events).select("event_id", "detector", F.lit(0).alias("start"), F.lit(1).alias("end"))
-    return score.union_candidates(spans, ["event_id"]).groupBy("candidate").agg(F.count("*").alias("spans"))
+    return _metrics(t).where(F.col("candidate").isin(*P.DETECTOR_UNIONS)).select(
+        "cond", "candidate", "caught", "leaks", "false_alarms", "clean", "latency_ms_per_paragraph", "cost_usd_per_1k_paragraphs"
+    )
 
 
-@query("h03_strategy_union", f"""with s as (select distinct detector from ({UNION_ROWS}) u) select detector as candidate, case when detector = 'facts' then 'facts' else 'facts,' || detector end as detectors from s
-  union all select 'rules+facts+tuned', 'facts,rules,tuned'""")
+@query("h03_strategy_union", f"""with m as (select * from (values {_PARTS}) v(candidate, listed, detector)), ran as (select unnest({DETECTORS}) as detector from orders group by 1)
+  select candidate, case candidate {_PICK} end as detectors from m left join ran using (detector) group by candidate having count(*) = count(ran.detector)""")
 def h03(t):
-    d = t.sql(UNION_ROWS.replace("events", "{events}"), events=t.events).select(F.col("detector").alias("candidate")).distinct()
-    more = d.limit(1).select(F.lit("rules+facts+tuned").alias("candidate"))
-    return score.strategy(d.unionByName(more)).select("candidate", F.array_join("detectors", ",").alias("detectors"))
+    return score.strategy(sweep.mix_costs(V.detector_stats(t), MIXES)).select("candidate", F.array_join("detectors", ",").alias("detectors"))
 
 
 # --- percentiles, ordering, limits ------------------------------------------------------

@@ -137,12 +137,32 @@ def case_sql(dialect: str) -> str:
     from ({draft_sql(dialect)}) d join {{orders}} r on d.draft_id = r.o_orderkey"""
 
 
+#: Microseconds and tenths of a microdollar a character, by detector; two of the stored ones have no price.
+PER_CHAR = {"facts": (1, 0), "rules": (2, 5), "prompt": (5, 23), "base": (3, None), "tuned": (4, None)}
+
+
+def model_span_sql(dialect: str) -> str:
+    """Stored spans of three model detectors: the client in the greeting, its first name and the closing words, the organisation."""
+    k, o = "o_custkey", "o_orderkey"
+    drafts = f"({draft_sql(dialect)})"
+    org_at = f"(5 + length({person(k)}) + length(', your file with '))"
+    rows = [
+        ("prompt", "5", f"5 + length({person(k)})", f"{o} % 4 <> 0"), ("base", "5", f"5 + length({first_name(k)})", f"{o} % 2 = 0"),
+        ("base", "length(d.text) - 12", "length(d.text)", f"{o} % 3 = 0"), ("tuned", org_at, f"{org_at} + length({org(k)})", f"{o} % 3 <> 0"),
+        ("tuned", "0", f"5 + length({person(k)})", f"{o} % 5 = 1"),
+    ]
+    return " union all ".join(
+        f"select d.draft_id, '{name}' as detector, cast({a} as int) as \"start\", cast({b} as int) as \"end\" from {drafts} d join {{orders}} r on d.draft_id = r.o_orderkey where {when}"
+        for name, a, b, when in rows
+    ).replace('"', "`" if dialect == "spark" else '"')
+
+
 def duck(sql: str) -> str:
     """The view as a subquery over the plain table names."""
     return sql.replace("{customer}", "customer").replace("{orders}", "orders")
 
 
-MATTERS, FACTS, DRAFTS, NOTES, CASES = (duck(f("duck")) for f in (matter_sql, fact_sql, draft_sql, note_sql, case_sql))
+MATTERS, FACTS, DRAFTS, NOTES, CASES, MODEL_SPANS = (duck(f("duck")) for f in (matter_sql, fact_sql, draft_sql, note_sql, case_sql, model_span_sql))
 
 
 def matters(t: Tables) -> DataFrame:
@@ -167,6 +187,20 @@ def cases(t: Tables) -> DataFrame:
     return t.sql(case_sql("spark"), orders=t.orders)
 
 
+def model_spans(t: Tables) -> DataFrame:
+    """``draft_id, detector, start, end``."""
+    return t.sql(model_span_sql("spark"), orders=t.orders)
+
+
+def detector_stats(t: Tables) -> DataFrame:
+    """``draft_id, detector, latency_s, cost_usd``: what each detector took for each letter."""
+    each = F.array(*[
+        F.struct(F.lit(d).alias("detector"), (F.length("text") * F.lit(s * 1e-6)).alias("latency_s"), (F.length("text") * F.lit(None if c is None else c * 1e-7).cast("double")).alias("cost_usd"))
+        for d, (s, c) in PER_CHAR.items()
+    ])
+    return drafts(t).select("draft_id", F.inline(each))
+
+
 # --- span extraction in SQL ---------------------------------------------------
 
 ASCII = "regexp_replace({0}, '[À-ÿ]', '_', 'g')"  # accented letters count as word characters, as \b needs them
