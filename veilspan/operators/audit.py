@@ -58,6 +58,8 @@ def last_per_matter(log: DataFrame, order: str = "seq") -> DataFrame:
 def backfill(log: DataFrame, cached: DataFrame, results: DataFrame, stems: dict[str, str], attack_stem: str) -> DataFrame:
     """Seed events from cached results (``stem, mtime, data``) and result rows, only while the log is empty.
 
+    Whether it is empty is found when the result is read, by one row of the log at most.
+
     ``stems`` maps a result's stem to its event kind; the one named ``attack_stem`` tells passed checks instead of a matter.
     """
     kinds = F.create_map(*[F.lit(x) for kv in stems.items() for x in kv])
@@ -87,4 +89,4 @@ def backfill(log: DataFrame, cached: DataFrame, results: DataFrame, stems: dict[
         counts.alias("counts"),
     )
     seeds = from_cache.unionByName(from_results)
-    return seeds.where(F.lit(False)) if not log.isEmpty() else seeds
+    return seeds.join(F.broadcast(log.limit(1).select(F.lit(True).alias("_begun"))), F.lit(True), "left_anti")

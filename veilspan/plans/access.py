@@ -274,10 +274,20 @@ def f18(t):
     case event_type when 'view' then 'Access checks passed: ' || event_id || '/?' else 'Taken over from ' || event_type || '.json' end as summary, 1 as n_counts from events
   union all select 'eval', '', s_name || ' on all: caught ' || s_suppkey || '/' || s_nationkey || ', ? false alarms (n=' || s_nationkey || ')', 3 from supplier""")
 def a10(t):
+    return _backfilled(t, _log(t).where("seq < 0")).select("kind", "matter", "summary", F.size("counts").alias("n_counts"))
+
+
+def _backfilled(t, log):
     cached = t.events.select(F.col("event_type").alias("stem"), F.col("ts").alias("mtime"), F.to_json(F.struct(F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("target"), F.col("event_id").alias("passed"))).alias("data"))
     results = t.supplier.select(F.col("s_name").alias("detector"), F.lit("all").alias("eval_set"), F.col("s_suppkey").alias("caught"), F.col("s_nationkey").alias("leaks"), F.lit(None).cast("int").alias("false_alarms"), F.lit(None).cast("int").alias("clean"), F.col("s_nationkey").alias("n"))
-    empty = _log(t).where("seq < 0")
-    return audit.backfill(empty, cached, results, {"view": "attack", "click": "reuse"}, "view").select("kind", "matter", "summary", F.size("counts").alias("n_counts"))
+    return audit.backfill(log, cached, results, {"view": "attack", "click": "reuse"}, "view")
+
+
+@query("a10_backfill_beside_events", """select kind, count(*) as n, count(distinct matter) as matters from (select case when event_type = 'error' then 'note' else event_type end as kind, 'M' || user_id as matter from events) e group by kind""")
+def a10_kept(t):
+    log = audit.normalise(_log(t))
+    whole = log.unionByName(_backfilled(t, _log(t)))
+    return whole.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("matter").alias("matters"))
 
 
 # --- folders read back -------------------------------------------------------------------------------

@@ -156,6 +156,39 @@ def d05(t):
     return out.select("draft_id", "redacted", F.col("removed").cast("bigint").alias("removed"), "residual_verdict", "judge")
 
 
+# verdicts on the second redaction; some texts have none, and keep the first one
+AGAIN = f"select draft_id, case when draft_id % 3 = 0 then 'leak' else 'clean' end as verdict from ({V.DRAFTS}) v where draft_id % 4 <> 0"
+
+
+@query("d05_second_verdict", f"""with verdicts as ({VERDICTS}), again as ({AGAIN}), candidates as materialized ({CANDIDATES}), {redact_ctes("x", "select * from candidates")}, {RANGES}, {redact_ctes("y", _SECOND)}
+    select r.draft_id, removed, case when f.draft_id is not null then coalesce(a.verdict, v.verdict) else v.verdict end as residual_verdict, case when v.verdict is not null then judge end as judge
+    from y_r r left join verdicts v using (draft_id) left join flagged f using (draft_id) left join again a using (draft_id)""")
+def d05_again(t):
+    second = V.drafts(t).where("draft_id % 4 <> 0").select("draft_id", F.when(F.col("draft_id") % 3 == 0, "leak").otherwise("clean").alias("verdict"))
+    out = redact.deidentify(V.drafts(t).select("draft_id", "matter_id", "text"), "draft_id", facts.fact_table(V.matters(t)), _verdicts(t), second_verdicts=second)
+    return out.select("draft_id", F.col("removed").cast("bigint").alias("removed"), "residual_verdict", "judge")
+
+
+# an external detector: one kind of finding comes with offsets, the other as text alone
+_OUTSIDE = f"""select m.draft_id, m."start", m."end", 'org' as kind, substr(d.text, m."start" + 1, m."end" - m."start") as entity, 3 as listed from ({V.MODEL_SPANS}) m join {LETTERS} d using (draft_id) where m.detector = 'tuned'
+    union all select draft_id, cast(pos as int), cast(pos + length(value) as int), 'name', value, 3 from (
+      select draft_id, value, sum(length(piece) + length(value)) over (partition by draft_id order by i) - length(value) as pos from (
+        select draft_id, value, unnest(range(1, len(g))) as i, unnest(g[1:len(g) - 1]) as piece from (
+          select draft_id, value, string_split(text, value) as g from {LETTERS} d join (select o_orderkey as draft_id, {V.first_name("o_custkey")} as value from orders where o_orderkey % 3 = 1) o using (draft_id)) a) b) c"""
+
+
+@query("l02_external_spans", f"""with {redact_ctes("x", f"{CANDIDATES} union all select * from ({_OUTSIDE}) x")} select draft_id, redacted, removed from x_r""")
+def l02(t):
+    letters = V.drafts(t).select("draft_id", "matter_id", "text")
+    placed = V.model_spans(t).where("detector = 'tuned'").join(letters, "draft_id").select(
+        "draft_id", "start", "end", F.lit("org").alias("kind"), F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("entity")
+    )
+    named = t.sql(f"select o_orderkey as draft_id, {V.first_name('o_custkey')} as span_text, 'name' as kind from {{orders}} where o_orderkey % 3 = 1", orders=t.orders)
+    outside = placed.unionByName(redact.with_offsets(named, letters, "draft_id"))
+    out = redact.deidentify(letters, "draft_id", facts.fact_table(V.matters(t)), extra_spans=outside)
+    return out.select("draft_id", "redacted", F.col("removed").cast("bigint").alias("removed"))
+
+
 @query("d06_identity_block", f"""select matter_id, 'M1: Client ' || client || ' (' || org_1 || ') v. the other side. Matter type: general. Confidential: $' || ltrim(amount_1, '$') || '.' as block from ({V.MATTERS}) m""")
 def d06(t):
     return V.matters(t).select("matter_id", redact.identity_block(F.col("matter_id"), F.col("client"), F.col("facts")).alias("block"))
