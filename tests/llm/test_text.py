@@ -97,6 +97,54 @@ def test_scores_match_a_plain_model(odd_docs, sample, order, chunk, width):
         assert sorted((str(r["doc_id"]), *tuple(r)[1:5], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == plain_score([(r["doc_id"], r["text"]) for r in docs.collect()], order, 50.0)
 
 
+def made_automaton(texts, order, mu=2.0):
+    """The automaton of a chunk of its own training documents, and a name for each state."""
+    ids = [i for i in range(1000) if not ngrams.held_out(i)][: len(texts)]
+    tokens = [ngrams.token_numbers(t.encode()) for t in texts]
+    words, index = np.unique(np.concatenate(tokens), return_inverse=True)
+    c = ngrams.Chunk(ids, [len(x) for x in tokens], ngrams.steps(words), ngrams.squeezed(index.astype("<u4")), order)
+    totals = [c.lists(n)[1].astype(np.int64) for n in range(1, order + 1)]
+    a = ngrams.Automaton(c, totals, int(totals[0].sum()), int((totals[0] > 0).sum()), len(texts), mu)
+    names, padded, at = {0: ""}, [["^"] * (order - 1) + [*t.split(), "$"] for t in texts], 0
+    for n in range(1, order):
+        names[a.opening[n]] = " ".join(["^"] * n)
+    for p in padded:
+        for k in range(order - 1, len(p)):
+            for n in range(1, order):
+                names[int(a.base[n] + c.lists(n)[2][at])] = " ".join(p[k - n + 1 : k + 1])
+            at += 1
+    return c, a, names
+
+
+def test_a_walker_takes_failure_arcs_until_an_arc_fits():
+    c, a, names = made_automaton(["a b c a b d", "b c a", "a b c"], 3)
+    number = {w: int(a.words[[*"abcabd", "$", *"bca", "$", *"abc", "$"].index(w)]) for w in "abcd$"}
+    state, visited, failed = np.array([a.opening[-1]]), [], []
+    for w in "abdcab":
+        at, fails = int(state[0]), 0
+        while at != 0 and at * a.n_words + number[w] not in a.arcs:
+            at, fails = int(a.failure[at]), fails + 1
+        state, _ = a.step(state, np.array([number[w]]))
+        visited.append(names[int(state[0])])
+        failed.append(fails)
+    # "b d" is known, "d c" is not: two failures lead to the empty history, whose arc leads to "c"
+    assert visited == ["^ a", "a b", "b d", "c", "c a", "a b"] and failed == [0, 0, 0, 2, 0, 0]
+    chain = [a.opening[2]]
+    while chain[-1]:
+        chain.append(int(a.failure[chain[-1]]))
+    assert [names[s] for s in chain] == ["^ ^", "^", ""]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_walkers_of_segments_sum_up_to_one_walk(order):
+    draw = random.Random(order)
+    texts = [" ".join(draw.choice("abcde") for _ in range(n)) for n in (0, 1, 5, 63, 64, 65, 400)]
+    c, a, _ = made_automaton(texts, order)
+    whole = ngrams.walk(c, a, 10_000)
+    for segment in (order, 7, 64):
+        assert np.allclose(ngrams.walk(c, a, segment), whole, rtol=1e-12)
+
+
 def test_held_out_documents_are_likelier_than_by_the_base(spark, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     s = ngrams.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()

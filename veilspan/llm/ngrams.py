@@ -4,9 +4,12 @@ Tokens are the words, A-Z lower-cased, then one end for each document. Counts of
 
     P(w | h) = (c(h w) + MU * P(w | h')) / (c(h) + MU),      P(w) = (c(w) + 1) / (N + V + 1),
 
-where h' is h without its first word. As an automaton: the seen histories are the states; a seen n-gram is an arc that weighs the log of the
-whole formula; the failure arc of a state leads to h' and weighs log(MU / (c(h) + MU)). A document is one walk from left to right that
-carries its state and adds up weights; it is done for many documents at once, with one array step for each failure level.
+where h' is h without its first word. As an automaton: the seen histories are the states; a seen n-gram h w is an arc that weighs the log of
+the whole formula and leads to the longest suffix of h w that is a state; the failure arc of a state leads to h' and weighs
+log(MU / (c(h) + MU)). The empty history is a state with an arc for every word. A document is one walk from left to right: at each
+token the walker takes failure arcs until its state has an arc for the token, takes it, and adds up what all of them weigh.
+Many walkers go side by side. What a state remembers is at most ORDER - 1 words, so a long text is walked in segments: a
+walker that starts inside a text reads the ORDER - 1 tokens before its segment first, and is then in the state it would have come in.
 
 The model grows with the corpus and is never held in one place. Documents are gathered to chunks of about ``CHUNK_TOKENS`` tokens,
 numbered once and written. Each chunk lists its distinct n-grams as 64-bit keys, with their counts in its training documents, and
@@ -38,6 +41,8 @@ ORDER, MU = 2, 50.0
 CHUNK_TOKENS = 1_000_000
 #: Keys that one range holds, about.
 RANGE_KEYS = 1_000_000
+#: Tokens of a text that one walker reads; a longer text has several walkers.
+SEGMENT = 1024
 FOLDS, HELD_OUT = 7, 2
 #: Token numbers that no word has: before a document's first word, and behind its last.
 START, END = np.uint64(xxhash.xxh64_intdigest(b"\n", 6)), np.uint64(xxhash.xxh64_intdigest(b" ", 6))
@@ -193,19 +198,97 @@ def answered(asks: DataFrame) -> DataFrame:
     return asks.groupBy("n", "range").applyInArrow(add_up, "chunk long, n int, range int, totals binary, all long, seen long")
 
 
-def walk(c: Chunk, found: list[np.ndarray], n_all: int, seen: int, documents: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model's log10 probability, base log10 probability and known tokens of each document of a chunk.
+class Automaton:
+    """States, arcs and failure arcs that a chunk's documents can meet.
 
-    found[n - 1] has the corpus count of the n-gram that ends at each token.
+    ``totals[n - 1]`` are the corpus counts of the chunk's distinct n-grams, in the order of ``Chunk.lists``. State 0 is the empty history; the
+    n-gram at place i of its list is state ``base[n] + i``; behind them stand the histories of n START marks, ``opening[n]``.
     """
-    unigram = (found[0] + 1) / (n_all + seen + 1)
-    weight = unigram
-    for n in range(2, c.order + 1):
-        # the count of a history is the count of the n-gram that ends one token earlier; all documents open with START alone
-        history = np.where(c.first, documents, np.concatenate([[0], found[n - 2][:-1]]))
-        weight = (found[n - 1] + mu * weight) / (history + mu)
-    total = lambda x: np.add.reduceat(x, c.starts) if len(c.starts) else np.zeros(0)
-    return total(np.log10(weight)), total(np.log10(unigram)), total((found[0] > 0).astype(np.int64))
+
+    def __init__(self, c: Chunk, totals: list[np.ndarray], n_all: int, seen: int, documents: int, mu: float):
+        order, places, last = c.order, [], []
+        for keys in c.keys:
+            _, rep, index = np.unique(keys, return_index=True, return_inverse=True)
+            places.append(index)
+            last.append(rep)
+        self.words, self.n_words, self.order = places[0], len(totals[0]), order
+        sizes = [len(t) for t in totals[: order - 1]]
+        self.base = [0, *(1 + sum(sizes[:n]) for n in range(order - 1))]
+        self.opening = [0, *(1 + sum(sizes) + n for n in range(order - 1))]
+        n_states = sum(sizes) + order
+        self.failure, self.fail_weight = np.zeros(n_states, np.int64), np.zeros(n_states)
+        for n in range(1, order):
+            at = slice(self.base[n], self.base[n] + sizes[n - 1])
+            # the suffix that lacks the first word ends at the same token
+            self.failure[at] = self.base[n - 1] + places[n - 2][last[n - 1]] if n > 1 else 0
+            self.fail_weight[at] = np.log10(mu / (totals[n - 1] + mu))
+            self.failure[self.opening[n]] = self.opening[n - 1]
+            self.fail_weight[self.opening[n]] = np.log10(mu / (documents + mu))
+        weight = (totals[0] + 1) / (n_all + seen + 1)
+        self.root_weight = np.log10(weight)
+        self.root_target = np.where(totals[0] > 0, 1 + np.arange(self.n_words), 0) if order > 1 else np.zeros(self.n_words, np.int64)
+        codes, weights, targets = [], [], []
+        for n in range(2, order + 1):
+            rep, total, opens = last[n - 1], totals[n - 1], c.first[last[n - 1]]
+            before = places[n - 2][rep - 1]
+            # the count of a history is the count of the n-gram that ends one token earlier; all documents open with START alone
+            weight = (total + mu * weight[places[n - 2][rep]]) / (np.where(opens, documents, totals[n - 2][before]) + mu)
+            source = np.where(opens, self.opening[n - 1], self.base[n - 1] + before)
+            target = self.base[n] + np.arange(len(rep)) if n < order else self.base[n - 1] + places[n - 2][rep]
+            real = total > 0
+            codes.append((source * self.n_words + places[0][rep])[real])
+            weights.append(np.log10(weight[real]))
+            targets.append(target[real])
+        self.arcs = np.concatenate([np.zeros(0, np.int64), *codes])
+        by_code = np.argsort(self.arcs)
+        self.arcs = self.arcs[by_code]
+        self.arc_weight, self.arc_target = np.concatenate([np.zeros(0), *weights])[by_code], np.concatenate([np.zeros(0, np.int64), *targets])[by_code]
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where walkers come on reading one word each, and what the arcs they took weigh."""
+        states, weights, left = states.copy(), np.zeros(len(states)), np.arange(len(states))
+        while len(left):
+            at, word = states[left], words[left]
+            root = at == 0
+            if root.any():
+                done, read = left[root], word[root]
+                states[done] = self.root_target[read]
+                weights[done] += self.root_weight[read]
+                left, at, word = left[~root], at[~root], word[~root]
+            if not len(left) or not len(self.arcs):
+                fails = np.ones(len(left), bool)
+            else:
+                code = at * self.n_words + word
+                place = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
+                fails = self.arcs[place] != code
+                done, place = left[~fails], place[~fails]
+                states[done] = self.arc_target[place]
+                weights[done] += self.arc_weight[place]
+            left, at = left[fails], at[fails]
+            weights[left] += self.fail_weight[at]
+            states[left] = self.failure[at]
+        return states, weights
+
+
+def walk(c: Chunk, automaton: Automaton, segment: int = SEGMENT) -> np.ndarray:
+    """The log10 probability of each document of a chunk: walkers go through segments of the texts, all at once."""
+    segments = -(-c.sizes // segment)
+    doc = np.repeat(np.arange(len(c.sizes)), segments)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(segments) - segments, segments)
+    warm = np.where(nth > 0, c.order - 1, 0)
+    begin = c.starts[doc] + nth * segment - warm
+    left = warm + np.minimum(segment, c.sizes[doc] - nth * segment)
+    longest = np.argsort(-left, kind="stable")
+    begin, left, warm, inside = begin[longest], left[longest], warm[longest], nth[longest] > 0
+    states = np.where(inside, 0, automaton.opening[-1])
+    weights = np.zeros(len(doc))
+    for k in range(int(left[0]) if len(left) else 0):
+        going = int(np.searchsorted(-left, -k))  # walkers with more than k tokens stand in front
+        states[:going], gained = automaton.step(states[:going], automaton.words[begin[:going] + k])
+        weights[:going] += np.where(k >= warm[:going], gained, 0.0)
+    ordered = np.empty(len(doc))
+    ordered[longest] = weights
+    return np.bincount(doc, ordered, len(c.sizes))
 
 
 def score(docs: DataFrame, order: int = ORDER, mu: float = MU, chunk_tokens: int = CHUNK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
@@ -223,11 +306,11 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, chunk_tokens: int
         own = left.to_pylist()[0]
         answers = sorted((r["n"], r["range"], r["totals"]) for r in right.to_pylist())
         c = Chunk(own["doc_ids"], own["sizes"], own["words"], own["index"], order)
-        found = []
-        for n in range(1, order + 1):
-            _, _, index = c.lists(n)
-            found.append(np.concatenate([unsqueezed(t, "<i8") for m, _, t in answers if m == n])[index])
-        model, base, known = walk(c, found, n_all, seen, documents, mu)
+        totals = [np.concatenate([unsqueezed(t, "<i8") for m, _, t in answers if m == n]) for n in range(1, order + 1)]
+        automaton = Automaton(c, totals, n_all, seen, documents, mu)
+        model = walk(c, automaton)
+        base = np.add.reduceat(automaton.root_weight[automaton.words], c.starts)
+        known = np.add.reduceat((totals[0] > 0)[automaton.words].astype(np.int64), c.starts)
         return pa.Table.from_pydict(
             {"doc_id": c.doc_ids, "held_out": c.out, "n_tokens": c.sizes, "n_known": known, "train_tokens": [n_all] * len(c.out), "base_score": base, "score": model},
             schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]),
