@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import arrow_stage, cut_lineage, query, raw_text, read
 
-ORDER, MU = 2, 50.0
+ORDER, MU = 3, 50.0
 CHUNK_TOKENS = 1_000_000
 #: Keys that one range holds, about.
 RANGE_KEYS = 1_000_000
