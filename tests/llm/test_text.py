@@ -101,8 +101,9 @@ def made_automaton(texts, order, mu=2.0):
     """The automaton of a chunk of its own training documents, and a name for each state."""
     ids = [i for i in range(1000) if not ngrams.held_out(i)][: len(texts)]
     tokens = [ngrams.token_numbers(t.encode()) for t in texts]
-    words, index = np.unique(np.concatenate(tokens), return_inverse=True)
-    c = ngrams.Chunk(ids, [len(x) for x in tokens], ngrams.steps(words), ngrams.squeezed(index.astype("<u4")), order)
+    words, index, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    rank = np.argsort(ngrams.by_frequency(often))
+    c = ngrams.Chunk(ids, [len(x) for x in tokens], ngrams.steps(words), ngrams.squeezed(often.astype("<u4")), ngrams.squeezed(rank[index].astype("<u4")), order)
     totals = [c.lists(n)[1].astype(np.int64) for n in range(1, order + 1)]
     a = ngrams.Automaton(c, totals, int(totals[0].sum()), int((totals[0] > 0).sum()), len(texts), mu)
     names, padded, at = {0: ""}, [["^"] * (order - 1) + [*t.split(), "$"] for t in texts], 0

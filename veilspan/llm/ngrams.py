@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from veilspan.llm.common import arrow_stage, cut_lineage, query, raw_text, read
 
 ORDER, MU = 3, 50.0
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 1_500_000
 #: Keys that one range holds, about.
 RANGE_KEYS = 1_000_000
 #: Tokens of a text that one walker reads; a longer text has several walkers.
@@ -69,6 +69,11 @@ def from_steps(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueezed(data, "<u8"), dtype=np.uint64)
 
 
+def by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Places of the most frequent first, equal ones in their order."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id or 0).encode()) % FOLDS == HELD_OUT
 
@@ -114,10 +119,13 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
 
         def close():
             tokens = np.concatenate([x[1] for x in held])
-            distinct, index = np.unique(tokens, return_inverse=True)
+            distinct, index, often = np.unique(tokens, return_inverse=True, return_counts=True)
+            # words are numbered by how often they stand here, so that most numbers are small
+            rank = np.empty(len(distinct), np.int64)
+            rank[by_frequency(often)] = np.arange(len(distinct))
             return {
                 "chunk": [part << 32 | serial], "doc_ids": [[x[0] for x in held]], "sizes": [[len(x[1]) for x in held]],
-                "words": [steps(distinct)], "index": [squeezed(index.astype("<u4"))], "n_tokens": [len(tokens)],
+                "words": [steps(distinct)], "often": [squeezed(often.astype("<u4"))], "index": [squeezed(rank[index].astype("<u4"))], "n_tokens": [len(tokens)],
             }
 
         for batch in batches:
@@ -131,15 +139,15 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             yield close()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("text"))
-    return arrow_stage(texts, rows, "chunk long, doc_ids array<long>, sizes array<long>, words binary, index binary, n_tokens long")
+    return arrow_stage(texts, rows, "chunk long, doc_ids array<long>, sizes array<long>, words binary, often binary, index binary, n_tokens long")
 
 
 class Chunk:
     """One chunk's tokens, unpacked: the walk's places."""
 
-    def __init__(self, doc_ids: list, sizes: list[int], words: bytes, index: bytes, order: int):
+    def __init__(self, doc_ids: list, sizes: list[int], words: bytes, often: bytes, index: bytes, order: int):
         self.doc_ids, self.sizes = doc_ids, np.array(sizes, np.int64)
-        self.tokens = from_steps(words)[unsqueezed(index, "<u4")]
+        self.tokens = from_steps(words)[by_frequency(unsqueezed(often, "<u4"))][unsqueezed(index, "<u4")]
         self.starts = np.cumsum(self.sizes) - self.sizes
         first = np.zeros(len(self.tokens), bool)
         first[self.starts] = True
@@ -172,7 +180,7 @@ def asked(packed: DataFrame, order: int, ranges: int) -> DataFrame:
                         "keys": [steps(keys[cuts[k] : cuts[k + 1]]) for k in used], "counts": [squeezed(counts[cuts[k] : cuts[k + 1]].astype("<u4")) for k in used],
                     }
 
-    return arrow_stage(packed.select("chunk", "doc_ids", "sizes", "words", "index"), rows, "chunk long, n int, range int, keys binary, counts binary")
+    return arrow_stage(packed.select("chunk", "doc_ids", "sizes", "words", "often", "index"), rows, "chunk long, n int, range int, keys binary, counts binary")
 
 
 def answered(asks: DataFrame) -> DataFrame:
@@ -305,7 +313,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, chunk_tokens: int
     def rows(left, right):
         own = left.to_pylist()[0]
         answers = sorted((r["n"], r["range"], r["totals"]) for r in right.to_pylist())
-        c = Chunk(own["doc_ids"], own["sizes"], own["words"], own["index"], order)
+        c = Chunk(own["doc_ids"], own["sizes"], own["words"], own["often"], own["index"], order)
         totals = [np.concatenate([unsqueezed(t, "<i8") for m, _, t in answers if m == n]) for n in range(1, order + 1)]
         automaton = Automaton(c, totals, n_all, seen, documents, mu)
         model = walk(c, automaton)
