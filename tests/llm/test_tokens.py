@@ -111,19 +111,31 @@ def test_transducer_is_the_reference_encoding(spark, odd_docs, sample, no_docs):
 
 
 def test_transducer_begins_anew_when_full(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_STATES", 50)
+    monkeypatch.setattr(bpe, "MOST_BYTES", 20_000)
     ranks = bpe.load_ranks(RANKS)
     machine = bpe.Transducer(ranks)
-    for word in (b" transducers", b" determinised", b" lookahead", b" transducers"):
+    for word in (b" transducers", b" determinised", b" lookahead", b" transducers") * 5:
         assert [machine.bytes_of[i] for i in machine.encode(word)] == bpe.merged(word, ranks)
+        assert machine.held < 60_000  # one word beyond the bound, at most, pairs included
 
 
 def test_stream_decoder_holds_back_open_characters():
-    data = "aé日🙂z".encode() + b"\xff\xe2\x82" + "ü".encode()
+    rng = np.random.default_rng(5)
+    data = "aé日🙂z".encode() + b"\xff\xe2\x82" + "ü".encode() + b"\xf0\x9fA\xed\xa0\x80\xe2"
     for cut in range(1, 6):
-        d = bpe.StreamDecoder([])
-        out = "".join(d.feed(data[i : i + cut]) for i in range(0, len(data), cut)) + d.end()
-        assert out == data.decode("utf-8", "replace")
+        moves = bpe.TokenMoves([data[i : i + cut] for i in range(0, len(data), cut)])
+        for portion in (1, 2, 100):
+            d, ids = bpe.StreamDecoder(moves), np.arange(len(moves.tokens), dtype="<u4")
+            out = [d.feed(ids[k : k + portion]) for k in range(0, len(ids), portion)]
+            text = "".join(x.decode("utf-8", "replace") for x in [*out, d.end()])  # each portion by itself: no character is cut
+            assert text == data.decode("utf-8", "replace") and (d.state, d.held) == (0, b"")
+    bits = [b"a", b"\xe2", b"\x82", b"\xac", b"\xf0\x9f", b"\x99\x82!", b"\xc3", "é".encode(), b"\xed", b"\xa0", b"x\xe2\x82"]
+    moves = bpe.TokenMoves(bits)
+    for _ in range(300):
+        ids = rng.integers(0, len(bits), 30).astype("<u4")
+        d, cuts = bpe.StreamDecoder(moves), sorted(rng.integers(0, 31, 3).tolist())
+        out = [d.feed(x) for x in np.split(ids, cuts)] + [d.end()]
+        assert "".join(x.decode("utf-8", "replace") for x in out) == b"".join(bits[i] for i in ids).decode("utf-8", "replace")
 
 
 def test_memory_that_begins_anew_gives_the_same_ids(monkeypatch):

@@ -7,7 +7,8 @@ all places of a state have in common is emitted, so a token leaves after a looka
 moves are made when first met and remembered. Two tokens may follow each other if merging their bytes by rank gives them back; that is so if, while the merges
 beside the boundary are undone from the last to the first, no two parts that meet there had a merge due earlier.
 
-The decoder feeds bytes through a UTF-8 state machine and holds back only a character that is not complete yet.
+The decoder moves a UTF-8 state machine by whole tokens: what a token does to a state is worked out once and remembered. State and open
+bytes are carried from portion to portion, and only a character that is not complete yet is held back; digests are of the bytes it let out.
 
 Edge cases: null or empty text has no ids; repeated rows are encoded one by one; ids may be null; an empty table gives an empty table; bytes
 that are no UTF-8 are read as replacement characters. Other columns are not read.
@@ -32,8 +33,10 @@ from veilspan.llm.encoding import BYTE_PATTERN, NOT_PLAIN, PieceMemory, vocabula
 from veilspan.llm.packing import portions
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: States kept by a worker, at most; beyond it the transducer is compiled anew as texts need it.
-MOST_STATES = 500_000
+#: Bytes of states, moves and pairs of tokens that a worker keeps, at most (as estimated); beyond it the transducer is compiled anew as texts need it.
+MOST_BYTES = 160 << 20
+#: About what Python takes for a state with its number, a move, an emission and a pair, beside the bytes of a state and 8 for each token of an emission.
+STATE_COST, MOVE_COST, EMIT_COST, PAIR_COST = 240, 170, 190, 120
 CHUNK_IDS = 1 << 16
 
 
@@ -69,7 +72,6 @@ class Transducer:
                     self.tree.append({})
                     self.token_at.append(-1)
             self.token_at[node] = rank
-        self.follows: dict[tuple[int, int], bool] = {}
         self.halves = self._halves()
         self.joins = {pair: rank for rank, pair in self.halves.items()}
         self._begin()
@@ -78,6 +80,8 @@ class Transducer:
         #: State 0 is the start. A state is kept as packed numbers, see ``_pack``; a move as (next state) * 2 + (emits something).
         start = self._pack(-1, [(0, ())])
         self.number, self.states, self.moves, self.emits = {start: 0}, [start], {}, {}
+        self.follows: dict[int, bool] = {}
+        self.held = 0
 
     @staticmethod
     def _pack(last: int, places: list[tuple[int, tuple[int, ...]]]) -> bytes:
@@ -111,10 +115,12 @@ class Transducer:
         return out
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.follows.get((left, right))
+        key = left << 32 | right
+        known = self.follows.get(key)
         if known is None:
             made = right in self.halves or len(self.bytes_of[right]) == 1
-            known = self.follows[left, right] = made and (left < 0 or self._stays_apart(left, right))
+            known = self.follows[key] = made and (left < 0 or self._stays_apart(left, right))
+            self.held += PAIR_COST
         return known
 
     def _stays_apart(self, left: int, right: int) -> bool:
@@ -153,14 +159,17 @@ class Transducer:
         number = self.number.setdefault(new, len(self.states))
         if number == len(self.states):
             self.states.append(new)
+            self.held += STATE_COST + len(new)
         key = state << 8 | byte
         if n:
             self.emits[key] = first[:n]
+            self.held += EMIT_COST + 8 * n
         move = self.moves[key] = number << 1 | (n > 0)
+        self.held += MOVE_COST
         return move
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MOST_STATES:
+        if self.held > MOST_BYTES:
             self._begin()
         state, ids, moves, emits = 0, [], self.moves, self.emits
         for byte in piece:
@@ -211,34 +220,68 @@ def utf8_step(state: int, byte: int) -> int:
     return next((to for low, high, to in UTF8[state] if low <= byte <= high), -1)
 
 
-class StreamDecoder:
-    """Text from ids that come in portions; ``end`` gives what is left."""
+class TokenMoves:
+    """What a token does to the UTF-8 machine: the state behind it, and the bytes of it that are open, or -1 if all of them go on with an open character.
+
+    A byte that can't come ends the open character, as it is, and is read anew.
+    """
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens, self.held = tokens, b""
-
-    def raw(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
-    def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            if data[-back] >= 0xC0:  # the last character that may be open begins here
-                state = 0
-                for byte in data[-back:]:
-                    state = utf8_step(state, byte)
-                    if state < 0:
-                        break
-                cut -= back if state > 0 else 0
-                break
-            if data[-back] < 0x80:
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
-
-    def end(self) -> str:
-        rest, self.held = self.held.decode("utf-8", "replace"), b""
+        self.tokens = tokens
+        self.known: dict[int, tuple[int, int]] = {}
+        #: Whether a token is made of whole characters.
+        self.whole = np.array([self.move(0, i) == (0, 0) and self._valid(t) for i, t in enumerate(tokens)], bool)
+        self.known = {}
+
+    @staticmethod
+    def _valid(token: bytes) -> bool:
+        state = 0
+        for byte in token:
+            state = utf8_step(state, byte)
+            if state < 0:
+                return False
+        return state == 0
+
+    def move(self, state: int, token: int) -> tuple[int, int]:
+        key = token << 3 | state
+        known = self.known.get(key)
+        if known is None:
+            open_bytes = -1 if state else 0
+            for byte in self.tokens[token]:
+                to = utf8_step(state, byte)
+                if to < 0 and state:
+                    open_bytes, to = 0, utf8_step(0, byte)
+                state = max(to, 0)
+                open_bytes = 0 if state == 0 else open_bytes + (open_bytes >= 0)
+            known = self.known[key] = (state, open_bytes)
+        return known
+
+
+class StreamDecoder:
+    """Whole characters, as bytes, from ids that come in portions; ``end`` gives what is left open. The state is carried between portions."""
+
+    def __init__(self, moves: TokenMoves):
+        self.moves, self.state, self.held = moves, 0, b""
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        tokens, move = self.moves.tokens, self.moves.move
+        state, open_bytes, behind = self.state, len(self.held), 0
+        for at in np.flatnonzero(~self.moves.whole[ids]).tolist():
+            if at > behind:  # a whole character came: nothing is open behind it
+                state = open_bytes = 0
+            token = int(ids[at])
+            state, fresh = move(state, token)
+            open_bytes = open_bytes + len(tokens[token]) if fresh < 0 else fresh
+            behind = at + 1
+        if behind < len(ids):
+            state = open_bytes = 0
+        data = self.held + b"".join(map(tokens.__getitem__, ids.tolist()))
+        cut = len(data) - open_bytes
+        self.state, self.held = state, data[cut:]
+        return data[:cut]
+
+    def end(self) -> bytes:
+        rest, self.state, self.held = self.held, 0, b""
         return rest
 
 
@@ -248,12 +291,12 @@ def bpe_encoder(path: str) -> BpeEncoder:
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> list[bytes]:
+def token_moves(path: str) -> TokenMoves:
     ranks = load_ranks(path)
     out = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         out[rank] = token
-    return out
+    return TokenMoves(out)
 
 
 def encoded_rows(ranks: str, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -266,20 +309,21 @@ def encoded_rows(ranks: str, batches: Iterator[pa.RecordBatch]) -> Iterator[dict
 
 
 def decoded_rows(ranks: str, portions_of_ids: Iterable[dict[str, list]], text: bool) -> Iterator[dict[str, list]]:
-    tokens = token_bytes(ranks)
+    moves = token_moves(ranks)
     for columns in portions_of_ids:
         out: dict[str, list] = {"ids_sha256": [], "decoded_sha256": []} | ({"text": []} if text else {})
         for data in columns["ids"]:
-            stream, digest, parts = StreamDecoder(tokens), hashlib.sha256(), []
+            stream, digest, parts = StreamDecoder(moves), hashlib.sha256(), []
             numbers = np.frombuffer(data, "<u4")
-            for k in range(0, len(numbers), CHUNK_IDS):
-                raw = stream.raw(numbers[k : k + CHUNK_IDS].tolist())
-                digest.update(raw)
-                parts.append(stream.feed(raw))
+            for k in range(0, len(numbers) + 1, CHUNK_IDS):
+                let_out = stream.feed(numbers[k : k + CHUNK_IDS]) + (stream.end() if k + CHUNK_IDS > len(numbers) else b"")
+                digest.update(let_out)
+                if text:
+                    parts.append(plain(let_out))
             out["ids_sha256"].append(hashlib.sha256(data).hexdigest())
             out["decoded_sha256"].append(digest.hexdigest())
             if text:
-                out["text"].append("".join([*parts, stream.end()]))
+                out["text"].append("".join(parts))
         yield {"doc_id": columns["doc_id"], "n_tokens": columns["n_tokens"]} | out
 
 
