@@ -46,6 +46,21 @@ def test_recall_on_the_given_vectors(spark):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_recall_with_lengths_that_differ(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x *= (rng.lognormal(sigma=0.5, size=3000) / np.linalg.norm(x, axis=1))[:, None]
+    x[1234] *= 100  # one outlier
+    x[1300] *= 1e-200
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(ann.search(df)), plain_nearest(rows, 20, 20)
+    assert all(len(v) == 20 for v in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+    exact = found(ann.search(df, sure=1.1, tables=1, probes=1, slice_rows=700))
+    assert {q: [i for i, _ in v] for q, v in exact.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(2).normal(size=(9, 13))
     assert np.allclose(np.linalg.norm(ann.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))

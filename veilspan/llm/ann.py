@@ -2,9 +2,11 @@
 
 Each of ``TABLES`` tables turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and puts a
 vector into the bucket of the signed axis nearest to it. A query looks into its ``PROBES`` nearest axes of each table, and what it meets there
-is ranked by the exact inner product; the probes grow with the number of axes. Where the vectors of a dimension differ in length the largest
-inner product is not the smallest angle: there one table is searched whole, which is exact and scores as many pairs as the probes
-of all tables do. A query that met fewer candidates than it may return gets all buckets of one table in a second pass.
+is ranked by the exact inner product; the probes grow with the number of axes. The tables find small angles. So candidates lie in bands of
+length, each at most ``BAND`` times as long as its shortest: the score of a query's last result, by the query's length and a band's longest vector, is the least cosine with which
+the band could still better it. Where that is under ``SURE``, the tables could miss the pair, and the query meets the whole band in a second
+pass, which is exact; so does a query that met fewer candidates than it may return. One outlier in length costs a band of one row, and with
+more rows the last result's cosine grows, so that less is left to the second pass.
 
 Equal vectors are one row that knows its smallest ids, as many as a result can hold. The sizes of the buckets, of which there is a fixed
 number, are counted first; a large bucket is dealt out as slices, and each slice of queries meets each slice of candidates in a task of
@@ -32,6 +34,12 @@ TABLES, PROBES, NEAREST = 8, 16, 20
 ROUNDS = 3
 #: Axes for which ``PROBES`` is meant.
 AXES = 128
+#: The cosine from which the tables are trusted to meet a pair: at 0.3 they meet 0.96 of pairs in 64 dimensions.
+SURE = 0.3
+#: A band's longest vector by its shortest; unit vectors lie in the middle of theirs.
+BAND = math.sqrt(2)
+#: Groups that the lists of copies of one vector are gathered in first.
+SALTS = 64
 #: Rows of a slice of a bucket, of candidates and of queries.
 SLICE_ROWS = 20_000
 #: Scores held at once by a task.
@@ -72,8 +80,14 @@ def axes_of(dim: int) -> int:
     return 2 << max(1, (dim - 1).bit_length())
 
 
+def length(x: np.ndarray) -> float:
+    """The length, also where squares would be too small or too large."""
+    most = np.abs(x).max()
+    return float(most * np.linalg.norm(x / most))
+
+
 def distinct(vectors: DataFrame, kept: int, every: int) -> DataFrame:
-    """rep, dim, length, vector (doubles), ids: each distinct vector with its ``kept`` smallest ids, and whether a query has it."""
+    """rep, dim, band, length, vector (doubles), ids: each distinct vector with its ``kept`` smallest ids, and whether a query has it."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -84,18 +98,22 @@ def distinct(vectors: DataFrame, kept: int, every: int) -> DataFrame:
                     found.setdefault(x.tobytes(), []).append(key)
             yield {
                 "vector": list(found), "ids": [sorted(set(v))[:kept] for v in found.values()], "asks": [any(i % every == 0 for i in v) for v in found.values()],
-                "length": [float(np.linalg.norm(np.frombuffer(v))) for v in found],
+                "length": [length(np.frombuffer(v)) for v in found],
             }
 
     some = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     parts = arrow_stage(some, rows, "vector binary, ids array<long>, asks boolean, length double")
-    # a vector comes once from each batch at most, however many rows have it
-    whole = parts.groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, kept).alias("ids"), F.max("asks").alias("asks"), F.max("length").alias("length"))
-    return whole.select(F.col("ids")[0].alias("rep"), (F.length("vector") / 8).cast("int").alias("dim"), "length", "vector", "ids", "asks")
+    # a vector comes once from each batch at most, however many rows have it; its lists are cut twice, so that no row holds more than SALTS of them
+    smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, kept).alias("ids")
+    others = [F.max("asks").alias("asks"), F.max("length").alias("length")]
+    some_ids = parts.groupBy("vector", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).alias("salt")).agg(smallest, *others)
+    whole = some_ids.groupBy("vector").agg(smallest, *others)
+    band = F.floor(F.log(F.col("length")) / math.log(BAND) + 0.5).cast("int").alias("band")
+    return whole.select(F.col("ids")[0].alias("rep"), (F.length("vector") / 8).cast("int").alias("dim"), band, "length", "vector", "ids", "asks")
 
 
-def placed(vectors: DataFrame, tables: int, looks: dict[int, tuple[int, int]]) -> DataFrame:
-    """rep, dim, bucket (table and axis), vector, ids: one row for each bucket of a vector. looks: each dimension's tables and probes."""
+def placed(vectors: DataFrame, tables: int, looks: dict[int, int]) -> DataFrame:
+    """rep, dim, bucket (table and axis), vector, ids: one row for each bucket of a vector. looks: each dimension's probes."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -103,11 +121,11 @@ def placed(vectors: DataFrame, tables: int, looks: dict[int, tuple[int, int]]) -
             dims = np.array(dim)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                own_tables, probes = looks[d]
                 x = np.frombuffer(b"".join(vector[i] for i in at)).reshape(-1, d)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                for table in range(own_tables):
-                    axes = nearest_axes(x, table, probes)
+                for table in range(tables):
+                    axes = nearest_axes(x, table, looks[d])
                     who = np.repeat(at, axes.shape[1]).tolist()
                     yield {
                         "rep": [rep[i] for i in who], "dim": [d] * len(who), "bucket": (axes.ravel() * tables + table).tolist(),
@@ -121,7 +139,7 @@ def in_slices(rows: DataFrame, own: dict[tuple[int, int], int], other: dict[tupl
     """Each row in one of its bucket's slices of this side, once for each slice of the other side."""
     spark = rows.sparkSession
     both = [(d, b, own.get((d, b), 1), other.get((d, b), 1)) for d, b in own.keys() | other.keys()]
-    sizes = spark.createDataFrame(both or [(0, 0, 1, 1)], "dim int, bucket int, own int, other int")  # a fixed number of buckets for each dimension
+    sizes = spark.createDataFrame(both or [(0, 0, 1, 1)], "dim int, bucket int, own int, other int")  # a fixed number of buckets, or of bands, for each dimension
     wide = rows.join(F.broadcast(sizes), ["dim", "bucket"])
     return wide.withColumn(mine, F.pmod(F.xxhash64("rep"), F.col("own")).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col("other") - 1))).drop("own", "other")
 
@@ -151,16 +169,12 @@ def best(queries: np.ndarray, candidates: np.ndarray, reps: np.ndarray, k: int)
             yield begin + i, exact[order], at[order]
 
 
-def search(vectors: DataFrame, k: int = NEAREST, every: int = 20, tables: int = TABLES, probes: int = PROBES, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest found of each row whose vec_id is divisible by ``every``."""
+def search(vectors: DataFrame, k: int = NEAREST, every: int = 20, tables: int = TABLES, probes: int = PROBES, slice_rows: int = SLICE_ROWS, sure: float = SURE) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest found of each row whose vec_id is divisible by ``every``; with ``sure`` over 1 all are exact."""
     reps = cut_lineage(distinct(vectors, k + 1, every), "vectors")
-    kinds = reps.groupBy("dim").agg(F.max("length").alias("longest"), F.min("length").alias("shortest"), F.count(F.lit(1)).alias("n"))
-    looks, many = {}, {}
-    for r in kinds.collect():
-        axes, even = axes_of(r["dim"]), r["longest"] <= r["shortest"] * (1 + 1e-6)
-        looks[r["dim"]] = (tables, max(probes, -(-probes * axes // AXES))) if even else (1, axes)
-        many[r["dim"]] = r["n"]
-    index = cut_lineage(placed(reps, tables, {d: (own, 1) for d, (own, _) in looks.items()}), "index")
+    bands = reps.groupBy("dim", F.col("band").alias("bucket")).agg(F.max("length").alias("longest"))
+    dims = [r["dim"] for r in reps.select("dim").distinct().collect()]
+    index = cut_lineage(placed(reps, tables, dict.fromkeys(dims, 1)), "index")
 
     def meet(queries, candidates):
         out: dict[str, list] = {"rep": [], "found": []}
@@ -173,25 +187,31 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = 20, tables: int =
                 out["found"].append([{"less": -s, "rep": int(reps_of[j]), "ids": ids[j]} for s, j in zip(scores.tolist(), at.tolist(), strict=True)])
         return pa.Table.from_pydict(out, schema=pa.schema([("rep", pa.int64()), ("found", pa.list_(pa.struct([("less", pa.float64()), ("rep", pa.int64()), ("ids", pa.list_(pa.int64()))])))]))
 
-    def nearest(queries: DataFrame, index: DataFrame, looks: dict[int, tuple[int, int]]) -> DataFrame:
-        probed = cut_lineage(placed(queries, tables, looks), "probes")
-        own, other = slices(index, slice_rows), slices(probed, slice_rows)
-        left = in_slices(probed, other, own, "q_slice", "c_slice")
+    def nearest(asking: DataFrame, index: DataFrame) -> DataFrame:
+        """rep, found: up to k + 1 lists of each bucket that a query looks into."""
+        own, other = slices(index, slice_rows), slices(asking, slice_rows)
+        left = in_slices(asking, other, own, "q_slice", "c_slice")
         right = in_slices(index, own, other, "c_slice", "q_slice")
         key = ["dim", "bucket", "q_slice", "c_slice"]
-        met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "rep long, found array<struct<less double, rep long, ids array<long>>>")
-        # at most k + 1 from each bucket that a query looked into
-        return met.groupBy("rep").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
-
-    merged = cut_lineage(nearest(reps.where("asks"), index, looks), "merged")
-    # queries that met fewer than they may return look into all buckets of the first table
-    wanted = vectors.sparkSession.createDataFrame([(d, min(k + 1, n)) for d, n in many.items()], "dim int, wanted int")
-    short = cut_lineage(
-        reps.where("asks").join(merged.select("rep", F.size("found").alias("got")), "rep", "left").join(F.broadcast(wanted), "dim").where(F.coalesce("got", F.lit(0)) < F.col("wanted")).select(*reps.columns), "short"
-    )
-    if not short.isEmpty():
-        again = cut_lineage(nearest(short, index.where(F.col("bucket") % tables == 0), {d: (1, axes_of(d)) for d in looks}), "merged")
-        merged = merged.join(short.select("rep"), "rep", "left_anti").unionByName(again)
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "rep long, found array<struct<less double, rep long, ids array<long>>>")
+
+    def best_of(lists: DataFrame) -> DataFrame:
+        """rep, found: the k + 1 best of all lists of a query; a candidate met twice has the same score, so its copies are neighbours when sorted."""
+        ranked = lists.groupBy("rep").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("all"))
+        again = lambda x, i: (i > 0) & (x["rep"] == F.get("all", i - 1)["rep"])
+        return ranked.select("rep", F.slice(F.filter("all", lambda x, i: ~again(x, i)), 1, k + 1).alias("found"))
+
+    probed = cut_lineage(placed(reps.where("asks"), tables, {d: max(probes, -(-probes * axes_of(d) // AXES)) for d in dims}), "probes")
+    merged = cut_lineage(best_of(nearest(probed, index)), "merged")
+    # the least cosine with which a band could better a query's last result; bands that the tables are not sure of are met whole
+    last = F.when(F.size("found") > k, -F.col("found")[k]["less"])
+    asking = reps.where("asks").join(merged.select("rep", last.alias("last")), "rep", "left")
+    unsure = F.col("last").isNull() | (F.col("last") < sure * F.col("length") * F.col("longest"))
+    whole = asking.join(F.broadcast(bands), "dim").where(unsure).select("rep", "dim", "bucket", "vector", "ids")
+    whole = cut_lineage(whole, "unsure")
+    if not whole.isEmpty():
+        by_band = reps.select("rep", "dim", F.col("band").alias("bucket"), "vector", "ids")
+        merged = cut_lineage(best_of(merged.unionByName(nearest(whole, by_band.join(F.broadcast(whole.select("dim", "bucket").distinct()), ["dim", "bucket"])))), "merged")
     asks = vectors.where(F.col("vec_id").isNotNull() & (F.col("vec_id") % every == 0)).select(F.col("vec_id").cast("long").alias("query_id"), _packed(F.col("embedding")).alias("packed")).distinct()
     known = reps.where("asks").select("rep", "vector")
     queries = asks.join(known.withColumnRenamed("vector", "packed"), "packed").select("query_id", "rep")
