@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veilspan.llm import urls
@@ -28,21 +29,37 @@ def test_verdicts_match_a_plain_reading(spark):
         "http://free-bets/", "http://xfree-bets.org/", "http://ÄB.com/", "http://a.b/c\nd://e", "x://y://z/en/", "http://example.com/en", "http://user@example.com:80/en/", "http://...", "http://www.example.com/en/x?y",
     ]
     rows = [(i if i % 5 else None, u, None, "h", True, "v") for i, u in enumerate(odd)]
-    got = urls.judge(spark.createDataFrame(rows, PAGES), urls.RULES, urls.LISTED_NAMES).collect()
+    pages = spark.createDataFrame(rows, PAGES)
+    got = urls.judge(pages, urls.RULES, urls.hosts_named(pages, urls.LISTED_NAMES)).collect()
     assert sorted((r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in got) == sorted((h, p, r or "", v) for h, p, r, v in map(plain_verdict, odd))
-    assert urls.judge(spark.createDataFrame([], PAGES), urls.RULES, urls.LISTED_NAMES).count() == 0
-    assert {r["verdict"] for r in urls.judge(spark.createDataFrame(rows, PAGES), [], []).collect()} == {"allow"}
+    none = spark.createDataFrame([], PAGES)
+    assert urls.judge(none, urls.RULES, urls.hosts_named(none, urls.LISTED_NAMES)).count() == 0
+    assert {r["verdict"] for r in urls.judge(pages, [], urls.hosts_named(pages, [])).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
-    monkeypatch.setattr(urls, "BITS_PER_KEY", 2)  # many false positives, so many levels
+def test_the_list_is_a_table(spark):
+    hosts = ["a.b.org", "b.org", "x.b.org.uk", "c.com", "www.c.com", "d.net", "", "org"]
+    pages = spark.createDataFrame([(i, f"https://{h}/p", None, "h", True, "v") for i, h in enumerate(hosts)] + [(None, None, None, None, None, None)], PAGES)
+    listed = spark.createDataFrame([("b.org",), ("c.com",), ("c.com",), (None,), ("not-met.example",), ("uk",)], "key string")
+    got = urls.judge(pages, [], listed).collect()
+    assert sorted(r["host"] for r in got if r["verdict"] == "block") == sorted(["a.b.org", "b.org", "x.b.org.uk", "c.com", "www.c.com"]) and len(got) == 9
+
+
+def test_cascade_is_exact_over_its_universe(spark):
     random.seed(4)
     keys = spark.createDataFrame([(f"k{i}", random.random() < 0.2) for i in range(4000)], "key string, listed boolean")
-    cascade = urls.build(keys, shard_keys=300, group_bytes=150)
-    assert cascade.shards > 1 and len(cascade.groups) > 1 and max(len(x) for g in cascade.groups for x in g.values()) > 2
+    cascade = urls.build(keys, shard_keys=1000, group_bytes=150, bits_per_key=2)  # many false positives, so many levels
+    depth = [len(r["levels"]) for r in cascade.filters.collect()]
+    assert cascade.shards > 1 and 1 < len(cascade.groups) <= len(depth) and max(depth) > 2
     assert urls.mark_listed(F.array("key"), cascade, keys, "found").where("found <> listed").count() == 0
 
 
-def test_bits_are_found_again():
-    a, b = (np.arange(50, dtype=np.int64) * k for k in (7919, 104729))
-    assert not urls.passes(bytes(64), a, b).any() and urls.passes(b"\xff" * 64, a, b).all()
+def test_levels_are_exact_and_end():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(-(1 << 63), (1 << 63) - 1, 20_000) for _ in range(2))
+    for share in (0, 0.001, 0.5, 1):
+        listed = rng.random(20_000) < share
+        levels = urls.levels_of(a, b, listed)
+        assert (urls.found(levels, a, b) == listed).all() and sum(map(len, levels)) <= 3 * listed.sum() + 1000
+    with pytest.raises(ValueError, match="same 128 bits"):
+        urls.levels_of(np.zeros(2, np.int64), np.zeros(2, np.int64), np.array([True, False]))

@@ -3,28 +3,29 @@
 Keys are hosts and their parent domains. Level 0 is a Bloom filter of the listed keys; the universe's other keys that pass it by
 mistake are level 1; the listed keys that pass level 1 by mistake are level 2; and so on until a level lets nothing wrong through.
 A key of the universe is listed if the first level that rejects it is odd, or if it passes all of an odd number of levels: exact
-membership, with no join. Keys are dealt over shards by hash, each shard with filters of its own, sized by the shard's keys; the
-shards are broadcast in groups of at most ``GROUP_BYTES``, and a table of any number of groups is judged in as many narrow steps.
+membership, with no join of pages with the list. The list is a table of domains. Keys are dealt over shards by hash, by the number of all keys, and one task makes
+all levels of a shard from at most about ``SHARD_KEYS`` keys, as two 64-bit numbers each. The filters are a table in the shared folder; no filter
+of all shards is ever in one place. They are judged by in groups of at most ``GROUP_BYTES`` (or one shard): a group is sent, the pages are read past it, and it is
+let go before the next one, so that the driver and each executor hold one group at a time.
 
 A stated rule (host and its subdomains, path prefix) that fits a url comes first, the longest one wins.
 
 Edge cases: a null url and one without ``://`` have an empty host and path, which no rule fits and no list names, so they are allowed;
-an empty list blocks nothing; an empty table gives an empty table; repeated rows are judged one by one; ids may be null. Other columns
-are not read.
+an empty list blocks nothing, null domains on it and domains that the corpus does not have change nothing, and domains listed twice count once; an empty table gives
+an empty table; repeated rows are judged one by one; ids may be null. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import arrow_stage, cut_lineage, query, read
+from veilspan.llm.common import cut_lineage, query, read
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -33,6 +34,8 @@ LISTED_NAMES = ["ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills"
 BITS_PER_KEY, HASHES = 10, 7
 SHARD_KEYS = 1_000_000
 GROUP_BYTES = 64 << 20
+#: Levels shrink by about a hundred each; only two keys with the same 128 bits would never be told apart.
+MOST_LEVELS = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,107 +68,113 @@ def domains(host: Column) -> Column:
 
 @dataclass(frozen=True)
 class Cascade:
-    """bits[shard] is a list of levels, each a bit array as bytes; groups are the shards that are broadcast together."""
+    """filters: shard, levels (bit arrays); groups: the first and last shard of each group that is sent together."""
 
     shards: int
-    groups: list[dict[int, list[bytes]]]
+    filters: DataFrame
+    groups: list[tuple[int, int]]
 
 
-def _hashes(key: Column, level: int) -> list[Column]:
-    return [F.xxhash64(F.lit(2 * level + k), key) for k in (0, 1)]
+def _numbers(key: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(k), key).alias("ab"[k]) for k in (0, 1)]
 
 
-def _places(a: np.ndarray, b: np.ndarray, size: int, hashes: int) -> np.ndarray:
-    """Bit numbers of each key (rows) under each hash (columns), by double hashing."""
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards)).cast("int")
+
+
+def _mixed(x: np.ndarray, level: int) -> np.ndarray:
+    """Another 64-bit number for each level, by multiplying and shifting."""
     with np.errstate(over="ignore"):
-        return ((a.view(np.uint64)[:, None] + np.arange(hashes, dtype=np.uint64) * (b.view(np.uint64) | np.uint64(1))[:, None]) >> np.uint64(11)) % np.uint64(size)
-
-
-def passes(level: bytes, a: np.ndarray, b: np.ndarray, hashes: int = HASHES) -> np.ndarray:
-    bits = np.frombuffer(level, np.uint8)
-    at = _places(a, b, 8 * len(bits), hashes)
-    return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-
-def level_bytes(keys: int) -> int:
-    return max(8, (keys * BITS_PER_KEY + 7) // 8)
-
-
-def build(keys: DataFrame, shard_keys: int = SHARD_KEYS, group_bytes: int = GROUP_BYTES) -> Cascade:
-    """``keys``: key, listed (the universe, each key once). Every level is one pass over what the level before let through."""
-    listed = keys.where("listed").count()
-    shards = max(1, -(-listed // shard_keys))
-    shard = F.pmod(F.xxhash64(F.lit(-1), "key"), F.lit(shards)).cast("int")
-    now = cut_lineage(keys.select("key", "listed", shard.alias("shard")), "cascade")
-    levels: list[dict[int, bytes]] = []
-    while True:
-        inside = F.col("listed") if len(levels) % 2 == 0 else ~F.col("listed")
-        sizes = {r["shard"]: level_bytes(r["n"]) for r in now.where(inside).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not sizes:
-            break
-        levels.append(_level(now.where(inside), sizes, len(levels)))
-        now = cut_lineage(_let_through(now, levels[-1], len(levels) - 1, inside), "cascade")
-    groups: list[dict[int, list[bytes]]] = [{}]
+        y = x.view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (level + 1)) & 0xFFFFFFFFFFFFFFFF)
+        y = (y ^ (y >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        y = (y ^ (y >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return y ^ (y >> np.uint64(31))
+
+
+def _places(a: np.ndarray, b: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+    """The bit numbers of all keys under one hash after the other, by double hashing."""
+    at, step = _mixed(a, level), _mixed(b, level) | np.uint64(1)
+    for _ in range(HASHES):
+        yield (at >> np.uint64(11)) % np.uint64(size)
+        with np.errstate(over="ignore"):
+            at = at + step
+
+
+def passes(bits: bytes, a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
+    array = np.frombuffer(bits, np.uint8)
+    good = np.ones(len(a), bool)
+    for at in _places(a, b, level, 8 * len(array)):
+        good &= (array[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return good
+
+
+def filter_of(a: np.ndarray, b: np.ndarray, level: int, bits_per_key: int) -> bytes:
+    size = max(8, (len(a) * bits_per_key + 7) // 8)
+    bits = np.zeros(8 * size, bool)
+    for at in _places(a, b, level, 8 * size):
+        bits[at] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def levels_of(a: np.ndarray, b: np.ndarray, listed: np.ndarray, bits_per_key: int = BITS_PER_KEY) -> list[bytes]:
+    """All levels for the keys of a shard."""
+    levels: list[bytes] = []
+    inside, outside = np.flatnonzero(listed), np.flatnonzero(~listed)
+    while len(inside):
+        if len(levels) == MOST_LEVELS:
+            raise ValueError("a listed key and another one have the same 128 bits")
+        levels.append(filter_of(a[inside], b[inside], len(levels), bits_per_key))
+        wrong = outside[passes(levels[-1], a[outside], b[outside], len(levels) - 1)]
+        inside, outside = wrong, inside
+    return levels
+
+
+def found(levels: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each key is listed, by the first level that rejects it."""
+    out, alive = np.full(len(a), len(levels) % 2 == 1), np.arange(len(a))
+    for level, bits in enumerate(levels):
+        good = passes(bits, a[alive], b[alive], level)
+        out[alive[~good]] = level % 2 == 1
+        alive = alive[good]
+    return out
+
+
+def build(keys: DataFrame, shard_keys: int = SHARD_KEYS, group_bytes: int = GROUP_BYTES, bits_per_key: int = BITS_PER_KEY) -> Cascade:
+    """``keys``: key, listed (the universe, each key once). One shuffle of 21 bytes a key, then one task a shard."""
+
+    def levels(group: pa.Table) -> pa.Table:
+        a, b, listed = (group.column(c).to_numpy() for c in ("a", "b", "listed"))
+        return pa.Table.from_pydict({"shard": group.column("shard")[:1], "levels": [levels_of(a, b, listed.astype(bool), bits_per_key)]}, schema=pa.schema([("shard", pa.int32()), ("levels", pa.list_(pa.binary()))]))
+
+    keys = cut_lineage(keys.select(*_numbers(F.col("key")), "key", "listed"), "universe")
+    shards = max(1, -(-keys.count() // shard_keys))
+    dealt = keys.select(_shard(F.col("key"), shards).alias("shard"), "a", "b", "listed")
+    filters = cut_lineage(dealt.groupBy("shard").applyInArrow(levels, "shard int, levels array<binary>").where(F.size("levels") > 0), "cascade")
+    size = F.aggregate("levels", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    groups: list[tuple[int, int]] = []
     held = 0
-    for s in range(shards):
-        own = [x[s] for x in levels if s in x]
-        size = sum(map(len, own))
-        if held and held + size > group_bytes:
-            groups.append({})
+    for r in filters.select("shard", size.alias("size")).orderBy("shard").toLocalIterator():  # two numbers a shard
+        if not groups or held + r["size"] > group_bytes:
+            groups.append((r["shard"], r["shard"]))
             held = 0
-        groups[-1][s] = own
-        held += size
-    return Cascade(shards, groups)
-
-
-def _level(keys: DataFrame, sizes: dict[int, int], level: int) -> dict[int, bytes]:
-    """One filter per shard: bits are set in the tasks, bytes that meet are or-ed before and after the shuffle."""
-
-    def rows(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            shard, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            size = np.array([8 * sizes[s] for s in shard.tolist()], np.uint64)
-            with np.errstate(over="ignore"):
-                at = ((a.view(np.uint64)[:, None] + np.arange(HASHES, dtype=np.uint64) * (b.view(np.uint64) | np.uint64(1))[:, None]) >> np.uint64(11)) % size[:, None] if len(a) else np.zeros((0, HASHES), np.uint64)
-            yield {
-                "shard": np.repeat(shard, HASHES), "word": (at.ravel() >> np.uint64(6)).astype(np.int64),
-                "bits": (np.uint64(1) << (at.ravel() & np.uint64(63))).view(np.int64),
-            }
-
-    set_bits = arrow_stage(keys.select("shard", *[h.alias(f"h{i}") for i, h in enumerate(_hashes(F.col("key"), level))]), rows, "shard int, word long, bits long")
-    out = {s: np.zeros(-(-n // 8), np.uint64) for s, n in sizes.items()}
-    words = set_bits.groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
-    for r in words.toLocalIterator():
-        out[r["shard"]][r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    return {s: x.tobytes()[: sizes[s]] for s, x in out.items()}
-
-
-def _let_through(keys: DataFrame, filters: dict[int, bytes], level: int, inside: Column) -> DataFrame:
-    """The members of this level, and of the others those that its filters let through by mistake."""
-    sent = keys.sparkSession.sparkContext.broadcast(filters)
-
-    def rows(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            shard, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
-            good = np.asarray(batch.column(5).to_pylist(), bool)
-            for s in np.unique(shard):
-                at = np.flatnonzero((shard == s) & ~good)
-                good[at] = passes(sent.value[s], a[at], b[at]) if s in sent.value else False
-            yield batch.filter(pa.array(good)).select([0, 1, 2])
-
-    hashes = [h.alias(f"h{i}") for i, h in enumerate(_hashes(F.col("key"), level))]
-    wide = keys.select("key", "listed", "shard", *hashes, inside.alias("inside"))
-    return wide.mapInArrow(rows, "key string, listed boolean, shard int")
+        groups[-1] = (groups[-1][0], r["shard"])
+        held += r["size"]
+    return Cascade(shards, filters, groups)
 
 
 def mark_listed(keys: Column, cascade: Cascade, df: DataFrame, out: str) -> DataFrame:
     """``df`` with a boolean column ``out``: whether any of the array ``keys`` is listed. Only meaningful for keys of the universe."""
-    depth = max((len(x) for g in cascade.groups for x in g.values()), default=0)
-    shard = lambda k: F.pmod(F.xxhash64(F.lit(-1), k), F.lit(cascade.shards)).cast("int")
-    probes = F.transform(keys, lambda k: F.struct(shard(k).alias("shard"), F.array(*[h for level in range(depth) for h in _hashes(k, level)]).cast("array<long>").alias("h")))
+    context = df.sparkSession.sparkContext
+    probes = F.transform(keys, lambda k: F.struct(_shard(k, cascade.shards).alias("shard"), *_numbers(k)))
     wide = df.withColumns({out: F.lit(False), "__probes": probes})
-    for group in cascade.groups if depth else []:
-        wide = wide.mapInArrow(_tested(wide.sparkSession.sparkContext.broadcast(group), wide.columns.index(out)), wide.schema)
+    for i, (first, last) in enumerate(cascade.groups):
+        rows = cascade.filters.where(F.col("shard").between(first, last)).collect()  # at most GROUP_BYTES, or one shard
+        sent = context.broadcast({r["shard"]: [bytes(x) for x in r["levels"]] for r in rows})
+        wide = wide.mapInArrow(_tested(sent, wide.columns.index(out)), wide.schema)
+        if i + 1 < len(cascade.groups):  # the next group comes once this one is done with
+            wide = cut_lineage(wide, "judged")
+            sent.unpersist()
     return wide.drop("__probes")
 
 
@@ -176,16 +185,12 @@ def _tested(sent, at: int):
             probes = batch.column(batch.num_columns - 1)
             flat = probes.flatten()
             owner = np.repeat(np.arange(len(probes)), np.diff(probes.offsets.to_numpy()))
-            shard = flat.field("shard").to_numpy(zero_copy_only=False)
-            hashes = flat.field("h").flatten().to_numpy(zero_copy_only=False).reshape(len(shard), -1)
+            shard, a, b = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("shard", "a", "b"))
+            order = np.argsort(shard, kind="stable")
             listed = np.zeros(len(shard), bool)
-            for s, levels in group.items():
-                alive = np.flatnonzero(shard == s)
-                for level, bits in enumerate(levels):
-                    good = passes(bits, hashes[alive, 2 * level], hashes[alive, 2 * level + 1])
-                    listed[alive[~good]] = level % 2 == 1
-                    alive = alive[good]
-                listed[alive] = len(levels) % 2 == 1
+            for here in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                if len(here) and int(shard[here[0]]) in group:
+                    listed[here] = found(group[int(shard[here[0]])], a[here], b[here])
             columns = list(batch.columns)
             hit = np.array(columns[at].to_pylist(), bool)
             hit[owner[listed]] = True
@@ -195,13 +200,19 @@ def _tested(sent, at: int):
     return rows
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], names: list[str]) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed for every row of ``pages``."""
+def hosts_named(pages: DataFrame, names: list[str]) -> DataFrame:
+    """key: a list made from the corpus, of the domains whose first label is one of ``names``."""
+    keys = pages.select(F.explode(domains(host_of(F.col("url")))).alias("key")).distinct()
+    return keys.where(F.split("key", r"\.")[0].isin(names)) if names else keys.limit(0)
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed for every row of ``pages``. ``blocked``: key, domains that are listed with all their subdomains."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = parsed.select("host").distinct()
-    universe = hosts.select(F.explode(domains(F.col("host"))).alias("key")).distinct()
-    # a domain is on the list if its first label is a listed name; its subdomains are met through their parents
-    keys = universe.select("key", F.coalesce(F.split("key", r"\.")[0].isin(names), F.lit(False)).alias("listed"))
+    universe = parsed.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key"))
+    # subdomains are met through their parents; of the list only what the universe has is kept
+    both = universe.select("key", F.lit(False).alias("listed"), F.lit(True).alias("met")).unionByName(blocked.select("key", F.lit(True).alias("listed"), F.lit(False).alias("met")))
+    keys = both.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("listed").alias("listed"), F.max("met").alias("met")).where("met").select("key", "listed")
     seen = mark_listed(domains(F.col("host")), build(keys), parsed, "listed")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return seen.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
@@ -223,4 +234,5 @@ select page_id, host, path, case {rule} end as rule, case {verdict} when listed
 
 @query("op1_url_cascade", _sql())
 def op1_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    return judge(read(spark, folder, "pages"), RULES, LISTED_NAMES)
+    pages = read(spark, folder, "pages")
+    return judge(pages, RULES, hosts_named(pages, LISTED_NAMES))
