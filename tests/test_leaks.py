@@ -107,9 +107,10 @@ def test_partial_forms_and_common_words(spark):
 def test_ensemble_skips_failing_detector(spark):
     texts = spark.createDataFrame([(1, "mail a@b.org now")], "id int, text string")
     detect.register_detector("broken", lambda df, key, text: df.select("missing"))
-    skipped = []
-    rows = detect.ensemble(texts, "id", ["broken", "rules", "unknown"], skipped=skipped).collect()
+    skipped, reasons = [], {}
+    rows = detect.ensemble(texts, "id", ["broken", "rules", "unknown"], skipped=skipped, reasons=reasons).collect()
     assert [(r["start"], r["end"], r["kind"]) for r in rows] == [(5, 12, "email")] and skipped == ["broken", "unknown"]
+    assert reasons["unknown"] == "unknown" and "missing" in reasons["broken"]
 
 
 def test_containing_pairs_at_every_offset(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +102,7 @@ def spans_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 # --- ensemble ---------------------------------------------------------------
 
 _REGISTRY: dict = {}
+_LOG = logging.getLogger(__name__)
 
 
 def register_detector(name: str, fn) -> None:
@@ -118,22 +121,29 @@ def _rules(df: DataFrame, key: str, text: str) -> DataFrame:
 register_detector("rules", _rules)
 
 
-def ensemble(df: DataFrame, key: str, names: list[str], text: str = "text", skipped: list[str] | None = None) -> DataFrame:
+def ensemble(df: DataFrame, key: str, names: list[str], text: str = "text", skipped: list[str] | None = None, reasons: dict[str, str] | None = None) -> DataFrame:
     """Union of the named detectors; overlapping hits become one span, the earliest names the kind.
 
-    A detector that is unknown or cannot build its plan is left out (its name
-    goes to ``skipped``), so the others always run.
+    A detector that is unknown or cannot build its plan is left out, so the others always run. Its name
+    goes to ``skipped`` and what went wrong to ``reasons``, by name, and to the log, so that a fault is told from a missing one.
     """
-    parts = []
+    parts, left_out = [], {}
     for listed, name in enumerate(names):
-        try:
-            hits = _REGISTRY[name](df, key, text)
-            parts.append(hits.select(key, "start", "end", F.lit(listed).alias("listed"), "kind"))
-        except Exception:
-            if skipped is not None:
-                skipped.append(name)
+        detector, reason = _REGISTRY.get(name), "unknown"
+        if detector is not None:
+            try:
+                parts.append(detector(df, key, text).select(key, "start", "end", F.lit(listed).alias("listed"), "kind"))
+                continue
+            except Exception as e:
+                reason = f"{type(e).__name__}: {e}"
+        _LOG.warning("detector %s is left out: %s", name, reason)
+        left_out[name] = reason
+        if skipped is not None:
+            skipped.append(name)
+    if reasons is not None:
+        reasons.update(left_out)
     if not parts:
-        raise ValueError("no detector could run")
+        raise ValueError(f"no detector could run: {left_out}")
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
