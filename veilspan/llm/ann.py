@@ -34,7 +34,7 @@ TABLES, PROBES, NEAREST = 8, 16, 20
 ROUNDS = 3
 #: Axes for which ``PROBES`` is meant.
 AXES = 128
-#: The cosine from which the tables are trusted to meet a pair: at 0.3 they meet 0.96 of pairs in 64 dimensions.
+#: The cosine from which the tables are trusted to meet a pair: at 0.3 they met 0.97 of 4,000 random pairs in 64 dimensions, at 0.42 0.99.
 SURE = 0.3
 #: A band's longest vector by its shortest; unit vectors lie in the middle of theirs.
 BAND = math.sqrt(2)
