@@ -185,3 +185,15 @@ def test_left_out_phrases_shuffle_no_position_that_misses(spark):
     assert {(r["draft_id"], r["owner"], r["grams"]) for r in phrases.collect()} == {(0, "m1", 4), (1, "m0", 4)}
     plan = phrases._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("getbit") >= 2 and "Filter" in plan
+
+
+def test_literals_that_share_a_key_meet_a_place_once_for_each_length(spark):
+    values = [f"the grey ledger {n} kept" for n in range(1000, 3000)]
+    keyed = dictionary._keyed_literals(spark.createDataFrame([(v,) for v in values], "value string"), "value", False)
+    shapes = [r.asDict() for r in keyed.groupBy("a", "b").agg(F.max("n_pieces").alias("reach"), F.count("*").alias("rows")).collect()]
+    t = spark.createDataFrame([(k, f"Recall the grey ledger {k + 1000} kept here.") for k in range(50)], "k int, text string")
+    offered = dictionary.offered_keys(t, ["k"], "text", False, shapes, lambda key: F.lit(True)).join(keyed.select("key").distinct(), "key")
+    cut = dictionary.pieces_of_lengths(offered, ["k"], dictionary.lengths_of(keyed, "value", []), [], False, lambda key: F.lit(True))
+    assert cut.count() == 50
+    got = {(r["k"], r["value"]) for r in dictionary.literal_matches(t, "k", spark.createDataFrame([(v,) for v in values], "value string"), "value", False).collect()}
+    assert got == {(k, f"the grey ledger {k + 1000} kept") for k in range(50)}
