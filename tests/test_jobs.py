@@ -254,3 +254,28 @@ def test_a_batch_replayed_adds_nothing_and_order_survives_compaction(spark, tmp_
     assert rows == [f"{b}-{i}" for b in range(3) for i in range(50)]
     ledger.compact(spark, path, str(tmp_path / "one"))
     assert [r["summary"] for r in spark.read.parquet(str(tmp_path / "one")).orderBy(*order).collect()] == rows
+
+
+def test_texts_of_a_table_in_one_part_are_rendered_by_several_tasks(spark, tmp_path):
+    from veilspan.plans import world
+    from veilspan.plans.base import Tables
+
+    spark.range(25_000).selectExpr("id as o_orderkey", "id as o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    drafts = world.drafts(Tables(spark, str(tmp_path)))
+    assert drafts.groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.sum("count")).first()[:] == (3, 25_000)
+
+
+def test_held_out_rows_are_judged_once_for_both_sinks(spark, tmp_path):
+    from veilspan.sources import writers
+
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("struct<protected:array<string>>")
+    def row(value):
+        told.add(1)
+        return None if int(value) % 2 else {"protected": ["x"]}
+
+    lines = spark.range(10).select(F.col("id").cast("string").alias("value")).withColumn("row", row("value"))
+    writers.append_heldout(lines, f"{tmp_path}/kept", f"{tmp_path}/rejects")
+    assert spark.read.text(f"{tmp_path}/kept").count() == spark.read.json(f"{tmp_path}/rejects").count() == 5
+    assert told.value == 10
