@@ -279,3 +279,22 @@ def test_held_out_rows_are_judged_once_for_both_sinks(spark, tmp_path):
     writers.append_heldout(lines, f"{tmp_path}/kept", f"{tmp_path}/rejects")
     assert spark.read.text(f"{tmp_path}/kept").count() == spark.read.json(f"{tmp_path}/rejects").count() == 5
     assert told.value == 10
+
+
+def test_folders_are_written_by_several_tasks_whatever_their_bytes(spark, tmp_path, monkeypatch):
+    from veilspan.sources import writers
+
+    monkeypatch.setattr(writers, "FOLDERS_A_TASK", 10)
+    rows = spark.range(60).selectExpr("'M' || id as matter_id", "'{\"client\": \"C' || id || '\"}' as value")
+    odd = spark.createDataFrame([("a=b/c", '{"client": "odd"}'), (None, '{"client": "none"}')], "matter_id string, value string")
+    root = f"{tmp_path}/own"
+    told = []
+    monkeypatch.setattr(writers, "_write_local", lambda dealt, *more, f=writers._write_local: told.append(dealt.rdd.getNumPartitions()) or f(dealt, *more))
+    writers.write_folders(rows.unionByName(odd), "matter_id", root, "matter.json")
+    assert told == [7] and len(os.listdir(root)) == 62
+    rows.unionByName(odd).write.partitionBy("matter_id").text(f"{tmp_path}/spark")
+    (tmp_path / "own" / "matter.json").write_text('{"client": "beside"}')
+    os.makedirs(tmp_path / "own" / "matter_id=M1" / "deeper")
+    (tmp_path / "own" / "matter_id=M1" / "deeper" / "matter.json").write_text('{"client": "deeper"}')
+    own, theirs = (sorted((r["matter_id"], r["client"]) for r in readers.read_matters(spark, f"{tmp_path}/{x}", "*/*").collect()) for x in ("own", "spark"))
+    assert own == theirs and len(own) == 62

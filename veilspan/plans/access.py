@@ -12,7 +12,7 @@ from veilspan.plans.leaks import CREDITED, NOTE_GRAMS
 from veilspan.plans.redaction import _PARTS, DRAFTS_SQL, PARTS_EXPR, scrub_sql
 from veilspan.plans.redaction import _requests as _scrub_requests
 from veilspan.session import fresh_path
-from veilspan.sources import readers
+from veilspan.sources import readers, writers
 
 # --- search and page reads: letters are pages, a customer may read its own matter -----------------
 
@@ -296,16 +296,16 @@ def a10_kept(t):
 @query("a01_matter_folders", f"""select matter_id, client, practice, name_1 as first_name, 2 as n_details from ({V.MATTERS}) m""")
 def a01(t):
     root = fresh_path(t.spark, "matters")
-    m = V.matters(t).select("matter_id", F.col("matter_id").alias("id"), "client", "practice", "facts")
-    m.repartition("matter_id").write.partitionBy("matter_id").json(root)
-    rows = readers.read_matters(t.spark, root, "*/*.json")
+    m = V.matters(t).select("matter_id", F.to_json(F.struct(F.col("matter_id").alias("id"), "client", "practice", "facts")).alias("value"))
+    writers.write_folders(m, "matter_id", root, "matter.json")
+    rows = readers.read_matters(t.spark, root, "*/*")
     return rows.select("matter_id", "client", "practice", F.col("facts")["names"][0].alias("first_name"), F.size(F.col("facts")["distinctive"]).alias("n_details"))
 
 
 @query("a02_note_folders", f"""select matter_id, text from ({V.NOTES}) n""")
 def a02(t):
     root = fresh_path(t.spark, "notes")
-    V.notes(t).select("matter_id", "text").repartition("matter_id").write.partitionBy("matter_id").text(root)
+    writers.write_folders(V.notes(t).select("matter_id", F.col("text").alias("value")), "matter_id", root, "intake-note.txt")
     rows = readers.read_documents(t.spark, root, "*.txt")
     return rows.select("matter_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
 
