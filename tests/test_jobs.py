@@ -298,3 +298,13 @@ def test_folders_are_written_by_several_tasks_whatever_their_bytes(spark, tmp_pa
     (tmp_path / "own" / "matter_id=M1" / "deeper" / "matter.json").write_text('{"client": "deeper"}')
     own, theirs = (sorted((r["matter_id"], r["client"]) for r in readers.read_matters(spark, f"{tmp_path}/{x}", "*/*").collect()) for x in ("own", "spark"))
     assert own == theirs and len(own) == 62
+
+
+def test_training_set_takes_far_less_disk_than_its_messages(spark, tmp_path):
+    from veilspan.sources import writers
+
+    prompt = "Whatever is listed here never leaves the firm. " * 20
+    rows = spark.range(500).selectExpr(f"array(struct('system' as role, '{prompt}' as content), struct('user' as role, 'passage ' || id as content)) as messages")
+    writers.write_training_set(rows.unionByName(rows), f"{tmp_path}/train")
+    assert spark.read.json(f"{tmp_path}/train").selectExpr("messages[1].content as c").groupBy("c").count().where("count = 2").count() == 500
+    assert sum(f.stat().st_size for f in (tmp_path / "train").glob("part-*")) < 1000 * len(prompt) / 5
