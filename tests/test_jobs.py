@@ -308,3 +308,18 @@ def test_training_set_takes_far_less_disk_than_its_messages(spark, tmp_path):
     writers.write_training_set(rows.unionByName(rows), f"{tmp_path}/train")
     assert spark.read.json(f"{tmp_path}/train").selectExpr("messages[1].content as c").groupBy("c").count().where("count = 2").count() == 500
     assert sum(f.stat().st_size for f in (tmp_path / "train").glob("part-*")) < 1000 * len(prompt) / 5
+
+
+def test_labelled_rows_are_rendered_and_parsed_once(spark, tmp_path):
+    from veilspan.plans import training
+    from veilspan.plans.base import QUERIES, Tables
+
+    keys = [(1, 5), (1, 5), (2, 6), (7, None), (None, 3)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = training._json_lines(Tables(spark, str(tmp_path)))
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count(" Best wishes.") == 1
+    assert {r["row_id"]: r["count"] for r in lines.groupBy("row_id").count().collect()} == {1: 16, 2: 1, 7: 1}
+    blocks = QUERIES["b01_block_parser"](spark, str(tmp_path))
+    joins = [x for x in blocks._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any("regexp_replace" in x for x in joins)
+    assert sorted(r["row_id"] for r in blocks.collect()) == [1, 1, 1, 1, 2]
