@@ -56,6 +56,16 @@ def test_pipeline_stage_joins_near_copies_that_differ_in_many_bits(spark, odd_do
     assert stage(spark, no_docs, SF).count() == 0
 
 
+def test_fingerprints_and_pivots_find_candidates_that_no_band_holds(spark):
+    words = [f"w{i}" for i in range(400)]
+    far = [w if i % 20 else "x" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, [*words[:-1], "end"], far))], "doc_id long, text string")
+    distinct = near.marked(docs).selectExpr("set_key", "struct(false as unnamed, doc_id, text_key) as first", "size", "fp", "array(xxhash64(set_key)) as buckets")
+    keys = {r["first"]["doc_id"]: bytes(r["set_key"]) for r in distinct.collect()}
+    found = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in near.links(docs, distinct).collect()}
+    assert found == {frozenset((keys[0], keys[1]))}
+
+
 def test_recall_of_the_bands_at_the_threshold():
     rng, met = np.random.default_rng(3), 0
     for _ in range(2000):

@@ -3,9 +3,11 @@
 A document is its set of word shingles, as XXH64 hashes. Two documents are near copies if their sets have a Jaccard similarity of at least
 ``ALIKE``; linked documents form a component.
 
-Equal sets are one row. Candidates are pairs that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes each, which a pair of
-similarity s does with probability 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8. Every link is then verified by the exact similarity of the two
-sets, so none is false. Buckets with the same members are looked at once. A bucket is walked breadth first, so that a tight cluster
+Equal sets are one row. Candidates come from operator 7 first: each set has its SimHash fingerprint, fingerprints that differ in at most
+``simhash.BITS`` places are found by the pivot distance tables, and each component of them is a bucket. That radius holds most pairs of a
+similarity of 0.96 or more and few at 0.8, so sets that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes each share a bucket too,
+which a pair of similarity s does with probability 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8. Every link is then verified by the exact
+similarity of the two sets, so none is false. Buckets with the same members are looked at once. A bucket is walked breadth first, so that a tight cluster
 costs one comparison per member and leaves a spanning tree, not all pairs; a bucket of more than ``SLICE_SHINGLES`` shingles is dealt
 out as pairs of slices over several tasks, each of bounded size. None is capped. Only documents that share a bucket are read again
 for their shingles.
@@ -26,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.llm import simhash
 from veilspan.llm.common import arrow_stage, cut_lineage, raw_text, slices
-from veilspan.llm.simhash import components, first_rows, row_key, shingles, text_key
+from veilspan.llm.simhash import components, first_rows, majority, row_key, shingles, text_key
 
 WORDS = 5
 #: Similarity of 4 / 5 or more, as a fraction of whole numbers.
@@ -58,15 +61,16 @@ def set_key(own: np.ndarray) -> bytes:
 
 
 def marked(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """doc_id, text_key, set_key, size and buckets of each row."""
+    """doc_id, text_key, set_key, size, fingerprint (of the set, as a signed long) and buckets of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for part in (x for batch in batches for x in slices(batch, 2)):
             sets = [shingle_set(x, width) for x in part.column(2).to_pylist()]
-            yield {"doc_id": part.column(0), "text_key": part.column(1), "set_key": [set_key(x) for x in sets], "size": [len(x) for x in sets], "buckets": [buckets(x) for x in sets]}
+            fps = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
+            yield {"doc_id": part.column(0), "text_key": part.column(1), "set_key": [set_key(x) for x in sets], "size": [len(x) for x in sets], "fp": fps, "buckets": [buckets(x) for x in sets]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), raw_text().alias("text"))
-    return arrow_stage(texts, rows, "doc_id long, text_key long, set_key binary, size long, buckets array<long>")
+    return arrow_stage(texts, rows, "doc_id long, text_key long, set_key binary, size long, fp long, buckets array<long>")
 
 
 def walk(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -92,9 +96,16 @@ def walk(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
                 rest = np.setdiff1d(rest, new, assume_unique=True)
 
 
+def met_by_pivots(distinct: DataFrame) -> DataFrame:
+    """The same rows, with one more bucket: the component of their fingerprint by operator 7. A fingerprint that links to none is its own."""
+    found = components(simhash.links(distinct.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    component = F.xxhash64(F.lit("component"), F.coalesce("root", "fp"))
+    return distinct.join(found, "fp", "left").withColumn("buckets", F.concat("buckets", F.array(component))).drop("root")
+
+
 def links(docs: DataFrame, distinct: DataFrame, width: int = WORDS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
     """a, b: verified links that span the components of the set keys."""
-    placed = distinct.select("set_key", "size", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    placed = met_by_pivots(distinct).select("set_key", "size", F.explode(F.array_distinct("buckets")).alias("bucket"))
     shared = placed.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_key")).alias("y")
     ).where("members > 1")
@@ -134,7 +145,7 @@ def grouped(docs: DataFrame, width: int = WORDS, slice_shingles: int = SLICE_SHI
     """doc_id, text_key, root: rows of one component share their root."""
     rows = cut_lineage(marked(docs, width), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
-    distinct = cut_lineage(rows.groupBy("set_key").agg(first, F.first("size").alias("size"), F.first("buckets").alias("buckets")), "distinct-sets")
+    distinct = cut_lineage(rows.groupBy("set_key").agg(first, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")), "distinct-sets")
     roots = components(links(docs, distinct, width, slice_shingles)).select(F.col("node").alias("set_key"), "root")
     return rows.select("doc_id", "text_key", "set_key").join(roots, "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("root"))
 

@@ -50,7 +50,12 @@ def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = WORDS) -> int:
     """As an unsigned number; the zero fingerprint if there is no word."""
-    hashes = shingles(text, width).astype("<u8", copy=False)
+    return majority(shingles(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    hashes = hashes.astype("<u8", copy=False)
     if not len(hashes):
         return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
