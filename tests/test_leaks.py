@@ -179,6 +179,26 @@ def test_a_long_literal_does_not_widen_the_rows_before_the_join(spark):
     assert got == {(k, v) for k, text in [*texts, (999, f"so {long} on")] for v in {*needles, long} if v in text}
 
 
+def test_left_out_grams_are_shuffled_once_and_a_common_one_thrice_a_part(spark):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    docs = [(i, f"m{i % 7}", f"{body(i)} a tail that every single text of them has") for i in range(60)] + [(60, "m1", body(3)), (61, "m4", body(4)), (62, "m0", body(4))]
+    corpus = spark.createDataFrame(docs, "doc_id int, matter_id string, text string")
+    hits = carryover.left_out_grams(corpus)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(h1") == 1
+    got = {(r["draft_id"], r["matter_id"], r["owner"]) for r in hits.collect()}
+    assert got == {(3, "m3", "m1"), (60, "m1", "m3"), (62, "m0", "m4")}
+
+
+def test_corpus_is_dealt_in_parts_whatever_its_files(spark, monkeypatch):
+    monkeypatch.setattr(carryover, "PART_ROWS", 10)
+    docs = spark.range(95).selectExpr("nullif(id, 3) as doc_id", "string(id % 5) as matter_id", "'one two three four five six seven ' || id as text").coalesce(1)
+    parts = carryover.dealt(docs)
+    assert parts.rdd.getNumPartitions() == 10 and parts.count() == 95
+    owners = {tuple(r) for r in carryover.gram_owners(parts).groupBy("owners").count().collect()}
+    assert owners == {(1, 95), (5, 2)}
+    assert carryover.left_out_grams(docs).count() == 0  # each gram that is shared is one of five matters
+
+
 def test_left_out_phrases_shuffle_no_position_that_misses(spark):
     docs = spark.createDataFrame([(i, f"m{i % 3}", " ".join(f"w{i}x{k}" for k in range(50)) + " the very same tail of six words and more" * (i < 2)) for i in range(30)], "doc_id int, matter_id string, text string")
     phrases = carryover.left_out_phrases(docs)
