@@ -189,6 +189,13 @@ def test_left_out_grams_are_shuffled_once_and_a_common_one_thrice_a_part(spark):
     assert got == {(3, "m3", "m1"), (60, "m1", "m3"), (62, "m0", "m4")}
 
 
+def test_left_out_phrases_of_a_null_matter_and_of_repeated_rows(spark):
+    rows = [(1, None, "one two three four five six seven"), (2, "b", "zero one two three four five six seven"), (2, "b", "zero one two three four five six seven"), (3, "c", "nothing else in here at all today")]
+    got = carryover.left_out_phrases(spark.createDataFrame(rows, "doc_id int, matter_id string, text string")).collect()
+    # grams of a null owner are not merged; a repeated row tells each of its grams again
+    assert sorted((r["draft_id"], r["owner"] or "", r["first"], r["last"], r["grams"]) for r in got) == [(1, "b", 0, 6, 2), *2 * [(2, "", 1, 6, 1)], *2 * [(2, "", 2, 7, 1)]]
+
+
 def test_corpus_is_dealt_in_parts_whatever_its_files(spark, monkeypatch):
     monkeypatch.setattr(carryover, "PART_ROWS", 10)
     docs = spark.range(95).selectExpr("nullif(id, 3) as doc_id", "string(id % 5) as matter_id", "'one two three four five six seven ' || id as text").coalesce(1)
