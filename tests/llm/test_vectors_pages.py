@@ -96,6 +96,17 @@ def test_template_is_left_out_where_no_article_is_marked(spark):
     assert pages.extract(df).count() == len(rows) and pages.extract(df.limit(0)).count() == 0
 
 
+def test_template_is_left_out_of_articles_but_copies_stay_whole(spark):
+    def page(body):
+        return f"<html><body><div class='x1'>Top line</div><article>{body}<p class='x2'>Read more on our site</p></article></body></html>"
+
+    rows = [(i, f"https://one.example/{i}", page(f"<p>Story number {i} is told here at some length</p>").encode()) for i in range(6)]
+    rows += [(10 + i, f"https://two.example/{i}", page(f"<p>All pages here tell the same story in the same words but for {i}</p><p>And they all tell it to the end, word by word</p>").encode()) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html binary")).collect()}
+    assert [got[i] for i in range(6)] == [f"Story number {i} is told here at some length" for i in range(6)]
+    assert got[12] == "All pages here tell the same story in the same words but for 2\n\nAnd they all tell it to the end, word by word\n\nRead more on our site"
+
+
 def test_given_pages_give_their_articles(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in df.join(pages.extract(df).select("page_id", F.col("text")), "page_id").collect():
