@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -46,6 +47,27 @@ def test_detectors(spark, kind, text, expected):
         assert sorted(got) == sorted(expected)
 
 
+def test_texts_without_a_hint_are_not_searched_and_those_with_one_are(spark):
+    for kind, text, expected in CASES:
+        for n, pattern in enumerate(P.IDENTIFIER_PATTERNS[kind] if kind != "name" else ()):
+            for said in (text, text.upper(), text.lower()):
+                held = spark.range(1).select(S.may_hold(F.lit(said), P.HINTS[pattern]).alias("x")).first()["x"] if pattern in P.HINTS else True
+                assert held or not spark.range(1).select(F.lit(said).rlike(pattern).alias("x")).first()["x"], (kind, n, said)
+    counted = "x" * 10
+    assert found(spark, counted, S.scan(F.col("text"), "x", lambda at, m, gap: at, "int", ("@",))) == []
+    assert [r[0] for r in spark.createDataFrame([("A@x",)], "text string").select(S.scan(F.col("text"), "x", lambda at, m, gap: at, "int", ("@",)).alias("x")).collect()] == [[2]]
+
+
+def test_look_aheads_change_no_match(spark):
+    texts = [t for _, t, _ in CASES] + ["\u0663/\u0664/\u0662\u0660\u0662\u0664 and eac2190123456 A\u0663\u06634567890 5 MILLION DOLLARS usd 3 Wac-2190123456", "Dear\u00a0Anna Berg: Dr Lena Voss", ""]
+    patterns = [p for ps in P.IDENTIFIER_PATTERNS.values() for p in ps] + [P.TITLED_NAME, P.SALUTATION, P.BARE_NAME]
+    plain = [re.sub(r"^(\(\?i\))?\(\?=\[?.*?\]?\)(?=\(\?<!)", r"\1", p) for p in patterns]
+    assert sum(p != q for p, q in zip(patterns, plain)) == 17
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    sides = [F.regexp_replace("text", p, "<$0>") == F.regexp_replace("text", q, "<$0>") for p, q in zip(patterns, plain)]
+    assert all(all(r) for r in rows.select(*[s.alias(f"s{i}") for i, s in enumerate(sides)]).collect())
+
+
 def test_priority_beats_length_and_spans_are_disjoint(spark):
     text = "Call Dr. Anna Berg at Brontal Mill Foundation on 2024-03-03, a@b.org or 12 Long Road Street"
     spans = found(spark, text, detect.identifier_spans(F.col("text")))

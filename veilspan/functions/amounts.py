@@ -64,6 +64,7 @@ def mentions(text: Column) -> Column:
         r"\$[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?",
         lambda at, m, gap: F.struct(at.alias("start"), m.alias("match")),
         "struct<start:int,match:string>",
+        ("$",),
     )
     grouped = F.flatten(
         F.transform(
@@ -83,19 +84,20 @@ def mentions(text: Column) -> Column:
         )
     )
 
-    def simple(form: str, pattern: str, group: str) -> Column:
+    def simple(form: str, pattern: str, group: str, *hints: str) -> Column:
         return scan(
             text,
             pattern,
             lambda at, m, gap: _mention(form, F.regexp_extract(m, group, 1), at, at + F.length(m)),
             MENTION_DDL,
+            hints,
         )
 
     found = F.concat(
         grouped,
         simple("digits", r"[0-9]+", r"([0-9]+)"),
-        simple("kilo", rf"(?i)\$[0-9]+{P.SPACE}*K{P.CLOSE}", r"([0-9]+)"),
-        simple("thousand", rf"(?i){P.OPEN}[0-9]+{P.SPACE}+thousand{P.SPACE}+dollars{P.CLOSE}", r"([0-9]+)"),
-        simple("million", rf"(?i)\$[0-9][0-9.e+]*{P.SPACE}*million{P.CLOSE}", r"^\$([0-9.eE+]+)"),
+        simple("kilo", rf"(?i)\$[0-9]+{P.SPACE}*K{P.CLOSE}", r"([0-9]+)", "$"),
+        simple("thousand", rf"(?i)(?=[0-9]){P.OPEN}[0-9]+{P.SPACE}+thousand{P.SPACE}+dollars{P.CLOSE}", r"([0-9]+)", "thousand"),
+        simple("million", rf"(?i)\$[0-9][0-9.e+]*{P.SPACE}*million{P.CLOSE}", r"^\$([0-9.eE+]+)", "million"),
     )
     return F.filter(found, lambda m: (m["form"] == "grouped") | ~m["key"].rlike("^0[0-9]"))
