@@ -300,6 +300,29 @@ def test_folders_are_written_by_several_tasks_whatever_their_bytes(spark, tmp_pa
     assert own == theirs and len(own) == 62
 
 
+def test_folders_are_listed_and_read_by_tasks_as_sparks_readers_read_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "FOLDERS_A_TASK", 5)
+    bodies = {
+        "a": '{"client":"C","facts":{"names":["N",null]}}', "b two": '[{"client":"1"},{"client":"2"}]', "c+d": '{"client":"plus"}', "k=v%3D": '{"client":"pct"}', "empty": "", "blank": " \n ",
+        "bad": '{"client": ', "none": "[]", "type": '{"client":"x","facts":"no"}', ".hid": '{"client":"h"}', "_hid": '{"client":"h"}', "null": "null", "bom": '\ufeff{"client":"bom"}', "broken": '[{"client":"1"},{"cl',
+    }
+    for name, body in bodies.items():
+        os.makedirs(tmp_path / name)
+        for file in ("matter.json", "n+o te.md", "_x.md", ".y.md"):
+            (tmp_path / name / file).write_text(body)
+    (tmp_path / "beside.md").write_text("beside")
+    (tmp_path / "matter.json").write_text('{"client":"beside"}')
+    os.makedirs(tmp_path / "a" / "deeper")
+    (tmp_path / "a" / "deeper" / "matter.json").write_text('{"client":"deeper"}')
+    read = (lambda: readers.read_matters(spark, str(tmp_path)), lambda: readers.read_documents(spark, str(tmp_path)), lambda: readers.read_documents(spark, str(tmp_path), "*"))
+    own = [f() for f in read]
+    assert all("FileScan" not in p or "folders-" in p for p in (x._jdf.queryExecution().executedPlan().toString() for x in own))
+    assert all(x.rdd.getNumPartitions() == 3 for x in own)
+    monkeypatch.setattr(readers, "_mounted", lambda *_: None)
+    for x, f in zip(own, read):
+        assert sorted(map(str, x.collect())) == sorted(map(str, f().collect()))
+
+
 def test_training_set_takes_far_less_disk_than_its_messages(spark, tmp_path):
     from veilspan.sources import writers
 
