@@ -224,3 +224,24 @@ def test_literals_that_share_a_key_meet_a_place_once_for_each_length(spark):
     assert cut.count() == 50
     got = {(r["k"], r["value"]) for r in dictionary.literal_matches(t, "k", spark.createDataFrame([(v,) for v in values], "value string"), "value", False).collect()}
     assert got == {(k, f"the grey ledger {k + 1000} kept") for k in range(50)}
+
+
+def test_places_of_long_texts_and_of_short_ones_are_told_alike(spark, monkeypatch):
+    from veilspan.operators import dictionary, facts
+
+    values = [(f"M{i}", i, "names", 0, v) for i, v in enumerate(("Ada Lind", "Ümit Öz", "$1,250", "the red ledger", "Zed"))]
+    dim = spark.createDataFrame(values, "matter_id string, matter_ord int, category string, ord int, value string")
+    body = "Ada Lind paid x$1,2500 to Ümit Öz,  not\u0001 the red ledger of Zed-Lind"
+    texts = spark.createDataFrame([(0, body), (1, " ".join([body] * 30)), (2, ""), (3, None), (4, "Zed")], "id int, text string")
+    want = sorted((i, at, v) for i, t in texts.collect() if t for _, _, _, _, v in values for at in range(len(t)) if t.startswith(v, at))
+    hits = facts.fact_hits(texts, "id", dim)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(_held" in plan  # pieces are told from rows, not inside one expression of the whole text
+    assert sorted((r["id"], r["start"], r["entity"]) for r in hits.collect()) == want
+    shorts = sorted(map(str, facts.partial_hits(texts, "id", dim).collect()))
+    assert "posexplode(_runs" in facts.partial_hits(texts, "id", dim)._jdf.queryExecution().optimizedPlan().toString()
+    for few in (0, 10**6):
+        monkeypatch.setattr(dictionary, "FEW_PIECES", few)
+        monkeypatch.setattr(facts, "FEW_PIECES", few)
+        assert sorted((r["id"], r["start"], r["entity"]) for r in facts.fact_hits(texts, "id", dim).collect()) == want
+        assert sorted(map(str, facts.partial_hits(texts, "id", dim).collect())) == shorts
